@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnlight.llm import bpe, mixing, token_store
+from tarnlight.llm import bpe, lines, mixing, token_store, toxicity
 from tarnlight.llm.common import table
 
 
@@ -17,12 +18,21 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(docs, report=True).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.scratch_path(spark)
     token_store.write_ids(table(spark, sf_dir, "documents"), byte_bpe(), path)
     return token_store.digests(spark, path)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,8 +42,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op5_source_mix, op10_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op5_source_mix, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mix": mixing.SQL}
+    return {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL}
