@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import bpe, lines, mixing, token_store, toxicity
+from tarnlight.llm import bpe, lines, mixing, neardup, token_store, toxicity
 from tarnlight.llm.common import table
 
 
@@ -37,13 +37,24 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op5_source_mix, op10_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op5_source_mix, op9_near_dups, op10_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL}
+    return {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL, "op9_near_dups": neardup.SQL}

@@ -2,8 +2,10 @@
 
 Method: score = sigmoid(w0 + sum of the weights of the terms present + sum over
 pairs of the inner products of their factors), so that a pair such as an insult
-and the name of a group can weigh more than both alone.  Terms are words in
-lower case without the punctuation around them, known by a 64-bit hash.
+and the name of a group can weigh more than both alone.  Terms are the words
+of a text, each once, in lower case without the punctuation around them, and
+the first 4 and 5 letters of longer words, for stems that take many endings;
+a term is known by a 64-bit hash.
 
 Learning uses at most ``most_rows`` labelled rows, those of smallest id hash,
 and never a row whose crc32(id as text) mod 5 is 0.  It is the only step with
@@ -28,33 +30,30 @@ from pyspark.sql import functions as F
 from tarnlight.llm.common import slices
 
 FACTORS = 8
+PREFIXES = (4, 5)
 _AROUND = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—*_/\\"
 
 
-def term(word: str) -> str:
-    return word.strip(_AROUND).lower()
+def terms_of(word: str) -> list[str]:
+    w = word.strip(_AROUND).lower()
+    return [w, *(w[:k] + "*" for k in PREFIXES if len(w) > k)] if w else []
 
 
 class Terms:
-    """Row of the model for each word seen lately; -1 for words it does not know."""
+    """Rows of the model (or hashes, without one) for the words of a text."""
 
-    def __init__(self, row_of: dict[int, int] | None, most: int = 400_000):
+    def __init__(self, row_of: dict[int, int] | None, most: int = 300_000):
         self.row_of, self.most, self.seen = row_of, most, {}
 
     def rows(self, text: str) -> set[int]:
         if len(self.seen) > self.most:
             self.seen = {}
-        found, seen = set(text.split()), self.seen
-        out = set(map(seen.get, found))
-        if None in out:
-            for w in found:
-                if w not in seen:
-                    t = term(w)
-                    h = xxhash.xxh3_64_intdigest(t) >> 1 if t else -1
-                    seen[w] = h if self.row_of is None else self.row_of.get(h, -1)
-            out = set(map(seen.get, found))
-        out.discard(-1)
-        return out
+        found, seen, row_of = set(text.split()), self.seen, self.row_of
+        for w in found:
+            if w not in seen:
+                hashed = [xxhash.xxh3_64_intdigest(t) >> 1 for t in terms_of(w)]
+                seen[w] = tuple(hashed if row_of is None else [row_of[h] for h in hashed if h in row_of])
+        return set().union(*map(seen.__getitem__, found))
 
 
 class FM:
@@ -73,7 +72,7 @@ class FM:
         own = np.bincount(text, (v * v).sum(1), n)
         return self.w0 + linear + 0.5 * ((total * total).sum(1) - own), total
 
-    def learn(self, rows: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.1, decay: float = 2e-3) -> None:
+    def learn(self, rows: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.3, decay: float = 2e-3) -> None:
         """Adaptive gradient steps on the logistic loss with weight decay."""
         sw, sv, s0 = np.full(len(self.w), 1e-6), np.full(self.v.shape, 1e-6), 1e-6
         rng = np.random.default_rng(11)
@@ -111,7 +110,7 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, least_docs: int = 3) -> FM:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, most_terms: int = 50_000, least_strength: float = 4.0) -> FM:
     """Learn from at most ``most_rows`` labelled rows that are not held out.
 
     The labelled ids are bounded by ``most_rows``, so they are broadcast to the
@@ -145,8 +144,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if y.min() == y.max():
         return FM(np.zeros(0, np.int64), bias)
     known, slot, many = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.where(many >= least_docs, np.cumsum(many >= least_docs) - 1, -1)
-    model = FM(known[many >= least_docs], bias)
+    mean = y.mean()
+    with_toxic = np.bincount(slot, np.repeat(y, np.diff(at)), len(known))
+    strength = np.abs(with_toxic - many * mean) / np.sqrt(many * mean * (1 - mean))
+    # Terms that are rare or go with neither class would only learn the training rows by heart.
+    use = (many >= max(3, len(y) // 1000)) & (strength >= least_strength)
+    if use.sum() > most_terms:
+        use &= strength >= np.partition(strength[use], -most_terms)[-most_terms]
+    row = np.where(use, np.cumsum(use) - 1, -1)
+    model = FM(known[use], bias)
     sets = [row[slot[at[i] : at[i + 1]]] for i in order.tolist()]
     sets = [np.sort(s[s >= 0]) for s in sets]
     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
