@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import bpe, lines, mixing, neardup, token_store, toxicity
+from tarnlight.llm import bpe, lines, mixing, neardup, substrings, token_store, toxicity
 from tarnlight.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -53,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op5_source_mix, op9_near_dups, op10_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op5_source_mix, op8_repeated_bytes, op9_near_dups, op10_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
