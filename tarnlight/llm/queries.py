@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import bpe, lines, mixing, neardup, substrings, token_store, toxicity
+from tarnlight.llm import bpe, fingerprints, html, lines, mixing, neardup, substrings, token_store, toxicity
 from tarnlight.llm.common import table
 
 
@@ -33,10 +33,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -57,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op5_source_mix, op8_repeated_bytes, op9_near_dups, op10_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op4_fingerprints, op5_source_mix, op7_main_text, op8_repeated_bytes, op9_near_dups, op10_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
