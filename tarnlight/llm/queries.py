@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import bpe, fingerprints, html, lines, mixing, neardup, substrings, token_store, toxicity
+from tarnlight.llm import bpe, fingerprints, html, lines, mixing, neardup, substrings, token_store, toxicity, vectors
 from tarnlight.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_dups(table(spark, sf_dir, "embeddings"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -65,8 +69,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op4_fingerprints, op5_source_mix, op7_main_text, op8_repeated_bytes, op9_near_dups, op10_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op4_fingerprints, op5_source_mix, op6_vector_dups, op7_main_text, op8_repeated_bytes, op9_near_dups, op10_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL, "op9_near_dups": neardup.SQL}
+    return {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL, "op6_vector_dups": vectors.SQL, "op9_near_dups": neardup.SQL}
