@@ -404,6 +404,6 @@ def csv_roundtrip(spark, sf_dir):
 def text_dir_scan(spark, sf_dir):
     """Passages written as text files, a folder for each, read back with their names."""
     path = scratch(spark)
-    table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("value")).repartition("name").write.partitionBy("name").option("lineSep", "").text(path)
+    table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("value")).repartition("name").write.partitionBy("name").text(path)
     back = spark.read.text(f"{path}/*", wholetext=True, pathGlobFilter="*.txt")
-    return back.select(F.regexp_extract(F.col("_metadata.file_path"), r"name=([^/]+)/", 1).alias("doc_id"), F.col("value").alias("text"))
+    return back.select(F.regexp_extract(F.col("_metadata.file_path"), r"name=([^/]+)/", 1).alias("doc_id"), F.regexp_replace("value", r"\n$", "").alias("text"))
