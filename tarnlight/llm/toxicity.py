@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import slices
+from tarnlight.llm.common import slices, stored
 
 FACTORS = 8
 PREFIXES = (4, 5)
@@ -114,8 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from at most ``most_rows`` labelled rows that are not held out.
 
     The labelled ids are bounded by ``most_rows``, so they are broadcast to the
-    documents and no text is shuffled; the driver gets hashes of the terms of
-    those rows only.
+    documents and no text is shuffled.  Terms are counted and chosen by Spark;
+    the driver gets at most ``most_terms`` of them and their places in the rows.
     """
     some = (
         labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
@@ -132,31 +132,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             sets = [sorted(terms.rows(t or "")) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["y", "terms"])
 
-    got = rows.mapInArrow(work, "y int, terms array<long>").toArrow().combine_chunks()
-    if not got.num_rows:
-        return FM(np.zeros(0, np.int64), 0.0)
-    y = got.column("y").to_numpy().astype(np.float64)
-    lists = got.column("terms").chunk(0)
-    at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-    order = np.lexsort((np.add.reduceat(np.append(flat % 1_000_003, 0), at[:-1]) * (np.diff(at) > 0), np.diff(at), y))  # not the order of arrival
-    share = (y.sum() + 1) / (len(y) + 2)
+    made = stored(rows.mapInArrow(work, "y int, terms array<long>"), "terms")
+    n, toxic = made.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    share = (toxic + 1) / (n + 2)
     bias = math.log(share / (1 - share))
-    if y.min() == y.max():
-        return FM(np.zeros(0, np.int64), bias)
-    known, slot, many = np.unique(flat, return_inverse=True, return_counts=True)
-    mean = y.mean()
-    with_toxic = np.bincount(slot, np.repeat(y, np.diff(at)), len(known))
-    strength = np.abs(with_toxic - many * mean) / np.sqrt(many * mean * (1 - mean))
+    if toxic in (0, n):
+        return FM(np.zeros(0, np.int64), bias if n else 0.0)
     # Terms that are rare or go with neither class would only learn the training rows by heart.
-    use = (many >= max(3, len(y) // 1000)) & (strength >= least_strength)
-    if use.sum() > most_terms:
-        use &= strength >= np.partition(strength[use], -most_terms)[-most_terms]
-    row = np.where(use, np.cumsum(use) - 1, -1)
-    model = FM(known[use], bias)
-    sets = [row[slot[at[i] : at[i + 1]]] for i in order.tolist()]
-    sets = [np.sort(s[s >= 0]) for s in sets]
-    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-    model.learn(np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64), ends, y[order])
+    mean, least_docs = toxic / n, max(3, n // 1000)
+    per = made.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("many"), F.sum("y").alias("toxic")).where(F.col("many") >= least_docs)
+    strength = F.abs(F.col("toxic") - F.col("many") * mean) / F.sqrt(F.col("many") * (mean * (1 - mean)))
+    best = per.select("term", strength.alias("s")).where(F.col("s") >= least_strength).orderBy(F.desc("s"), "term").limit(most_terms)
+    known = np.sort(np.array([r["term"] for r in best.collect()], np.int64))
+    model = FM(known, bias)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            slot = np.searchsorted(shared.value, flat).clip(max=max(0, len(shared.value) - 1))
+            hit = shared.value[slot] == flat if len(shared.value) else np.zeros(len(flat), bool)
+            ends = np.concatenate([[0], np.cumsum(hit)])[at].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, slot[hit].astype(np.int32))], names=["y", "rows"])
+
+    got = made.mapInArrow(place, "y int, rows array<int>").toArrow()
+    y = got.column("y").to_numpy().astype(np.float64)
+    lists = got.column("rows")
+    flat, at = lists.combine_chunks().flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lists.combine_chunks().value_lengths().to_numpy())])
+    sets = [np.sort(flat[at[i] : at[i + 1]]) for i in range(len(y))]
+    order = sorted(range(len(y)), key=lambda i: (y[i], sets[i].tobytes()))  # not the order of arrival
+    ends = np.concatenate([[0], np.cumsum([len(sets[i]) for i in order])]).astype(np.int64)
+    model.learn(np.concatenate([*(sets[i] for i in order), np.zeros(0, np.int64)]), ends, y[order])
     return model
 
 
