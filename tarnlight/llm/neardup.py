@@ -13,8 +13,9 @@ probability of their weighted Jaccard similarity.
 multiset overlap of the runs themselves.
 
 Equal multisets are one class from the start.  Of each bucket, every class is
-first verified against the one that meets most others (linear in the bucket).
-Buckets that then still hold several components are cut into tiles, and pairs
+first verified against the one that meets most others, and where components
+remain, against centres drawn by hash (each linear in the bucket).  Buckets
+that then still hold several components are cut into tiles, and pairs
 of different components whose signatures agree enough are verified too; so no
 link between different texts is lost, whatever the size of a bucket, and no
 task holds more than two tiles.
@@ -44,6 +45,8 @@ SIMILAR = 0.8
 #: Components in which a pair of similarity 0.8 agrees, less six standard deviations.
 LEAST_AGREEING = int(M * SIMILAR - 6 * (M * SIMILAR * (1 - SIMILAR)) ** 0.5)
 TILE = 1024
+#: Rounds in which buckets of several components meet another centre, before pairs are made.
+CENTRES = 3
 
 
 def signatures(text: np.ndarray, run: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
@@ -104,13 +107,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, digest binary, sig binary")
 
 
+def _keys(sig: np.ndarray) -> np.ndarray:
+    """The key of each band of each signature."""
+    sig = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
+    for r in range(ROWS):
+        key = mix(key * U(0x2545F4914F6CDD1D) + sig[:, :, r])
+    return key
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in slices([b]):
-            sig = np.frombuffer(b"".join(s.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
-            for r in range(ROWS):
-                key = mix(key * U(0x2545F4914F6CDD1D) + sig[:, :, r])
+            key = _keys(np.frombuffer(b"".join(s.column(1).to_pylist()), np.uint32))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(s.column(0).to_numpy(), BANDS))], names=["key", "rep"])
 
 
@@ -147,10 +156,14 @@ def _agreeing(key: tuple, group: pa.Table) -> pa.Table:
     reps, comps = group.column("rep").to_numpy(), group.column("component").to_numpy()
     tile, t, u = group.column("tile").to_numpy(), key[1].as_py(), key[2].as_py()
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, M)
+    band = int(np.flatnonzero(_keys(sig[:1])[0].view(np.int64) == key[0].as_py())[0])
     left, right, a, b = np.flatnonzero(tile == t), np.flatnonzero(tile == u), [], []
     for i in left.tolist():
         j = right[(comps[right] != comps[i]) & ((reps[right] > reps[i]) if t == u else True)]
-        j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_AGREEING]
+        same = sig[j] == sig[i]
+        # A pair that also meets in a band before this one is left to that one.
+        first = same[:, : band * ROWS].reshape(len(j), band, ROWS).all(axis=2).any(axis=1) if band else np.zeros(len(j), bool)
+        j = j[(same.sum(axis=1) >= LEAST_AGREEING) & ~first]
         a += [reps[i]] * len(j)
         b += reps[j].tolist()
     a, b = np.array(a, np.int64), np.array(b, np.int64)
@@ -179,9 +192,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = stored(verified(star, texts), "links")
     found = connected_components(links)
 
-    inside = buckets.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-    rest = inside.join(mixed, "key").join(reps, "rep")
+    def undecided() -> DataFrame:
+        """Entries of the buckets that hold several components."""
+        inside = buckets.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+        return inside.join(mixed, "key")
+
+    # Further centres, drawn by hash, each linear in the bucket: groups that are not round join here.
+    for turn in range(CENTRES):
+        open_ = undecided().select("key", "rep", "component")
+        order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "component")
+        drawn = open_.groupBy("key").agg(F.max(order).alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.component").alias("of"))
+        more = open_.join(drawn, "key").where("component <> of").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        more = stored(more.join(star, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            break
+        star = stored(star.union(more), "pairs")
+        links = stored(links.union(verified(more, texts)), "links")
+        found = connected_components(links)
+    rest = undecided().join(reps, "rep")
     tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int")
     rest = rest.select("key", "rep", "component", "sig", tiles.alias("tiles")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
