@@ -7,7 +7,7 @@ Method: suffix arrays of shards by Larsson-Sadakane refinement in numpy, common
 prefixes by Kasai's algorithm, and merging across shards by binary search.
 What makes it one pass over a large corpus is how text is dealt to shards:
 
-1. Each string of ``least`` bytes is known by the smallest hash of its 8-byte
+1. Each string of ``least`` bytes is known by the smallest hash of its 32-byte
    grams (the rightmost of equal ones), its anchor.  The strings of a document
    that share an anchor begin in one run of places; the bytes they cover are a
    segment.  Equal strings have equal anchors, so segments whose anchor hash
@@ -38,7 +38,7 @@ from tarnlight.llm.common import slices, stored
 from tarnlight.llm.shingles import U, _powers, mix, utf8
 
 LEAST = 400
-GRAM = 8
+GRAM = 32  # short grams recur by chance, and would make candidates of most of a corpus
 HOT = 1500
 SHARD_BYTES = 1_500_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -81,7 +81,10 @@ def anchored(raw: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, .
     none = np.zeros(0, np.int64)
     if not len(long_enough):
         return none, none, none, none
-    g = mix(grams(raw))
+    first = grams(raw)
+    g = np.zeros(n, np.uint64)
+    for o in range(0, GRAM, 8):
+        g = mix(g * U(0x2545F4914F6CDD1D) + np.concatenate([first[o:], np.zeros(min(o, n), np.uint64)]))
     key = (g & ~_INDEX) | (_INDEX - np.arange(n, dtype=np.uint64))
     width, done = least - GRAM + 1, 1
     low = key
@@ -243,8 +246,9 @@ def _shards(least: int):
                 if held >= SHARD_BYTES and (row[0], row[5]) != (rows[-1][0], rows[-1][5]):
                     yield flush(rows)
                     rows, held = [], 0
-                rows.append(row)
-                held += len(row[4])
+                if not rows or row[:3] != rows[-1][:3]:  # rows equal in id and text cut the same segment twice
+                    rows.append(row)
+                    held += len(row[4])
         if rows:
             yield flush(rows)
 
@@ -286,8 +290,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
                 rows += [(p["g"], p["h1"], p["h2"], p["count"], raw[p["s"] : p["s"] + p["n"] + least - 1], p["salt"], p["hot"]) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.int64(), pa.bool_()])], names=["g", "h1", "h2", "count", "bytes", "salt", "hot"])
 
-    # Rows equal in id and text would cut the same segment twice: one of them is kept.
-    cuts = picked.join(by_doc, ["id", "th"]).select("text", "parts").mapInArrow(cut, "g long, h1 long, h2 long, count int, bytes binary, salt long, hot boolean").dropDuplicates(["g", "h1", "h2"])
+    cuts = picked.join(by_doc, ["id", "th"]).select("text", "parts").mapInArrow(cut, "g long, h1 long, h2 long, count int, bytes binary, salt long, hot boolean")
     dealt = cuts.repartition("g", "salt").sortWithinPartitions("g", "salt", "h1", "h2").select("g", "h1", "h2", "count", "bytes", "salt", "hot")
     found = stored(dealt.mapInArrow(_shards(least), _FOUND), "repeats")
     hot = found.where("weight > 0")
