@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import slices, stored
+from tarnlight.llm.common import free, slices, stored
 
 MIN_LINES, MIN_WORDS = 3, 50
 _BLANK = " \t\r\x0b\x0c"
@@ -81,7 +81,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
 def _applied(docs: DataFrame, id_col: str, found: DataFrame) -> DataFrame:
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    return docs.withColumn("__key", key).join(found.select(F.col("id").alias("__key"), F.col("runs").alias("__runs")), "__key", "left").drop("__key")
+    name = free(docs, "__key")
+    return docs.withColumn(name, key).join(found.select(F.col("id").alias(name), F.col("runs").alias(free(docs, "__runs"))), name, "left").drop(name)
 
 
 def strip_runs(text: str | None, runs: list | None) -> tuple[str | None, int, int]:

@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import stored
+from tarnlight.llm.common import free, stored
 
 #: Fixed value: a word is a run of characters outside this class.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,8 +104,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), epochs: int = 3, id
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; columns unchanged."""
-    got = mix(docs, id_col=id_col, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies").groupBy("__id").agg(F.max("copies").alias("__copies"))
-    joined = docs.join(got, F.col(id_col).cast("long").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    key, n = free(docs, "__id"), free(docs, "__copies")
+    got = mix(docs, id_col=id_col, **options).where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n))
+    joined = docs.join(got, docs[id_col].cast("long").eqNullSafe(got[key])).withColumn(free(docs, "__copy"), F.explode(F.sequence(F.lit(1), got[n])))
     return joined.select(*[docs[c] for c in docs.columns])
 
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import connected_components, slices, stored
+from tarnlight.llm.common import connected_components, free, slices, stored
 from tarnlight.llm.shingles import U, mix, shingles, utf8
 
 M, BANDS, ROWS = 128, 32, 4
@@ -226,8 +226,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, columns unchanged; rows with a null id stay."""
-    gone = components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    key = free(docs, "__id")
+    gone = components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[key], "left_anti")
 
 
 #: The same in DuckDB's SQL.
