@@ -38,6 +38,8 @@ def sweep(spark: SparkSession, haystack: DataFrame, needle: DataFrame, config: S
     cells = needles.grid(spark, config.context_lengths, config.depth_percents).crossJoin(needle.withColumnRenamed("text", "needle")).crossJoin(haystack.withColumnRenamed("text", "haystack"))
     made = cells.withColumn("context", needles.sample(F.col("haystack"), F.col("needle"), F.col("context_length"), F.col("depth_percent")))
     made = made.withColumn("prompt", F.concat(F.lit("Context:\n[1] "), "context", F.lit("\n\nQuestion: "), "question", F.lit("\nAnswer:"))).drop("haystack")
+    # Contexts are made before the shuffle that spreads the cells, not inside the generator's input.
+    made = made.select("context_length", "depth_percent", "answer", "prompt").repartition("context_length", "depth_percent")
     written = dense.generate(made, model, out_col="given")
     return written.select("context_length", "depth_percent", F.col("given").alias("answer"), answer_found(F.col("given"), F.col("answer")).alias("score"))
 
