@@ -13,12 +13,12 @@ probability of their weighted Jaccard similarity.
 multiset overlap of the runs themselves.
 
 Equal multisets are one class from the start.  Of each bucket, every class is
-first verified against the one that meets most others, and where components
-remain, against centres drawn by hash (each linear in the bucket).  Buckets
-that then still hold several components are cut into tiles, and pairs
-of different components whose signatures agree enough are verified too; so no
-link between different texts is lost, whatever the size of a bucket, and no
-task holds more than two tiles.
+first verified against the one that meets most others, which is linear in the
+bucket.  Buckets that then still hold several components are cut into tiles of
+bounded rows and bytes; a task holds two tiles, verifies there every pair of
+different components whose signatures agree enough, and returns at most one
+link for each component.  So no link between different texts is lost, whatever
+the size of a bucket, and no pair leaves its task.
 
 Texts of one to four words are one run; texts without words (null and empty
 ones too) are similar to nothing, not even one another.  Rows with a null id
@@ -44,9 +44,7 @@ M, BANDS, ROWS = 128, 32, 4
 SIMILAR = 0.8
 #: Components in which a pair of similarity 0.8 agrees, less six standard deviations.
 LEAST_AGREEING = int(M * SIMILAR - 6 * (M * SIMILAR * (1 - SIMILAR)) ** 0.5)
-TILE = 1024
-#: Rounds in which buckets of several components meet another centre, before pairs are made.
-CENTRES = 3
+TILE, TILE_BYTES = 1024, 4_000_000
 
 
 def signatures(text: np.ndarray, run: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
@@ -97,14 +95,14 @@ def _signed(b: pa.RecordBatch, of: int) -> tuple:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, digest, sig)`` of every row: class of equal multisets (null without words) and signature."""
+    """``(id, digest, sig, bytes)`` of every row: class of equal multisets (null without words), signature, and size of the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2_000_000):
             sig, digest = _signed(b, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(np.diff(utf8(b.column(1))[1]))], names=["id", "digest", "sig", "bytes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, digest binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, digest binary, sig binary, bytes long")
 
 
 def _keys(sig: np.ndarray) -> np.ndarray:
@@ -151,23 +149,37 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "src long, dst long")
 
 
-def _agreeing(key: tuple, group: pa.Table) -> pa.Table:
-    """Pairs of one bucket, from one or two of its tiles, of different components and with signatures that agree enough."""
-    reps, comps = group.column("rep").to_numpy(), group.column("component").to_numpy()
+def _joined(key: tuple, group: pa.Table) -> pa.Table:
+    """Links between components, found in one bucket inside a tile or between two; a forest of them."""
+    reps, comps = group.column("rep").to_numpy(), group.column("component").to_numpy().copy()
     tile, t, u = group.column("tile").to_numpy(), key[1].as_py(), key[2].as_py()
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, M)
     band = int(np.flatnonzero(_keys(sig[:1])[0].view(np.int64) == key[0].as_py())[0])
-    left, right, a, b = np.flatnonzero(tile == t), np.flatnonzero(tile == u), [], []
+    text, run, count = shingles(*utf8(group.column("text").combine_chunks()))
+    ends, total = np.searchsorted(text, np.arange(len(reps) + 1)), np.bincount(text, count, len(reps))
+    distinct, run = np.unique(run, return_inverse=True)
+    held = np.zeros(len(distinct), np.int64)  # the counts of one text
+    left, right, src, dst = np.flatnonzero(tile == t), np.flatnonzero(tile == u), [], []
     for i in left.tolist():
         j = right[(comps[right] != comps[i]) & ((reps[right] > reps[i]) if t == u else True)]
         same = sig[j] == sig[i]
         # A pair that also meets in a band before this one is left to that one.
         first = same[:, : band * ROWS].reshape(len(j), band, ROWS).all(axis=2).any(axis=1) if band else np.zeros(len(j), bool)
-        j = j[(same.sum(axis=1) >= LEAST_AGREEING) & ~first]
-        a += [reps[i]] * len(j)
-        b += reps[j].tolist()
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        j = j[(same.sum(axis=1) >= LEAST_AGREEING) & ~first & (total[j] > 0)]
+        if not len(j):
+            continue
+        own = slice(ends[i], ends[i + 1])
+        held[run[own]] = count[own]
+        many = ends[j + 1] - ends[j]
+        before = np.cumsum(many) - many
+        at = np.arange(many.sum()) + np.repeat(ends[j] - before, many)
+        both = np.add.reduceat(np.minimum(held[run[at]], count[at]), before)
+        held[run[own]] = 0
+        other = np.unique(comps[j[both / (total[i] + total[j] - both) >= SIMILAR]])
+        src += [comps[i]] * len(other)
+        dst += other.tolist()
+        comps[np.isin(comps, other)] = comps[i]
+    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +189,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = every.where("id IS NOT NULL AND digest IS NOT NULL")
     rep_of = known.groupBy("digest").agg(F.min("id").alias("rep"))
     # One row for each class: the signature of the row that has the smallest id.
-    reps = known.join(rep_of, "digest").where("id = rep").groupBy("rep").agg(F.first("sig").alias("sig"))
+    reps = known.join(rep_of, "digest").where("id = rep").groupBy("rep").agg(F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
     reps = stored(reps, "representatives")
     bands = reps.select("rep", "sig").mapInArrow(lambda it: _bands(b.select(["rep", "sig"]) for b in it), "key long, rep long")
     many = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -192,35 +204,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = stored(verified(star, texts), "links")
     found = connected_components(links)
 
-    def undecided() -> DataFrame:
-        """Entries of the buckets that hold several components."""
-        inside = buckets.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-        return inside.join(mixed, "key")
-
-    # Further centres, drawn by hash, each linear in the bucket: groups that are not round join here.
-    for turn in range(CENTRES):
-        open_ = undecided().select("key", "rep", "component")
-        order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "component")
-        drawn = open_.groupBy("key").agg(F.max(order).alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.component").alias("of"))
-        more = open_.join(drawn, "key").where("component <> of").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        more = stored(more.join(star, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        star = stored(star.union(more), "pairs")
-        links = stored(links.union(verified(more, texts)), "links")
-        found = connected_components(links)
-    rest = undecided().join(reps, "rep")
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int")
-    rest = rest.select("key", "rep", "component", "sig", tiles.alias("tiles")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    # Buckets that hold several components, in tiles.
+    inside = buckets.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    inside = inside.join(reps.select("rep", "bytes"), "rep")
+    mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("bytes").alias("held")).where("lo <> hi")
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("held") / TILE_BYTES), F.lit(1)).cast("int")
+    rest = inside.select("key", "rep", "component").join(mixed.select("key", F.least(tiles, F.col("size").cast("int")).alias("tiles")), "key")
+    rest = rest.join(reps.select("rep", "sig"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
+    rest = rest.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rest = rest.select("key", "rep", "component", "sig", "tile", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"))
-    more = rest.groupBy("key", "t", "u").applyInArrow(_agreeing, "a long, b long").distinct()
-    more = stored(more.join(star, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        found = connected_components(links.union(verified(more, texts)))
+    rest = rest.select("key", "rep", "component", "sig", "text", "tile", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"))
+    more = stored(rest.groupBy("key", "t", "u").applyInArrow(_joined, "src long, dst long"), "links")
+    wider = connected_components(more).select(F.col("id").alias("component"), F.col("component").alias("root"))
     of = known.join(rep_of, "digest").select("id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    of = of.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    of = of.select("id", F.coalesce("component", "rep").alias("component")).join(wider, "component", "left")
+    of = of.groupBy("id").agg(F.min(F.coalesce("root", "component")).alias("component"))
     return every.select("id").join(of, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("component_id"))
 
 
