@@ -21,6 +21,11 @@ def _plain(piece: str) -> bool:
     return not piece[0].isspace() or (piece[0] == "\n" and not piece[1].isspace())
 
 
+def joinable(piece: str) -> bool:
+    """Whether a new word begins where the piece stands between two others of its kind."""
+    return len(piece) > 1 and piece[0] in " \n" and not piece[1].isspace() and not piece[-1].isspace()
+
+
 class PieceTable:
     """The ids of pieces, for about twice ``most`` pieces at a time.
 
@@ -43,17 +48,16 @@ class PieceTable:
         for text in texts:
             head, *rest = text.replace("\n", " \n").split(" ")
             quick = True
-            for p in rest:
-                if p not in known:
-                    if p in old:
-                        known[p] = old[p]
-                    elif p in missing:
-                        pass
-                    elif _plain(p):
-                        missing[p] = p if p[0] == "\n" else " " + p
-                    else:
-                        quick = False
-                        break
+            for p in set(rest).difference(known):
+                if p in old:
+                    known[p] = old[p]
+                elif p in missing:
+                    pass
+                elif _plain(p):
+                    missing[p] = p if p[0] == "\n" else " " + p
+                else:
+                    quick = False
+                    break
             if not quick:
                 head, *rest = _SAFE.split(text)
                 other.update(dict.fromkeys(rest))

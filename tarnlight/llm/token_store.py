@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 
 from tarnlight.llm.bpe import read_definition
 from tarnlight.llm.common import shared_dir, slices
-from tarnlight.llm.pieces import PieceTable
+from tarnlight.llm.pieces import PieceTable, joinable
 
 BLOCK = 1024
+#: Pieces that the library encodes as one string.
+JOINED = 2048
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 14
@@ -139,10 +141,35 @@ def _table(definition: str) -> tuple:
     t.no_truncation()
     t.no_padding()
 
-    def fill(texts: list[str]) -> list[bytes]:
+    added = [a.content for a in t.get_added_tokens_decoder().values()]
+    size = np.zeros(t.get_vocab_size(), np.int64)  # bytes of each token: a letter of the vocabulary is a byte
+    for token, i in t.get_vocab().items():
+        size[i] = len(token)
+
+    def each(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return t, [a.content for a in t.get_added_tokens_decoder().values()], PieceTable(fill)
+    def fill(texts: list[str]) -> list[bytes]:
+        """Pieces that begin a word each go through the library as one string, whose ids are parted by their bytes."""
+        out: list[bytes] = [b""] * len(texts)
+        together = [i for i, x in enumerate(texts) if joinable(x)]
+        alone = sorted({*range(len(texts))}.difference(together))
+        runs = [together[at : at + JOINED] for at in range(0, len(together), JOINED)]
+        for run, e in zip(runs, t.encode_batch_fast(["".join([texts[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends, tops = np.cumsum([len(texts[i].encode()) for i in run]), np.cumsum(size[ids])
+            last = np.searchsorted(tops, ends)
+            if tops[-1] != ends[-1] or (tops[last] != ends).any():  # not such a tokenizer
+                alone += run
+                continue
+            raw, cut = ids.tobytes(), (4 * (last + 1)).tolist()
+            for i, a, z in zip(run, [0, *cut], cut):
+                out[i] = raw[a:z]
+        for i, got in zip(alone, each([texts[i] for i in alone]), strict=True):
+            out[i] = got
+        return out
+
+    return t, added, PieceTable(fill)
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
