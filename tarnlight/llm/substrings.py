@@ -16,9 +16,14 @@ What makes it one pass over a large corpus is how text is dealt to shards:
 3. Different segments of an anchor hash meet in one shard.  Its suffix array
    and common prefixes give the classes of equal strings; a class that stands
    for two or more places is repeated.
-4. An anchor hash of more than ``HOT`` different segments is dealt to several
-   shards.  They pass on one key for each class, and the keys are merged by
-   binary search in ranges of keys.
+4. An anchor hash of more than ``HOT`` different segments is refined: strings
+   are told apart by how far in the anchor stands, in blocks of ``WIDTHS``
+   places, and by the hash of the bytes that all strings of a block share (all
+   but the width of the block).  Equal strings agree in both, so blocks become
+   segments of a new, more selective hash, and those that occur once go.
+5. What is still hot after the narrowest blocks is dealt to several shards.
+   They pass on one key for each class, at most a block's width for a segment,
+   and the keys are merged by binary search in ranges of keys.
 
 Texts: null and empty texts and those shorter than ``least`` lose nothing.
 Rows that repeat are documents of their own, so their strings repeat.  A null
@@ -40,6 +45,7 @@ from tarnlight.llm.shingles import U, _powers, mix, utf8
 LEAST = 400
 GRAM = 32  # short grams recur by chance, and would make candidates of most of a corpus
 HOT = 1500
+WIDTHS = (64, 8)
 SHARD_BYTES = 1_500_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _INDEX = U((1 << 28) - 1)
@@ -75,12 +81,12 @@ class Hasher:
 
 
 def anchored(raw: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Anchors: index of the document, hash of the anchor's gram, first and last place of the strings it stands for."""
+    """Anchors: index of the document, hash of the anchor's gram, its place, first and last place of the strings it stands for."""
     n = len(raw)
     long_enough = np.flatnonzero(np.diff(at) >= least)
     none = np.zeros(0, np.int64)
     if not len(long_enough):
-        return none, none, none, none
+        return none, none, none, none, none
     first = grams(raw)
     g = np.zeros(n, np.uint64)
     for o in range(0, GRAM, 8):
@@ -102,23 +108,58 @@ def anchored(raw: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, .
     new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    return doc[first], g[place[first]].view(np.int64), start[first], start[last]
+    return doc[first], g[place[first]].view(np.int64), place[first], start[first], start[last]
 
 
 def anchors(docs: DataFrame, least: int) -> DataFrame:
-    """``(id, th, g, h1, h2, s, n)``: a row for each segment: its anchor hash, its own hashes, first place and number of strings."""
+    """``(id, th, g, h1, h2, s, n, o)``: a row for each segment: its anchor hash, its own hashes, first place, number of strings, and place of the anchor in the segment."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 400_000):
             raw, at = utf8(b.column(2))
-            doc, g, s, last = anchored(raw, at, least)
+            doc, g, place, s, last = anchored(raw, at, least)
             if not len(doc):
                 continue
             h1, h2 = Hasher(raw).of(s, last + least)
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(g), pa.array(h1), pa.array(h2), pa.array((s - at[doc]).astype(np.int64)), pa.array((last - s + 1).astype(np.int32))], names=["id", "th", "g", "h1", "h2", "s", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(g), pa.array(h1), pa.array(h2), pa.array((s - at[doc]).astype(np.int64)), pa.array((last - s + 1).astype(np.int32)), pa.array((place - s).astype(np.int32))], names=["id", "th", "g", "h1", "h2", "s", "n", "o"])
 
-    return docs.mapInArrow(work, "id long, th long, g long, h1 long, h2 long, s long, n int")
+    return docs.mapInArrow(work, "id long, th long, g long, h1 long, h2 long, s long, n int, o int")
+
+
+_BLOCK = "g long, h1 long, h2 long, count int, bytes binary, o int, rg long, rh1 long, rh2 long, shift int"
+
+
+def _blocks(width: int, least: int):
+    """Cut segments into blocks of strings whose anchors stand at ``width`` neighbouring places."""
+    names = [f.split()[0] for f in _BLOCK.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4_000_000):
+            segments = b.column(4).to_pylist()
+            raw = np.frombuffer(b"".join(segments), np.uint8)
+            size = np.array([len(x) for x in segments])
+            base = np.cumsum(size) - size
+            o = b.column(5).to_numpy().astype(np.int64)
+            low, high = (o - (size - least)) // width, o // width  # blocks of the last and the first string
+            many = high - low + 1
+            row = np.repeat(np.arange(len(size)), many)
+            block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + low[row]
+            near = block * width
+            far = np.minimum(near + width - 1, least - GRAM)
+            first = np.maximum(0, o[row] - far)
+            end = np.minimum(size[row] - least, o[row] - near) + least
+            hasher, anchor = Hasher(raw), base[row] + o[row]
+            core = hasher.of(anchor - near, anchor - far + least)[0].view(np.uint64)
+            g = mix(core + mix(b.column(0).to_numpy().view(np.uint64)[row] + (block * least + width).astype(np.uint64))).view(np.int64)
+            h1, h2 = hasher.of(base[row] + first, base[row] + end)
+            take = pa.array(row)
+            parts = pa.array([segments[r][x:y] for r, x, y in zip(row.tolist(), first.tolist(), end.tolist())], pa.binary())
+            root = [b.column(i).take(take) for i in (6, 7, 8)]
+            shift = pa.array((b.column(9).to_numpy()[row] + first).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(h1), pa.array(h2), b.column(3).take(take), parts, pa.array((o[row] - first).astype(np.int32)), *root, shift], names=names)
+
+    return work
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,32 +313,48 @@ def _merged(_: tuple, group: pa.Table) -> pa.Table:
     return group.filter(pa.array(single & elsewhere)).select(["g", "h1", "h2", "a", "z"])
 
 
+def _recurring(per: DataFrame) -> DataFrame:
+    """``(g, kinds)``: hashes that stand for two segments or more, and how many different ones, from ``per(g, h1, h2, count)``."""
+    return per.groupBy("g").agg(F.sum("count").alias("all"), F.count("*").alias("kinds")).where("`all` > 1").select("g", "kinds")
+
+
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``(id, th, text, spans)``: every row with the places where its repeated strings begin, as runs."""
     picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     every = stored(anchors(picked, least), "anchors")
-    per = every.groupBy("g", "h1", "h2").agg(F.count("*").alias("count"), F.min(F.struct("id", "th", "s", "n")).alias("one"))
-    total = per.groupBy("g").agg(F.sum("count").alias("all"), F.count("*").alias("kinds")).where("`all` > 1")
-    salt = F.when(F.col("kinds") > HOT, F.pmod("h1", F.ceil(F.col("kinds") / HOT))).otherwise(0)
-    wanted = per.join(total, "g").select("one.id", "one.th", "one.s", "one.n", "g", "h1", "h2", F.least("count", F.lit(2)).cast("int").alias("count"), salt.alias("salt"), (F.col("kinds") > HOT).alias("hot"))
-    by_doc = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("g", "h1", "h2", "count", "s", "n", "salt", "hot")).alias("parts"))
+    per = every.groupBy("g", "h1", "h2").agg(F.count("*").alias("count"), F.min(F.struct("id", "th", "s", "n", "o")).alias("one"))
+    wanted = per.join(_recurring(per), "g").select("one.*", "g", "h1", "h2", F.least("count", F.lit(2)).cast("int").alias("count"), (F.col("kinds") > HOT).alias("hot"))
+    by_doc = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("g", "h1", "h2", "count", "s", "n", "o", "hot")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4_000_000):
             rows = []
             for text, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                rows += [(p["g"], p["h1"], p["h2"], p["count"], raw[p["s"] : p["s"] + p["n"] + least - 1], p["salt"], p["hot"]) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.int64(), pa.bool_()])], names=["g", "h1", "h2", "count", "bytes", "salt", "hot"])
-
-    cuts = picked.join(by_doc, ["id", "th"]).select("text", "parts").mapInArrow(cut, "g long, h1 long, h2 long, count int, bytes binary, salt long, hot boolean")
-    dealt = cuts.repartition("g", "salt").sortWithinPartitions("g", "salt", "h1", "h2").select("g", "h1", "h2", "count", "bytes", "salt", "hot")
+                rows += [(p["g"], p["h1"], p["h2"], p["count"], raw[p["s"] : p["s"] + p["n"] + least - 1], p["o"], p["hot"]) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.int32(), pa.bool_()])], names=["g", "h1", "h2", "count", "bytes", "o", "hot"])
+
+    cuts = stored(picked.join(by_doc, ["id", "th"]).select("text", "parts").mapInArrow(cut, "g long, h1 long, h2 long, count int, bytes binary, o int, hot boolean"), "cuts")
+    key = ["g", "h1", "h2"]
+    ready = cuts.where("NOT hot").select(*key, "count", "bytes", F.lit(0).alias("parts"))
+    hot, links = cuts.where("hot").select(*key, "count", "bytes", "o", F.col("g").alias("rg"), F.col("h1").alias("rh1"), F.col("h2").alias("rh2"), F.lit(0).alias("shift")), None
+    for width in WIDTHS:
+        blocks = stored(hot.mapInArrow(_blocks(width, least), _BLOCK), "blocks")
+        kept = stored(blocks.join(_recurring(blocks.groupBy(key).agg(F.sum("count").alias("count"))), "g"), "blocks")
+        parts = F.when(F.col("kinds") > HOT, F.ceil(F.col("kinds") / HOT)).otherwise(0).cast("int").alias("parts")
+        done = kept if width == WIDTHS[-1] else kept.where(F.col("kinds") <= HOT)
+        hot = kept.where(F.col("kinds") > HOT).select(*blocks.columns)
+        ready = ready.union(done.groupBy(*key, parts).agg(F.least(F.sum("count"), F.lit(2)).cast("int").alias("count"), F.first("bytes").alias("bytes")).select(*key, "count", "bytes", "parts"))
+        of_root = done.select(*key, "rg", "rh1", "rh2", "shift")
+        links = of_root if links is None else links.union(of_root)
+    salt = F.when(F.col("parts") > 0, F.pmod("h1", "parts")).otherwise(0).cast("long")
+    dealt = ready.select(*key, "count", "bytes", salt.alias("salt"), (F.col("parts") > 0).alias("hot")).repartition("g", "salt").sortWithinPartitions("g", "salt", "h1", "h2")
     found = stored(dealt.mapInArrow(_shards(least), _FOUND), "repeats")
-    hot = found.where("weight > 0")
-    merged = hot.groupBy("g", F.shiftright("k1", 56).alias("range")).applyInArrow(_merged, "g long, h1 long, h2 long, a int, z int")
-    spans = found.where("weight = 0").select("g", "h1", "h2", "a", "z").union(merged)
-    of = spans.groupBy("g", "h1", "h2").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-    own = every.join(of, ["g", "h1", "h2"]).select("id", "th", F.transform("spans", lambda p: F.struct((p["a"] + F.col("s")).alias("a"), (p["z"] + F.col("s")).alias("z"))).alias("spans"))
+    merged = found.where("weight > 0").groupBy("g", F.shiftright("k1", 56).alias("range")).applyInArrow(_merged, "g long, h1 long, h2 long, a int, z int")
+    spans = found.where("weight = 0").select(*key, "a", "z").union(merged)
+    rooted = links.distinct().join(spans, key).select(F.col("rg").alias("g"), F.col("rh1").alias("h1"), F.col("rh2").alias("h2"), (F.col("a") + F.col("shift")).alias("a"), (F.col("z") + F.col("shift")).alias("z"))
+    of = spans.union(rooted).groupBy(key).agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    own = every.join(of, key).select("id", "th", F.transform("spans", lambda p: F.struct((p["a"] + F.col("s")).alias("a"), (p["z"] + F.col("s")).alias("z"))).alias("spans"))
     by_doc = own.groupBy("id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return picked.join(by_doc, ["id", "th"], "left")
 

@@ -89,7 +89,9 @@ def test_near_dups_against_brute_force(spark, odd):
     assert neardup.keep_one(odd).columns == odd.columns
 
 
-def test_substrings_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [1500, 1])
+def test_substrings_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
     rng = np.random.default_rng(5)
     word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
     p = word(450)
