@@ -13,6 +13,7 @@ What makes it one pass over a large corpus is how text is dealt to shards:
    segment.  Equal strings have equal anchors, so segments whose anchor hash
    occurs once hold nothing that repeats, and go no further.
 2. Equal segments become one, with a count (pre-aggregated before the shuffle).
+   All strings of a hash that stands for copies of one segment alone repeat.
 3. Different segments of an anchor hash meet in one shard.  Its suffix array
    and common prefixes give the classes of equal strings; a class that stands
    for two or more places is repeated.
@@ -46,7 +47,7 @@ LEAST = 400
 GRAM = 32  # short grams recur by chance, and would make candidates of most of a corpus
 HOT = 1500
 WIDTHS = (64, 8)
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 1_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _INDEX = U((1 << 28) - 1)
 _STEPS = U(1) << np.arange(0, 64, 8, dtype=np.uint64)
@@ -135,7 +136,7 @@ def _blocks(width: int, least: int):
     names = [f.split()[0] for f in _BLOCK.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4_000_000):
+        for b in slices(batches, 400_000):
             segments = b.column(4).to_pylist()
             raw = np.frombuffer(b"".join(segments), np.uint8)
             size = np.array([len(x) for x in segments])
@@ -172,7 +173,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(text)
     first = grams(text)
     tail = np.minimum(n - np.arange(n), 8)  # zeros past the end are smaller than the byte zero
-    order = np.lexsort((tail, first)) if n < 16 or (text == 0).any() else np.argsort(first, kind="stable")
+    order = np.lexsort((tail, first)) if n < 16 or (text == 0).any() else np.argsort(first)
     new = np.ones(n, bool)
     new[1:] = (first[order][1:] != first[order][:-1]) | (tail[order][1:] != tail[order][:-1])
     head = np.flatnonzero(new)
@@ -185,7 +186,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while len(open_):
         who = order[open_]
         here, further = rank[who], rank[np.minimum(who + h, n)]
-        by = np.lexsort((further, here))
+        by = np.argsort(here << 31 | further + 1)  # both are below 2**31
         who, here, further = who[by], here[by], further[by]
         order[open_] = who
         new = np.ones(len(who), bool)
@@ -198,7 +199,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank[:n]
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, stripe: int = 512) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, stripe: int = 64) -> np.ndarray:
     """Kasai's algorithm: bytes that each suffix shares with the one before it in the array.
 
     The text is cut into stripes that are walked side by side: each keeps the
@@ -323,11 +324,13 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     every = stored(anchors(picked, least), "anchors")
     per = every.groupBy("g", "h1", "h2").agg(F.count("*").alias("count"), F.min(F.struct("id", "th", "s", "n", "o")).alias("one"))
-    wanted = per.join(_recurring(per), "g").select("one.*", "g", "h1", "h2", F.least("count", F.lit(2)).cast("int").alias("count"), (F.col("kinds") > HOT).alias("hot"))
+    same = stored(per.join(_recurring(per), "g"), "segments")
+    spans = same.where("kinds = 1").select("g", "h1", "h2", F.lit(0).alias("a"), (F.col("one.n") - 1).alias("z"))
+    wanted = same.where("kinds > 1").select("one.*", "g", "h1", "h2", F.least("count", F.lit(2)).cast("int").alias("count"), (F.col("kinds") > HOT).alias("hot"))
     by_doc = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("g", "h1", "h2", "count", "s", "n", "o", "hot")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4_000_000):
+        for b in slices(batches, 1_000_000):
             rows = []
             for text, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
@@ -343,17 +346,18 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         kept = stored(blocks.join(_recurring(blocks.groupBy(key).agg(F.sum("count").alias("count"))), "g"), "blocks")
         parts = F.when(F.col("kinds") > HOT, F.ceil(F.col("kinds") / HOT)).otherwise(0).cast("int").alias("parts")
         done = kept if width == WIDTHS[-1] else kept.where(F.col("kinds") <= HOT)
+        spans = spans.union(done.where("kinds = 1").select(*key, F.lit(0), F.octet_length("bytes") - least).distinct())
         hot = kept.where(F.col("kinds") > HOT).select(*blocks.columns)
-        ready = ready.union(done.groupBy(*key, parts).agg(F.least(F.sum("count"), F.lit(2)).cast("int").alias("count"), F.first("bytes").alias("bytes")).select(*key, "count", "bytes", "parts"))
+        ready = ready.union(done.where("kinds > 1").groupBy(*key, parts).agg(F.least(F.sum("count"), F.lit(2)).cast("int").alias("count"), F.first("bytes").alias("bytes")).select(*key, "count", "bytes", "parts"))
         of_root = done.select(*key, "rg", "rh1", "rh2", "shift")
         links = of_root if links is None else links.union(of_root)
     salt = F.when(F.col("parts") > 0, F.pmod("h1", "parts")).otherwise(0).cast("long")
     dealt = ready.select(*key, "count", "bytes", salt.alias("salt"), (F.col("parts") > 0).alias("hot")).repartition("g", "salt").sortWithinPartitions("g", "salt", "h1", "h2")
     found = stored(dealt.mapInArrow(_shards(least), _FOUND), "repeats")
     merged = found.where("weight > 0").groupBy("g", F.shiftright("k1", 56).alias("range")).applyInArrow(_merged, "g long, h1 long, h2 long, a int, z int")
-    spans = found.where("weight = 0").select(*key, "a", "z").union(merged)
+    spans = spans.union(found.where("weight = 0").select(*key, "a", "z")).union(merged)
     rooted = links.distinct().join(spans, key).select(F.col("rg").alias("g"), F.col("rh1").alias("h1"), F.col("rh2").alias("h2"), (F.col("a") + F.col("shift")).alias("a"), (F.col("z") + F.col("shift")).alias("z"))
-    of = spans.union(rooted).groupBy(key).agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    of = stored(spans.union(rooted).groupBy(key).agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")  # read again, so that the join can split a frequent segment
     own = every.join(of, key).select("id", "th", F.transform("spans", lambda p: F.struct((p["a"] + F.col("s")).alias("a"), (p["z"] + F.col("s")).alias("z"))).alias("spans"))
     by_doc = own.groupBy("id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return picked.join(by_doc, ["id", "th"], "left")
