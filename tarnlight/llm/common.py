@@ -10,7 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Arrow batches of texts hold at most so many bytes, in the JVM and in Python.
+BATCH_BYTES = 8_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bytes per Arrow batch to ``BATCH_BYTES``; a smaller setting stays.
+
+    The default, 64 MB, is held several times over by every task that runs Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,12 +60,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     lost executor costs only the tasks it was running.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/tarnlight/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterable, most_bytes: int = 16_000_000) -> Iterable:
+def slices(batches: Iterable, most_bytes: int = 2_000_000) -> Iterable:
     """Cut Arrow record batches into pieces of bounded size (one row at least)."""
     for batch in batches:
         n = batch.num_rows

@@ -44,7 +44,7 @@ M, BANDS, ROWS = 128, 32, 4
 SIMILAR = 0.8
 #: Components in which a pair of similarity 0.8 agrees, less six standard deviations.
 LEAST_AGREEING = int(M * SIMILAR - 6 * (M * SIMILAR * (1 - SIMILAR)) ** 0.5)
-TILE, TILE_BYTES = 1024, 4_000_000
+TILE, TILE_BYTES = 1024, 2_000_000
 
 
 def signatures(text: np.ndarray, run: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
@@ -98,7 +98,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``(id, digest, sig, bytes)`` of every row: class of equal multisets (null without words), signature, and size of the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2_000_000):
+        for b in slices(batches, 1_000_000):
             sig, digest = _signed(b, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(np.diff(utf8(b.column(1))[1]))], names=["id", "digest", "sig", "bytes"])
 
@@ -131,7 +131,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows a, b, text of a, text of b: those similar enough."""
     for b in batches:
-        for s in slices([b], 4_000_000):
+        for s in slices([b], 1_000_000):
             sides = []
             for k in (2, 3):
                 raw, at = utf8(s.column(k))
