@@ -47,7 +47,7 @@ LEAST = 400
 GRAM = 32  # short grams recur by chance, and would make candidates of most of a corpus
 HOT = 1500
 WIDTHS = (64, 8)
-SHARD_BYTES = 1_000_000
+SLICE_BYTES, SHARD_BYTES = 100_000, 400_000  # some 30 arrays of 8 bytes a byte are held
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _INDEX = U((1 << 28) - 1)
 _STEPS = U(1) << np.arange(0, 64, 8, dtype=np.uint64)
@@ -116,7 +116,7 @@ def anchors(docs: DataFrame, least: int) -> DataFrame:
     """``(id, th, g, h1, h2, s, n, o)``: a row for each segment: its anchor hash, its own hashes, first place, number of strings, and place of the anchor in the segment."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 400_000):
+        for b in slices(batches, SLICE_BYTES):
             raw, at = utf8(b.column(2))
             doc, g, place, s, last = anchored(raw, at, least)
             if not len(doc):
@@ -136,7 +136,7 @@ def _blocks(width: int, least: int):
     names = [f.split()[0] for f in _BLOCK.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 400_000):
+        for b in slices(batches, SLICE_BYTES):
             segments = b.column(4).to_pylist()
             raw = np.frombuffer(b"".join(segments), np.uint8)
             size = np.array([len(x) for x in segments])
