@@ -3,13 +3,17 @@
 Method: events of the standard library's streaming HTML parser make lines of
 text (one for each block); each line has a text-to-tag ratio, its characters
 for each tag that opens in it; the ratios are smoothed by a Gaussian over the
-neighbouring lines and parted by a threshold between two clusters.  Lines of
-elements that are never main text (menus, headers, footers, sidebars, forms,
-scripts, styles, and blocks whose class, id or role calls them an advert, a
-notice, comments, ...) are left out before.  Where a page marks its articles
-(article, main), the marked regions are candidates as wholes: a region is
-content if its smoothed ratio reaches the threshold, and the best one always,
-so that a short paragraph inside an article is never lost to its neighbours.
+neighbouring lines, inside and outside of marked articles apart, and parted by
+a threshold between two clusters.  Lines of elements that are never main text
+(menus, headers, footers, sidebars, forms, scripts, styles, and blocks whose
+class, id or role calls them an advert, a notice, comments, ...) are left out
+before.
+
+A marked region (article, main) is content as a whole if its smoothed ratio
+reaches the threshold.  Unmarked lines compete with the marked regions: they
+are content where their smoothed ratio reaches the threshold and they hold half
+as much text; without such lines the best marked region stays whatever its
+ratio.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are joined in page order by an empty line.  Null and empty pages, and
@@ -23,6 +27,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,10 +48,16 @@ NAMED = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 
+class _Line(NamedTuple):
+    text: str
+    tags: int
+    region: int  # outermost marked element (0: none)
+
+
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []  # text, tags, marked region (0: none)
+        self.lines: list[_Line] = []
         self.stack: list[tuple[str, bool, int]] = []  # element, left out, marked region
         self.text: list[str] = []
         self.tags = self.regions = 0
@@ -55,7 +66,7 @@ class _Lines(HTMLParser):
         out, region = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
         text = " ".join("".join(self.text).split())
         if text and not out:
-            self.lines.append((text, self.tags, region))
+            self.lines.append(_Line(text, self.tags, region))
         if text or out:
             self.tags = 0
         self.text = []
@@ -134,16 +145,22 @@ def main_text(page: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    smooth = _smooth([len(t) / max(1, n) for t, n, _ in lines])
-    cut = _threshold(smooth)
-    regions = {r for _, _, r in lines if r}
-    if regions:
-        best = {r: max(s for s, x in zip(smooth, lines) if x[2] == r) for r in regions}
-        top = max(best.values())
-        kept = [t for t, _, r in lines if r and (best[r] >= min(cut, top))]
-    else:
-        kept = [t for s, (t, _, _) in zip(smooth, lines) if s >= cut]
-    return "\n\n".join(kept)
+    scores = [0.0] * len(lines)
+    for r in {x.region for x in lines}:
+        at = [i for i, x in enumerate(lines) if x.region == r]
+        for i, v in zip(at, _smooth([len(lines[i].text) / max(1, lines[i].tags) for i in at])):
+            scores[i] = v
+    cut = _threshold(scores)
+    best: dict[int, float] = {}
+    for x, v in zip(lines, scores):
+        best[x.region] = max(v, best.get(x.region, 0.0))
+    plain = [i for i, x in enumerate(lines) if not x.region]
+    free = {i for i in plain if scores[i] >= cut}
+    marked = {r: v for r, v in best.items() if r}
+    if 2 * sum(len(lines[i].text) for i in free) < sum(len(x.text) for x in lines if x.region in marked and marked[x.region] >= cut):
+        free = set()
+    least = cut if free else min(cut, max(marked.values(), default=cut))
+    return "\n\n".join(x.text for i, x in enumerate(lines) if i in free or marked.get(x.region, -1.0) >= least)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -123,3 +123,16 @@ def test_html():
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9), (None, 1)], "src long, dst long")
     assert {r.id: r.component for r in connected_components(e).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+
+
+LONG = " ".join(["The main text of this page goes on for a good while."] * 8)
+
+
+def test_html_unmarked_text_competes_with_marked_regions():
+    teaser = "<article class='card'><a href='/x'>Read more</a></article>"
+    story = f"<div class='story'><p>{LONG}</p><p>{LONG}</p></div>"
+    assert html.main_text(f"<body>{teaser}{story}</body>") == f"{LONG}\n\n{LONG}"
+    assert html.main_text(f"<body>{story}{teaser * 3}</body>") == f"{LONG}\n\n{LONG}"
+    # An article is whole, and what is short beside it is no main text.
+    page = f"<body><div>By someone</div><article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>End.</p></article><div>Read on</div></body>"
+    assert html.main_text(page) == f"Head\n\n{LONG}\n\n{LONG}\n\nEnd."
