@@ -7,13 +7,19 @@ neighbouring lines, inside and outside of marked articles apart, and parted by
 a threshold between two clusters.  Lines of elements that are never main text
 (menus, headers, footers, sidebars, forms, scripts, styles, and blocks whose
 class, id or role calls them an advert, a notice, comments, ...) are left out
-before.
+before.  A class or id does not count on a block that holds over half of the
+page's text and of its lines, unless an article or main outside it holds a
+quarter as much.
 
-A marked region (article, main) is content as a whole if its smoothed ratio
-reaches the threshold.  Unmarked lines compete with the marked regions: they
-are content where their smoothed ratio reaches the threshold and they hold half
-as much text; without such lines the best marked region stays whatever its
-ratio.
+What is kept are whole regions, never single lines by their own ratio.  A
+marked region (article, main) is content if its smoothed ratio reaches the
+threshold.  Unmarked text competes with the marked regions: it is content
+where its smoothed ratio reaches the threshold and it holds half as much text
+as they do; without such text the best marked region stays whatever its ratio.
+Of unmarked text a container is kept whole if a line of its own reaches the
+threshold; otherwise its own lines and, one by one, its parts: those that reach
+the threshold, those between them, and those of the same tag and class.  Lines
+and parts below the threshold that are mostly links stay only between content.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are joined in page order by an empty line.  Null and empty pages, and
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -41,6 +48,10 @@ HOLDERS = frozenset("article aside body button dialog div fieldset figure footer
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("aside button dialog fieldset footer form head iframe menu nav noscript object script search select style svg template textarea title".split())
 MARKED = frozenset(("article", "main"))
+#: Elements whose text is a region of its own; lists and tables belong to what holds them.
+CONTAINERS = MARKED | {"div", "section"}
+#: Containers and named holders nested deeper belong to the one at this depth.
+DEEPEST = 100
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|signup|sidebars?|side-bar|rail|widget\w*|menus?|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|respond|replies|reviews?|disqus|discussion|share|sharing|social|related|recommend\w*|popup|modal|overlay|login|search|toolbar|pagination|pager|footer|masthead|site-header|page-header|skip-link|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
@@ -51,25 +62,41 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 class _Line(NamedTuple):
     text: str
     tags: int
-    region: int  # outermost marked element (0: none)
+    linked: int  # characters inside links
+    region: int  # outermost marked container (0: none)
+    path: tuple[int, ...]  # containers, from the outermost
+    named: tuple[int, ...]  # holders whose class or id calls them no main text
+
+
+class _Holder(NamedTuple):
+    tag: str
+    out: bool
+    region: int
+    path: tuple[int, ...]
+    named: tuple[int, ...]
 
 
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self.stack: list[tuple[str, bool, int]] = []  # element, left out, marked region
+        self.stack: list[_Holder] = []
         self.text: list[str] = []
-        self.tags = self.regions = 0
+        self.kinds: list[tuple[str, str]] = [("", "")]  # tag and class of each container and named holder
+        self.tags = self.linked = 0
+        self.link = False
+
+    def top(self) -> _Holder:
+        return self.stack[-1] if self.stack else _Holder("", False, 0, (), ())
 
     def flush(self) -> None:
-        out, region = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
+        at = self.top()
         text = " ".join("".join(self.text).split())
-        if text and not out:
-            self.lines.append(_Line(text, self.tags, region))
-        if text or out:
+        if text and not at.out:
+            self.lines.append(_Line(text, self.tags, self.linked, at.region, at.path, at.named))
+        if text or at.out:
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS or tag in HOLDERS:
@@ -77,16 +104,21 @@ class _Lines(HTMLParser):
         elif tag == "br":
             self.text.append(" ")
         self.tags += 1
+        if tag == "a":
+            self.link = True
         if tag in HOLDERS:
-            out, region = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
+            _, out, region, path, named = self.top()
             if not out:
                 a = {k: v or "" for k, v in attrs}
                 out = tag in NEVER or (tag == "header" and not region) or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES
-                out = out or (tag not in ("body", "main") and bool(NAMED.search(a.get("class", "")) or NAMED.search(a.get("id", ""))))
-            if tag in MARKED and not region and not out:
-                self.regions += 1
-                region = self.regions
-            self.stack.append((tag, out, region))
+                calls = tag not in ("body", "main") and bool(NAMED.search(a.get("class", "")) or NAMED.search(a.get("id", "")))
+                if not out and (tag in CONTAINERS or calls):
+                    new = len(self.kinds)
+                    self.kinds.append((tag, a.get("class", "")))
+                    path = (*path, new) if tag in CONTAINERS and len(path) < DEEPEST else path
+                    named = (*named, new) if calls and len(named) < DEEPEST else named
+                    region = region or (new if tag in MARKED else 0)
+            self.stack.append(_Holder(tag, out, region, path, named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -99,15 +131,18 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in HOLDERS:
             self.flush()
+        if tag == "a":
+            self.link = False
         if tag in HOLDERS:
             for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == tag:
+                if self.stack[i].tag == tag:
                     del self.stack[i:]
                     break
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][1]):
+        if not self.top().out:
             self.text.append(data)
+            self.linked += len(data) if self.link else 0
 
 
 def _smooth(values: list[float], sigma: float = 1.0, reach: int = 2) -> list[float]:
@@ -134,6 +169,51 @@ def _threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def _unnamed(lines: list[_Line]) -> list[_Line]:
+    """The lines outside of named holders, but for holders of over half of the page's text and lines."""
+    if not any(x.named for x in lines):
+        return lines
+    region, size, many = Counter(), Counter(), Counter()
+    for x in lines:
+        region[x.region] += len(x.text)
+        for h in x.named:
+            size[h] += len(x.text)
+            many[h] += 1
+    whole = sum(region.values())
+    left_out = {h for h in size if 2 * size[h] <= whole or 2 * many[h] <= len(lines)}
+    for h in size.keys() - left_out:
+        within = {x.region for x in lines if h in x.named}
+        if any(r and r not in within and 4 * n >= size[h] for r, n in region.items()):
+            left_out.add(h)
+    return [x for x in lines if left_out.isdisjoint(x.named)]
+
+
+def _region(lines: list[_Line], scores: list[float], kinds: list[tuple[str, str]], some: list[int], depth: int, cut: float) -> set[int]:
+    """Of the lines ``some`` of one container, ``depth`` containers deep, those that are kept."""
+    while all(len(lines[i].path) > depth for i in some) and len({lines[i].path[depth] for i in some}) == 1:
+        depth += 1
+    parts: dict[int, list[int]] = {}  # lines of each container inside; 0: own lines
+    for i in some:
+        parts.setdefault(lines[i].path[depth] if len(lines[i].path) > depth else 0, []).append(i)
+    high = {p for p, at in parts.items() if max(scores[i] for i in at) >= cut}
+    content = [i for p in high for i in parts[p] if p or scores[i] >= cut]
+    first, last = min(content), max(content)
+    alike = {kinds[p] for p in high if p}
+
+    def links(at: list[int]) -> bool:
+        return 2 * sum(lines[i].linked for i in at) > sum(len(lines[i].text) for i in at)
+
+    kept: set[int] = set()
+    for p, at in parts.items():
+        if not p:
+            kept.update(i for i in at if first <= i <= last or scores[i] >= cut or not links([i]))
+        elif p in high:
+            kept |= set(at) if 0 in high else _region(lines, scores, kinds, at, depth + 1, cut)
+        elif first < at[0] < last or ((0 in high or kinds[p] in alike) and not links(at)):
+            kept.update(at)
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """Main text of one page, blocks joined by an empty line."""
     if not page:
@@ -142,7 +222,7 @@ def main_text(page: str | None) -> str:
     parser.feed(page)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = _unnamed(parser.lines)
     if not lines:
         return ""
     scores = [0.0] * len(lines)
@@ -155,7 +235,7 @@ def main_text(page: str | None) -> str:
     for x, v in zip(lines, scores):
         best[x.region] = max(v, best.get(x.region, 0.0))
     plain = [i for i, x in enumerate(lines) if not x.region]
-    free = {i for i in plain if scores[i] >= cut}
+    free = _region(lines, scores, parser.kinds, plain, 0, cut) if plain and best[0] >= cut else set()
     marked = {r: v for r, v in best.items() if r}
     if 2 * sum(len(lines[i].text) for i in free) < sum(len(x.text) for x in lines if x.region in marked and marked[x.region] >= cut):
         free = set()

@@ -136,3 +136,15 @@ def test_html_unmarked_text_competes_with_marked_regions():
     # An article is whole, and what is short beside it is no main text.
     page = f"<body><div>By someone</div><article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>End.</p></article><div>Read on</div></body>"
     assert html.main_text(page) == f"Head\n\n{LONG}\n\n{LONG}\n\nEnd."
+
+
+def test_html_keeps_whole_regions_of_unmarked_pages():
+    body = f"<h1>Head</h1><p>{LONG}</p><ul><li>one</li><li>two</li></ul><p>Short.</p><p>{LONG}</p><p>End.</p>"
+    whole = f"Head\n\n{LONG}\n\none\n\ntwo\n\nShort.\n\n{LONG}\n\nEnd."
+    around = "<body><nav>menu</nav><div class='top'><a href='/'>Home</a> <a href='/a'>About</a></div>%s<div class='ad'>buy</div><footer>f</footer></body>"
+    for page in (body, f"<div>{body}</div>", f"<section><div>{body}</div></section>", f"<div class='layout with-sidebar'><div class='sidebar'>side</div><div>{body}</div></div>", f"<article class='review'>{body}</article>", f"<div class='no-sidebar legal-text'>{body}</div>"):
+        assert html.main_text(around % page) == whole
+    comments = f"<article><p>{LONG}</p></article><div id='comments'><p>{LONG}</p><p>{LONG}</p></div>"
+    assert html.main_text(around % comments) == LONG
+    assert html.main_text("<body><div class='ad'>Buy this and that today.</div><div><h1>A b</h1><p>c d</p></div></body>") == "A b\n\nc d"
+    assert html.main_text("<div class='x-menu'><div>a" * 3000 + f"<p>{LONG}").endswith(LONG)
