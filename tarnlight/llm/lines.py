@@ -2,12 +2,14 @@
 
 Method: winnowing over line hashes.  A window is the shortest run of lines from
 a given line that has ``min_lines`` lines or ``min_words`` words.  The smallest
-line hash of each window (the rightmost of equal ones) is its fingerprint, so
-two documents that share a run as long as a window share a fingerprint.
-Positions of equal fingerprints are joined; a match is extended both ways to
-every window around its fingerprint; each such window that stands earlier, by
-(document id, line), is a repeated run, and all its lines are deleted.  A
-longer run is the union of its windows.
+line hash of each window is its fingerprint, so two documents that share a
+window share a fingerprint; windows without a shared one are left out.  Each
+window that stands earlier, by (document id, line), is a repeated run, and all
+its lines are deleted.
+
+This is the definition of ``SQL``.  Matches are not extended: where a shared run
+goes on behind a window of ``min_words`` words by lines that make no window of
+their own, those lines stay.
 
 Lines end at line feeds; they are compared without ASCII white space at their
 ends.  Blank lines are no lines here: they never count and always stay.  Null
