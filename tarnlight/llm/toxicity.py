@@ -7,9 +7,12 @@ of a text, each once, in lower case without the punctuation around them, and
 the first 4 and 5 letters of longer words, for stems that take many endings;
 a term is known by a 64-bit hash.
 
+The model knows the terms of at least ``least_docs`` learnt rows whose share of
+toxic ones is ``least_strength`` standard deviations off, the strongest
+``most_terms``.  So a pair counts only if its terms stand out by themselves.
+
 Learning uses at most ``most_rows`` labelled rows, those of smallest id hash,
-and never a row whose crc32(id as text) mod 5 is 0.  It is the only step with
-a bound; every whole text is scored.
+and never a row whose crc32(id as text) mod 5 is 0.  Every whole text is scored.
 
 Null and empty texts have no terms and get the score of the bias.  Null labels
 are not learnt from; a document with several labels has the largest.  Without
@@ -110,7 +113,7 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, most_terms: int = 50_000, least_strength: float = 4.0) -> FM:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, most_terms: int = 50_000, least_strength: float = 4.0, least_docs: int = 3) -> FM:
     """Learn from at most ``most_rows`` labelled rows that are not held out.
 
     The labelled ids are bounded by ``most_rows``, so they are broadcast to the
@@ -139,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if toxic in (0, n):
         return FM(np.zeros(0, np.int64), bias if n else 0.0)
     # Terms that are rare or go with neither class would only learn the training rows by heart.
-    mean, least_docs = toxic / n, max(3, n // 1000)
+    mean = toxic / n
     per = made.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("many"), F.sum("y").alias("toxic")).where(F.col("many") >= least_docs)
     strength = F.abs(F.col("toxic") - F.col("many") * mean) / F.sqrt(F.col("many") * (mean * (1 - mean)))
     best = per.select("term", strength.alias("s")).where(F.col("s") >= least_strength).orderBy(F.desc("s"), "term").limit(most_terms)
