@@ -15,7 +15,8 @@ Lines end at line feeds; they are compared without ASCII white space at their
 ends.  Blank lines are no lines here: they never count and always stay.  Null
 and empty texts have no lines and stay as they are.  A null id is smaller than
 any other.  Rows with equal id and line are one position: neither of them is
-earlier.  Other columns of the input come back unchanged from ``dedup``.
+earlier; runs found in one text of an id go from rows of that text only.  Other
+columns of the input come back unchanged from ``dedup``.
 """
 
 from __future__ import annotations
@@ -38,13 +39,13 @@ def _signed(x: int) -> int:
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_words: int) -> DataFrame:
-    """``(id, fp, w1, w2, a, z)``: fingerprint, hash, first and last line of each window."""
+    """``(id, t, fp, w1, w2, a, z)``: hash of the text, fingerprint, hash, first and last line of each window."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line_hash, run_hash = xxhash.xxh3_64_digest, xxhash.xxh3_128_intdigest
         for b in slices(batches):
-            out: list[list] = [[], [], [], [], [], []]
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for i, text, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 lines = [x for x in ((text or "").split("\n")) if x]
                 lines = [x.encode() for x in (y.strip(_BLANK) for y in lines) if x]
                 n = len(lines)
@@ -58,16 +59,16 @@ def windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_wor
                     if total < min_words and z - a + 1 < min_lines:
                         break
                     run = run_hash(b"".join(h[a : z + 1]))
-                    for column, x in zip(out, (i, _signed(int.from_bytes(min(h[a : z + 1]), "big")), _signed(run >> 64), _signed(run & (1 << 64) - 1), a, z)):
+                    for column, x in zip(out, (i, t, _signed(int.from_bytes(min(h[a : z + 1]), "big")), _signed(run >> 64), _signed(run & (1 << 64) - 1), a, z)):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:4]], pa.array(out[4], pa.int32()), pa.array(out[5], pa.int32())], names=["id", "fp", "w1", "w2", "a", "z"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:5]], pa.array(out[5], pa.int32()), pa.array(out[6], pa.int32())], names=["id", "t", "fp", "w1", "w2", "a", "z"])
 
-    picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(work, "id long, fp long, w1 long, w2 long, a int, z int")
+    picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("t"))
+    return picked.mapInArrow(work, "id long, t long, fp long, w1 long, w2 long, a int, z int")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, runs)``: the windows of each document that stand earlier in the corpus.
+    """``(id, t, runs)``: the windows of each document, by id and hash of the text, that stand earlier in the corpus.
 
     Both group-bys combine before the shuffle, so a fingerprint of a third of
     all lines reaches its task as one row for each map task; the joins back are
@@ -78,13 +79,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     matched = every.join(shared, "fp")
     first = matched.groupBy("w1", "w2").agg(F.min(F.struct("id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = matched.join(first, ["w1", "w2"]).where(F.struct("id", "a") > F.col("first"))
-    return later.groupBy("id").agg(F.collect_set(F.struct("a", "z")).alias("runs"))
+    return later.groupBy("id", "t").agg(F.collect_set(F.struct("a", "z")).alias("runs"))
 
 
-def _applied(docs: DataFrame, id_col: str, found: DataFrame) -> DataFrame:
+def _applied(docs: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    name = free(docs, "__key")
-    return docs.withColumn(name, key).join(found.select(F.col("id").alias(name), F.col("runs").alias(free(docs, "__runs"))), name, "left").drop(name)
+    name, text = free(docs, "__key"), free(docs, "__text_hash")
+    found = found.select(F.col("id").alias(name), F.col("t").alias(text), F.col("runs").alias(free(docs, "__runs")))
+    return docs.withColumn(name, key).withColumn(text, F.xxhash64(F.col(text_col))).join(found, [name, text], "left").drop(name, text)
 
 
 def strip_runs(text: str | None, runs: list | None) -> tuple[str | None, int, int]:
@@ -108,7 +110,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repor
 
     With ``report`` also ``__n_lines`` and ``__n_removed`` (lines that are not blank).
     """
-    joined = _applied(docs, id_col, repeats(docs, id_col, text_col, min_lines, min_words))
+    joined = _applied(docs, id_col, text_col, repeats(docs, id_col, text_col, min_lines, min_words))
     at, schema = docs.columns.index(text_col), docs.schema
     if report:
         schema = type(schema)([*schema.fields]).add("__n_lines", "long").add("__n_removed", "long")

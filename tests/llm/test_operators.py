@@ -159,3 +159,11 @@ def test_toxicity_knows_rare_terms_of_large_samples(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     assert len(learnt) > 5000 and len(rare) == 4 and xxhash.xxh3_64_intdigest("zorkus") >> 1 in model.known
+
+
+def test_lines_of_one_text_stay_in_others_of_its_id(spark):
+    a, own = "one\ntwo\nthree", "p\nq\nr\ns"
+    texts = [(None, a), (None, "zero\n" + a), (None, own), (5, a), (5, own + "\nt"), (5, a), (6, "k\nl\nm\nn")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(texts)], "doc_id long, text string, n int")
+    got = {r.n: r.text for r in lines.dedup(docs).collect()}
+    assert got == {0: a, 1: "zero", 2: own, 3: "", 4: "t", 5: "", 6: "k\nl\nm\nn"}
