@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tarnlight.llm import bpe, html, lines, mixing, neardup, queries, substrings, token_store, toxicity, vectors
+from tarnlight.llm import bpe, fingerprints, html, lines, mixing, neardup, queries, substrings, token_store, toxicity, vectors
 from tarnlight.llm.common import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -167,3 +167,27 @@ def test_lines_of_one_text_stay_in_others_of_its_id(spark):
     docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(texts)], "doc_id long, text string, n int")
     got = {r.n: r.text for r in lines.dedup(docs).collect()}
     assert got == {0: a, 1: "zero", 2: own, 3: "", 4: "t", 5: "", 6: "k\nl\nm\nn"}
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(map(chr, rng.integers(97, 100, n)))
+    texts = [word(n) for n in (1, 11, 12, 13, 26, 27, 28, 53, 54, 55, 200, 8192, 8218, 8219)] + ["ab" * 60, "", None]
+    rows = [*enumerate(texts), (3, word(40)), (3, word(30)), (None, word(70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(rows, key=lambda r: (-(-(2**63) if r[0] is None else r[0]), r[1] is not None, r[1] or ""))
+    expected = []
+    for k, (i, text) in enumerate(order):
+        t, after = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) - len(t) // 2
+        expected.append((i, t, t[:half] + after[: len(t) - half]))
+    grams = sorted({x[k : k + 12] for _, t, e in expected for x in (t, e) for k in range(max(1, len(x) - 11))})
+    hashed = {r.g: r.h & (2**31 - 1) for r in spark.createDataFrame([(g,) for g in grams], "g string").select("g", F.hash("g").alias("h")).collect()}
+
+    def brute(x: str) -> list[int]:
+        h = [hashed[x[k : k + 12]] for k in range(max(1, len(x) - 11))] if x else []
+        windows = [range(a, min(a + 16, len(h))) for a in range(max(1, len(h) - 15))] if h else []
+        return sorted({p << 31 | h[p] for w in windows for p in [min(w, key=lambda q: (h[q], -q))]})
+
+    got = [(r.doc_id, r.edited, r.fp, r.edited_fp) for r in fingerprints.edits(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((i, e, brute(t), brute(e))) for i, t, e in expected)
