@@ -42,7 +42,7 @@ STAGES = [
     ("bpe", encode_bpe),
 ]
 
-#: The toxicity model and the tokenizer have no SQL; tests hold the stages against brute force.
+#: The toxicity model and the tokenizer have no SQL; tests hold the run against its stages, one after the other.
 ORACLE_SQL = None
 
 
