@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tasks that one key is dealt to, whatever its share of the rows.
+SALTS = 64
+
+
+def salt(*columns: str) -> Column:
+    """One of ``SALTS`` numbers by a hash of the columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def over_salts(rows: DataFrame, keys: list[str], **totals: tuple) -> DataFrame:
+    """Aggregates of each key, a row for each of its values of ``salt``, to be joined back by key and salt.
+
+    ``totals``: name = (how partial results are put together, the aggregate of
+    a key and salt).  No task gets more of a key than one salt's rows and, in
+    the window over its partial results, ``SALTS`` rows.
+    """
+    part = rows.groupBy(*keys, "salt").agg(*[each.alias(name) for name, (_, each) in totals.items()])
+    whole = Window.partitionBy(*keys)
+    return part.select(*keys, "salt", *[put(name).over(whole).alias(name) for name, (put, _) in totals.items()])
+
+
 def slices(batches: Iterable, most_bytes: int = 2_000_000) -> Iterable:
     """Cut Arrow record batches into pieces of bounded size (one row at least)."""
     for batch in batches:

@@ -1,22 +1,30 @@
 """Delete runs of lines that stand earlier in the corpus (operator 1).
 
-Method: winnowing over line hashes.  A window is the shortest run of lines from
-a given line that has ``min_lines`` lines or ``min_words`` words.  The smallest
-line hash of each window is its fingerprint, so two documents that share a
-window share a fingerprint; windows without a shared one are left out.  Each
-window that stands earlier, by (document id, line), is a repeated run, and all
-its lines are deleted.
-
-This is the definition of ``SQL``.  Matches are not extended: where a shared run
-goes on behind a window of ``min_words`` words by lines that make no window of
-their own, those lines stay.
+Method: winnowing over line hashes.  A run of lines counts if it has
+``min_lines`` lines or ``min_words`` words.  The window of a line is the
+shortest run from it that counts; of each window the smallest line hash, the
+rightmost of equal ones, is chosen and kept with its position.  Equal windows
+choose the same line, so two places that share a run that counts share a chosen
+hash at the same place of the run: a guaranteed fingerprint.
+
+Positions are joined by fingerprint; those whose fingerprint stands nowhere else
+are left out.  From a chosen line matches are extended both ways as far as the
+next fingerprint does not take over: to every run around it that counts, has at
+most ``min_lines`` lines and is no union of shorter ones.  A run longer than that
+is the union of such runs, since each of its lines lies in one of them.  So a
+line goes exactly if it lies in a run that counts, of any length, all of whose
+lines stand one after the other at an earlier place too: the matches between a
+place and every earlier one, extended until lines differ.  That is the
+definition of ``SQL``.
 
 Lines end at line feeds; they are compared without ASCII white space at their
 ends.  Blank lines are no lines here: they never count and always stay.  Null
 and empty texts have no lines and stay as they are.  A null id is smaller than
 any other.  Rows with equal id and line are one position: neither of them is
-earlier; runs found in one text of an id go from rows of that text only.  Other
-columns of the input come back unchanged from ``dedup``.
+earlier; runs found in one text of an id go from rows of that text only.  A text
+of any length is worked in one pass over its lines.  An empty table gives an
+empty one.  Other columns of the input, whatever their names, come back
+unchanged from ``dedup``.
 """
 
 from __future__ import annotations
@@ -28,57 +36,89 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import free, slices, stored
+from tarnlight.llm.common import free, over_salts, salt, slices, stored
 
 MIN_LINES, MIN_WORDS = 3, 50
 _BLANK = " \t\r\x0b\x0c"
+_CHOSEN = "id long, t long, k int, fp long, runs array<struct<w1:long,w2:long,a:int,z:int>>"
+_RUN = pa.struct([("w1", pa.int64()), ("w2", pa.int64()), ("a", pa.int32()), ("z", pa.int32())])
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_words: int) -> DataFrame:
-    """``(id, t, fp, w1, w2, a, z)``: hash of the text, fingerprint, hash, first and last line of each window."""
+def winnowed(h: list[bytes], many: list[int], min_lines: int, min_words: int) -> dict[int, list[tuple[int, int]]]:
+    """Chosen lines of a text with hashes ``h`` and ``many`` words: the runs (first, last line) around each."""
+    n, out = len(h), {}
+    z, total = -1, 0  # the window of the line before ends here
+    for a in range(n):
+        if z < a:
+            z, total = a, many[a]
+        while total < min_words and z - a + 1 < min_lines and z + 1 < n:
+            z += 1
+            total += many[z]
+        if total < min_words and z - a + 1 < min_lines:
+            break
+        least = min(h[a : z + 1])
+        k = next(i for i in range(z, a - 1, -1) if h[i] == least)
+        runs = out.setdefault(k, [])
+        runs.append((a, z))
+        rest = total - many[a]  # words from the next line on: with enough of them the next line has this run's end too
+        for e in range(z + 1, min(a + min_lines, n)):
+            rest += many[e]
+            if rest >= min_words:
+                break
+            runs.append((a, e))
+        total -= many[a]
+        while z > a + 1 and total - many[z] >= min_words:  # the next window may end earlier
+            total -= many[z]
+            z -= 1
+        if z - a >= min_lines:
+            total -= many[z]
+            z -= 1
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_words: int) -> DataFrame:
+    """``(id, t, k, fp, runs)``: hash of the text, place and hash of each chosen line, and hash, first and last line of the runs around it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line_hash, run_hash = xxhash.xxh3_64_digest, xxhash.xxh3_128_intdigest
         for b in slices(batches):
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for i, text, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 lines = [x for x in ((text or "").split("\n")) if x]
                 lines = [x.encode() for x in (y.strip(_BLANK) for y in lines) if x]
-                n = len(lines)
                 h = [line_hash(x) for x in lines]
-                many = [len(x.split()) for x in lines]
-                for a in range(n):
-                    z, total = a, many[a]
-                    while total < min_words and z - a + 1 < min_lines and z + 1 < n:
-                        z += 1
-                        total += many[z]
-                    if total < min_words and z - a + 1 < min_lines:
-                        break
-                    run = run_hash(b"".join(h[a : z + 1]))
-                    for column, x in zip(out, (i, t, _signed(int.from_bytes(min(h[a : z + 1]), "big")), _signed(run >> 64), _signed(run & (1 << 64) - 1), a, z)):
+                for k, runs in winnowed(h, [len(x.split()) for x in lines], min_lines, min_words).items():
+                    hashed = [(run_hash(b"".join(h[a : z + 1])), a, z) for a, z in runs]
+                    made = [(_signed(x >> 64), _signed(x & (1 << 64) - 1), a, z) for x, a, z in hashed]
+                    for column, x in zip(out, (i, t, k, _signed(int.from_bytes(h[k], "big")), made)):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:5]], pa.array(out[5], pa.int32()), pa.array(out[6], pa.int32())], names=["id", "t", "fp", "w1", "w2", "a", "z"])
+            sizes = [0]
+            for runs in out[4]:
+                sizes.append(sizes[-1] + len(runs))
+            flat = list(zip(*(r for runs in out[4] for r in runs))) or [()] * 4
+            struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, _RUN)], fields=list(_RUN))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), struct)], names=["id", "t", "k", "fp", "runs"])
 
     picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("t"))
-    return picked.mapInArrow(work, "id long, t long, fp long, w1 long, w2 long, a int, z int")
+    return picked.mapInArrow(work, _CHOSEN)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, t, runs)``: the windows of each document, by id and hash of the text, that stand earlier in the corpus.
+    """``(id, t, runs)``: the runs of each document, by id and hash of the text, that stand earlier in the corpus.
 
-    Both group-bys combine before the shuffle, so a fingerprint of a third of
-    all lines reaches its task as one row for each map task; the joins back are
-    sort-merge joins on the large side's own key, which AQE splits if skewed.
+    A fingerprint or run of a third of all lines is dealt to ``SALTS`` tasks, in
+    counting and in the joins back; only one row for each of its salts meets in a window.
     """
-    every = stored(windows(docs, id_col, text_col, min_lines, min_words), "lines")
-    shared = every.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    matched = every.join(shared, "fp")
-    first = matched.groupBy("w1", "w2").agg(F.min(F.struct("id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = matched.join(first, ["w1", "w2"]).where(F.struct("id", "a") > F.col("first"))
+    every = stored(fingerprints(docs, id_col, text_col, min_lines, min_words), "lines").withColumn("salt", salt("id", "t", "k"))
+    shared = over_salts(every, ["fp"], n=(F.sum, F.count("*"))).where("n > 1").select("fp", "salt")
+    matched = every.join(shared, ["fp", "salt"]).select("id", "t", "salt", F.explode("runs").alias("run")).select("id", "t", "salt", "run.*")
+    place = F.struct("id", "a")
+    first = over_salts(matched, ["w1", "w2"], n=(F.sum, F.count("*")), first=(F.min, F.min(place))).where("n > 1").drop("n")
+    later = matched.join(first, ["w1", "w2", "salt"]).where(place > F.col("first"))
     return later.groupBy("id", "t").agg(F.collect_set(F.struct("a", "z")).alias("runs"))
 
 
@@ -132,7 +172,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repor
     return joined.mapInArrow(work, schema)
 
 
-#: The same in DuckDB's SQL, for at least 3 lines or 50 words.
+#: The same in DuckDB's SQL, for at least 3 lines or 50 words: a longer run is the union of its runs of at most 3 lines.
 SQL = r"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
@@ -145,12 +185,13 @@ WITH raw AS (
   SELECT *, lead(t, 1) OVER o AS t1, lead(t, 2) OVER o AS t2, lead(w, 1) OVER o AS w1
   FROM lines WINDOW o AS (PARTITION BY doc_id ORDER BY k)
 ), runs AS (
-  SELECT doc_id, k,
-         CASE WHEN w >= 50 THEN 1 WHEN w + w1 >= 50 THEN 2 WHEN t2 IS NOT NULL THEN 3 END AS n,
-         CASE WHEN w >= 50 THEN t WHEN w + w1 >= 50 THEN t || chr(10) || t1 ELSE t || chr(10) || t1 || chr(10) || t2 END AS run
-  FROM ahead
+  SELECT doc_id, k, 1 AS n, t AS run FROM ahead WHERE w >= 50
+  UNION ALL
+  SELECT doc_id, k, 2, t || chr(10) || t1 FROM ahead WHERE w + w1 >= 50
+  UNION ALL
+  SELECT doc_id, k, 3, t || chr(10) || t1 || chr(10) || t2 FROM ahead WHERE t2 IS NOT NULL
 ), later AS (
-  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS nth FROM runs WHERE n IS NOT NULL
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS nth FROM runs
 ), gone AS (
   SELECT DISTINCT doc_id, k + unnest(range(n)) AS k FROM later WHERE nth > 1
 ), kept AS (
