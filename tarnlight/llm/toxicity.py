@@ -5,27 +5,39 @@ pairs of the inner products of their factors), so that a pair such as an insult
 and the name of a group can weigh more than both alone.  Terms are the words
 of a text, each once, in lower case without the punctuation around them, and
 the first 4 and 5 letters of longer words, for stems that take many endings;
-a term is known by a 64-bit hash.
-
-The model knows the terms of at least ``least_docs`` learnt rows whose share of
-toxic ones is ``least_strength`` standard deviations off, the strongest
-``most_terms``.  So a pair counts only if its terms stand out by themselves.
-
-Learning uses at most ``most_rows`` labelled rows, those of smallest id hash,
-and never a row whose crc32(id as text) mod 5 is 0.  Every whole text is scored.
+a term is known by
+its bucket among 2**``BITS``, by a hash.
+
+Nothing is chosen beforehand: every bucket of ``least_docs`` learnt rows or more
+takes part, and learning itself decides what stays.  Weights follow the
+regularised leader with an L1 penalty, factors with the same penalty on the
+length of a bucket's whole vector, measured from a small random start.  So a
+bucket gets factors if its pairs go with a class, whether or not it stands out
+by itself, and neither weight nor factors if what it tells is no more than
+chance: both penalties are what a single row can add in all passes, and
+``PENALTY`` standard deviations of the sum of the gradients of a term that stands
+in all rows and means nothing.
+
+Learning uses at most ``most_rows`` labelled rows, those of smallest id hash, as
+many of them as hold ``most_entries`` terms together, and never a row whose
+crc32(id as text) mod 5 is 0.  Every whole text is scored.
 
 Null and empty texts have no terms and get the score of the bias.  Null labels
-are not learnt from; a document with several labels has the largest.  Without
-labels, or with one class only, the score is the smoothed share of that class.
+are not learnt from; a document with several labels has the largest.  Rows that
+repeat an id are learnt and scored each by itself; ties of the id hash go by id.
+A very long text is a set of terms like any other.  Without labels, or with one
+class only, the score is the smoothed share of that class; an empty table has no
+scores.  Other columns are never looked at; ``keep_clean`` returns them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +45,10 @@ from pyspark.sql import functions as F
 from tarnlight.llm.common import slices, stored
 
 FACTORS = 8
+BITS = 20
+PENALTY = 0.35
+#: Length of the sum of the random factors of a text of mean size.
+START = 0.25
 PREFIXES = (4, 5)
 _AROUND = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—*_/\\"
 
@@ -42,8 +58,12 @@ def terms_of(word: str) -> list[str]:
     return [w, *(w[:k] + "*" for k in PREFIXES if len(w) > k)] if w else []
 
 
+def bucket(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term) >> (64 - BITS)
+
+
 class Terms:
-    """Rows of the model (or hashes, without one) for the words of a text."""
+    """Rows of the model (or buckets, without one) for the words of a text."""
 
     def __init__(self, row_of: dict[int, int] | None, most: int = 300_000):
         self.row_of, self.most, self.seen = row_of, most, {}
@@ -54,54 +74,87 @@ class Terms:
         found, seen, row_of = set(text.split()), self.seen, self.row_of
         for w in found:
             if w not in seen:
-                hashed = [xxhash.xxh3_64_intdigest(t) >> 1 for t in terms_of(w)]
+                hashed = map(bucket, terms_of(w))
                 seen[w] = tuple(hashed if row_of is None else [row_of[h] for h in hashed if h in row_of])
         return set().union(*map(seen.__getitem__, found))
 
 
 class FM:
-    def __init__(self, known: np.ndarray, bias: float, seed: int = 7):
-        self.known = known  # sorted hashes of the terms
-        self.w0, self.w = bias, np.zeros(len(known), np.float32)
-        self.v = np.random.default_rng(seed).normal(0, 0.01, (len(known), FACTORS)).astype(np.float32)
-
-    def margins(self, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Margin of each text, and the sums of its factors; ``at``: where the rows of each text begin."""
-        n = len(at) - 1
-        text = np.repeat(np.arange(n), np.diff(at))
-        linear = np.bincount(text, self.w[rows], n)
-        v = self.v[rows].astype(np.float64)
-        total = np.stack([np.bincount(text, v[:, f], n) for f in range(FACTORS)], 1)
-        own = np.bincount(text, (v * v).sum(1), n)
-        return self.w0 + linear + 0.5 * ((total * total).sum(1) - own), total
-
-    def learn(self, rows: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.3, decay: float = 2e-3) -> None:
-        """Adaptive gradient steps on the logistic loss with weight decay."""
-        sw, sv, s0 = np.full(len(self.w), 1e-6), np.full(self.v.shape, 1e-6), 1e-6
-        rng = np.random.default_rng(11)
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for k in range(0, len(order), batch):
-                some = order[k : k + batch]
-                size = at[some + 1] - at[some]
-                here = np.concatenate([[0], np.cumsum(size)])
-                own = rows[np.repeat(at[some] - here[:-1], size) + np.arange(here[-1])]
-                text = np.repeat(np.arange(len(some)), size)
-                margin, total = self.margins(own, here)
-                g = 1 / (1 + np.exp(-margin.clip(-30, 30))) - y[some]
-                used, slot = np.unique(own, return_inverse=True)
-                gw = np.bincount(slot, g[text], len(used)) + decay * self.w[used]
-                part = g[text, None] * (total[text] - self.v[own])
-                gv = np.stack([np.bincount(slot, part[:, f], len(used)) for f in range(FACTORS)], 1) + decay * self.v[used]
-                sw[used] += gw * gw
-                sv[used] += gv * gv
-                self.w[used] -= rate * gw / np.sqrt(sw[used])
-                self.v[used] -= 0.1 * rate * gv / np.sqrt(sv[used])
-                s0 += g.sum() ** 2
-                self.w0 -= rate * g.sum() / math.sqrt(s0)
+    """Buckets that have a weight or factors, and those."""
+
+    def __init__(self, bias: float, known: np.ndarray | None = None, w: np.ndarray | None = None, v: np.ndarray | None = None):
+        self.w0 = bias
+        self.known = np.zeros(0, np.int64) if known is None else known
+        self.w = np.zeros(0) if w is None else w
+        self.v = np.zeros((0, FACTORS)) if v is None else v
 
     def score(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.margins(rows, at)[0].clip(-700, 700)))
+        return 1 / (1 + np.exp(-(self.w0 + _margins(self.w[rows], self.v[rows], at)[0]).clip(-700, 700)))
+
+
+def _margins(w: np.ndarray, v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Margin of each text without the bias, the text of each entry, and the sums of the factors; ``at``: where the entries of each text begin."""
+    n = len(at) - 1
+    text = np.repeat(np.arange(n), np.diff(at))
+    total = np.stack([np.bincount(text, v[:, f], n) for f in range(FACTORS)], 1)
+    own = np.bincount(text, (v * v).sum(1), n)
+    return np.bincount(text, w, n) + 0.5 * ((total * total).sum(1) - own), text, total
+
+
+def learn(rows: np.ndarray, at: np.ndarray, y: np.ndarray, least_docs: int = 3, epochs: int = 6, batch: int = 128, rate: float = 0.5, factor_rate: float = 0.3, pairs: bool = True) -> FM:
+    """The machine of sets of buckets: those of text i are ``rows[at[i]:at[i + 1]]``; ``pairs=False`` leaves the factors out."""
+    n, share = len(y), (y.sum() + 1) / (len(y) + 2)
+    frequent = np.bincount(rows, minlength=1 << BITS) >= least_docs
+    known, slot = np.flatnonzero(frequent), np.cumsum(frequent) - 1
+    here = frequent[rows]
+    rows = slot[rows[here]].astype(np.int32)
+    at = np.concatenate([[0], np.cumsum(here)])[at]
+    d, mean_terms = len(known), max(1.0, len(rows) / n)
+    chance = epochs + PENALTY * math.sqrt(n * share * (1 - share))
+    start = np.random.default_rng(7).normal(0, START / math.sqrt(FACTORS * mean_terms), (1 << BITS, FACTORS)).astype(np.float32)[known]
+    least = chance * START  # the gradient of factors is that of weights times the sum of a text's other factors, here START long at most
+    z, seen = np.zeros(d), np.zeros(d)  # sums of gradients and of their squares
+    fz, fseen = np.zeros((d, FACTORS), np.float32), np.zeros(d)
+    w0, s0 = math.log(share / (1 - share)), 1.0
+
+    def weights(i: np.ndarray) -> np.ndarray:
+        return np.sign(z[i]) * np.minimum(chance - np.abs(z[i]), 0) * rate / (1 + np.sqrt(seen[i]))
+
+    def factors(i: np.ndarray) -> np.ndarray:
+        size = np.sqrt((fz[i] * fz[i]).sum(1))
+        kept = np.maximum(1 - least / np.maximum(size, 1e-30), 0)
+        return -fz[i] * (kept * factor_rate / (1 + np.sqrt(fseen[i])))[:, None]
+
+    rng = np.random.default_rng(11)
+    for _ in range(epochs):
+        order = rng.permutation(n)
+        for k in range(0, n, batch):
+            some = order[k : k + batch]
+            size = at[some + 1] - at[some]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            used, own = np.unique(rows[np.repeat(at[some] - ends[:-1], size) + np.arange(ends[-1])], return_inverse=True)
+            w, moved = weights(used), factors(used)
+            v = moved + start[used] if pairs else np.zeros_like(moved)
+            margin, text, total = _margins(w[own], v[own], ends)
+            g = 1 / (1 + np.exp(-(w0 + margin).clip(-30, 30))) - y[some]
+            gw = np.bincount(own, g[text], len(used))
+            z[used] += gw - (np.sqrt(seen[used] + gw * gw) - np.sqrt(seen[used])) / rate * w
+            seen[used] += gw * gw
+            if pairs:
+                part = total[text] - v[own]
+                part *= (g[text] * np.minimum(1, START / np.maximum(np.sqrt((part * part).sum(1)), 1e-30)))[:, None]
+                gv = np.stack([np.bincount(own, part[:, f], len(used)) for f in range(FACTORS)], 1)
+                squares = (gv * gv).sum(1)
+                fz[used] += gv - ((np.sqrt(fseen[used] + squares) - np.sqrt(fseen[used])) / factor_rate)[:, None] * moved
+                fseen[used] += squares
+            s0 += g.sum() ** 2
+            w0 -= rate * g.sum() / math.sqrt(s0)
+    every = np.arange(d)
+    w, v = weights(every), factors(every)
+    paired = v.any(axis=1)
+    v[paired] += start[paired]
+    kept = (w != 0) | paired
+    return FM(w0, known[kept], w[kept], v[kept])
 
 
 def _ragged(sets: list[set[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +166,11 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, most_terms: int = 50_000, least_strength: float = 4.0, least_docs: int = 3) -> FM:
-    """Learn from at most ``most_rows`` labelled rows that are not held out.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, most_entries: int = 30_000_000, least_docs: int = 3) -> FM:
+    """Learn from at most ``most_rows`` labelled rows that are not held out, and ``most_entries`` terms of theirs.
 
     The labelled ids are bounded by ``most_rows``, so they are broadcast to the
-    documents and no text is shuffled.  Terms are counted and chosen by Spark;
-    the driver gets at most ``most_terms`` of them and their places in the rows.
+    documents and no text is shuffled.  The driver gets 4 bytes for each entry.
     """
     some = (
         labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
@@ -127,55 +179,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(most_rows)
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(some), "__id").select("__y", "t")
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(some), "__id").select(F.xxhash64("__id").alias("h"), "__y", "t")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(None)
         for b in slices(batches):
-            sets = [sorted(terms.rows(t or "")) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["y", "terms"])
-
-    made = stored(rows.mapInArrow(work, "y int, terms array<long>"), "terms")
-    n, toxic = made.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    share = (toxic + 1) / (n + 2)
-    bias = math.log(share / (1 - share))
-    if toxic in (0, n):
-        return FM(np.zeros(0, np.int64), bias if n else 0.0)
-    # Terms that are rare or go with neither class would only learn the training rows by heart.
-    mean = toxic / n
-    per = made.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("many"), F.sum("y").alias("toxic")).where(F.col("many") >= least_docs)
-    strength = F.abs(F.col("toxic") - F.col("many") * mean) / F.sqrt(F.col("many") * (mean * (1 - mean)))
-    best = per.select("term", strength.alias("s")).where(F.col("s") >= least_strength).orderBy(F.desc("s"), "term").limit(most_terms)
-    known = np.sort(np.array([r["term"] for r in best.collect()], np.int64))
-    model = FM(known, bias)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(1)
-            flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            slot = np.searchsorted(shared.value, flat).clip(max=max(0, len(shared.value) - 1))
-            hit = shared.value[slot] == flat if len(shared.value) else np.zeros(len(flat), bool)
-            ends = np.concatenate([[0], np.cumsum(hit)])[at].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, slot[hit].astype(np.int32))], names=["y", "rows"])
-
-    got = made.mapInArrow(place, "y int, rows array<int>").toArrow()
+            sets = [sorted(terms.rows(t or "")) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, sets), pa.int32()), pa.array(sets, pa.list_(pa.int32()))], names=["h", "y", "n", "terms"])
+
+    made = stored(rows.mapInArrow(work, "h long, y int, n int, terms array<int>"), "terms")
+    sizes = made.select("h", "y", "n").toArrow().to_pandas().sort_values(["h", "n"])
+    upto = sizes["h"][sizes["n"].cumsum() <= most_entries]
+    if not len(sizes) or sizes["y"].nunique() < 2:
+        n, toxic = len(sizes), int(sizes["y"].sum())
+        return FM(math.log((toxic + 1) / (n - toxic + 1)))
+    got = made.where(F.col("h") <= int(upto.max() if len(upto) else sizes["h"].min())).select("h", "y", "terms").toArrow().combine_chunks()
+    got = got.take(pc.sort_indices(got.append_column("n", pc.list_value_length(got.column("terms"))), [("h", "ascending"), ("n", "ascending")]))
+    lists = got.column("terms").combine_chunks()
+    at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
     y = got.column("y").to_numpy().astype(np.float64)
-    lists = got.column("rows")
-    flat, at = lists.combine_chunks().flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lists.combine_chunks().value_lengths().to_numpy())])
-    sets = [np.sort(flat[at[i] : at[i + 1]]) for i in range(len(y))]
-    order = sorted(range(len(y)), key=lambda i: (y[i], sets[i].tobytes()))  # not the order of arrival
-    ends = np.concatenate([[0], np.cumsum([len(sets[i]) for i in order])]).astype(np.int64)
-    model.learn(np.concatenate([*(sets[i] for i in order), np.zeros(0, np.int64)]), ends, y[order])
-    return model
+    flat = lists.flatten().to_numpy()
+    return learn(flat, at, y, least_docs)
 
 
 def _scorer(model: FM, docs: DataFrame):
-    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.w0, model.w, model.v))
+    shared = docs.sparkSession.sparkContext.broadcast((model.w0, model.known, model.w, model.v))
 
-    def scores() -> tuple:
-        fm = FM.__new__(FM)
-        fm.known, fm.w0, fm.w, fm.v = shared.value
+    def scores() -> Callable[[list[str | None]], np.ndarray]:
+        fm = FM(*shared.value)
         terms = Terms(dict(zip(fm.known.tolist(), range(len(fm.known)))))
         return lambda texts: fm.score(*_ragged([terms.rows(t or "") for t in texts]))
 

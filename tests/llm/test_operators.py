@@ -150,17 +150,6 @@ def test_html_keeps_whole_regions_of_unmarked_pages():
     assert html.main_text("<div class='x-menu'><div>a" * 3000 + f"<p>{LONG}").endswith(LONG)
 
 
-def test_toxicity_knows_rare_terms_of_large_samples(spark):
-    import xxhash
-
-    learnt = [i for i in range(7000) if zlib.crc32(str(i).encode()) % 5]
-    rare = set(learnt[:40:10])
-    rows = [(i, ("idiot" if i % 10 == 0 else "hello") + (" zorkus" if i in rare else "") + f" word{i % 7}", int(i % 10 == 0 or i in rare)) for i in range(7000)]
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
-    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
-    assert len(learnt) > 5000 and len(rare) == 4 and xxhash.xxh3_64_intdigest("zorkus") >> 1 in model.known
-
-
 def test_lines_of_one_text_stay_in_others_of_its_id(spark):
     a, own = "one\ntwo\nthree", "p\nq\nr\ns"
     texts = [(None, a), (None, "zero\n" + a), (None, own), (5, a), (5, own + "\nt"), (5, a), (6, "k\nl\nm\nn")]
