@@ -4,27 +4,30 @@ Method: events of the standard library's streaming HTML parser make lines of
 text (one for each block); each line has a text-to-tag ratio, its characters
 for each tag that opens in it; the ratios are smoothed by a Gaussian over the
 neighbouring lines, inside and outside of marked articles apart, and parted by
-a threshold between two clusters.  Lines of elements that are never main text
-(menus, headers, footers, sidebars, forms, scripts, styles, and blocks whose
-class, id or role calls them an advert, a notice, comments, ...) are left out
-before.  A class or id does not count on a block that holds over half of the
-page's text and of its lines, unless an article or main outside it holds a
-quarter as much.
-
+a threshold between two clusters.  Lines of
+elements that are never main text (menus, headers, footers, sidebars, forms,
+scripts, styles, and blocks whose class, id or role calls them an advert, a
+notice, comments, ...) are left out before.  A class or id does not count on a
+block that holds over half of the page's text and of its lines, unless an
+article or main outside it holds a quarter as much.
+
+Content is where the smoothed ratio reaches the threshold.  The mark of an
+article or main is one input of it: smoothed ratios inside count ``MARK`` times.
 What is kept are whole regions, never single lines by their own ratio.  A
-marked region (article, main) is content if its smoothed ratio reaches the
-threshold.  Unmarked text competes with the marked regions: it is content
-where its smoothed ratio reaches the threshold and it holds half as much text
-as they do; without such text the best marked region stays whatever its ratio.
-Of unmarked text a container is kept whole if a line of its own reaches the
-threshold; otherwise its own lines and, one by one, its parts: those that reach
-the threshold, those between them, and those of the same tag and class.  Lines
-and parts below the threshold that are mostly links stay only between content.
+container is kept whole if a line of its own reaches the threshold; otherwise
+its own lines and, one by one, its parts: those that reach the threshold, those
+between them, and those of the same tag and class.  Lines and parts below the
+threshold that are mostly links stay only between content. 
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are joined in page order by an empty line.  Null and empty pages, and
-pages without content, give an empty text.  Broken markup is read as the parser
-reads it; a block element that is not closed ends with its container.
+pages without content, give an empty text; an empty table gives an empty one.
+Broken markup is read as browsers read it: ``<![`` and ``</`` without a name
+begin comments that end at the next ``>``, and a comment or tag that is never
+closed takes the rest of the page.  A block element that is not closed ends with
+its container.  Pages that repeat have rows of their own; ties are kept, since a
+ratio equal to the threshold reaches it; a very long page is read in one pass.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -50,6 +53,8 @@ NEVER = frozenset("aside button dialog fieldset footer form head iframe menu nav
 MARKED = frozenset(("article", "main"))
 #: Elements whose text is a region of its own; lists and tables belong to what holds them.
 CONTAINERS = MARKED | {"div", "section"}
+#: How often the ratio of a line inside an article or main counts.
+MARK = 2.0
 #: Containers and named holders nested deeper belong to the one at this depth.
 DEEPEST = 100
 NAMED = re.compile(
@@ -59,6 +64,9 @@ NAMED = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 
+_COMMENT_END = re.compile("--!?>")
+
+
 class _Line(NamedTuple):
     text: str
     tags: int
@@ -86,6 +94,33 @@ class _Lines(HTMLParser):
         self.tags = self.linked = 0
         self.link = False
 
+    # The whole page is there, so what has no end here ends with it.
+    def parse_starttag(self, i: int) -> int:
+        end = self.check_for_whole_start_tag(i)
+        if end >= 0 and self.rawdata[end - 1] != ">":  # junk in a tag goes with it
+            end = self.rawdata.find(">", end) + 1 or -1
+            return end if end >= 0 else len(self.rawdata)
+        return super().parse_starttag(i) if end >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i: int) -> int:
+        end = super().parse_endtag(i)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        if self.rawdata.startswith((">", "->"), i + 4):
+            return self.rawdata.find(">", i) + 1
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_bogus_comment(self, i: int, report: bool = True) -> int:
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self.parse_bogus_comment(i)
+
+    def parse_pi(self, i: int) -> int:
+        return self.parse_bogus_comment(i)
+
     def top(self) -> _Holder:
         return self.stack[-1] if self.stack else _Holder("", False, 0, (), ())
 
@@ -229,18 +264,10 @@ def main_text(page: str | None) -> str:
     for r in {x.region for x in lines}:
         at = [i for i, x in enumerate(lines) if x.region == r]
         for i, v in zip(at, _smooth([len(lines[i].text) / max(1, lines[i].tags) for i in at])):
-            scores[i] = v
+            scores[i] = v * MARK if r else v
     cut = _threshold(scores)
-    best: dict[int, float] = {}
-    for x, v in zip(lines, scores):
-        best[x.region] = max(v, best.get(x.region, 0.0))
-    plain = [i for i, x in enumerate(lines) if not x.region]
-    free = _region(lines, scores, parser.kinds, plain, 0, cut) if plain and best[0] >= cut else set()
-    marked = {r: v for r, v in best.items() if r}
-    if 2 * sum(len(lines[i].text) for i in free) < sum(len(x.text) for x in lines if x.region in marked and marked[x.region] >= cut):
-        free = set()
-    least = cut if free else min(cut, max(marked.values(), default=cut))
-    return "\n\n".join(x.text for i, x in enumerate(lines) if i in free or marked.get(x.region, -1.0) >= least)
+    kept = _region(lines, scores, parser.kinds, list(range(len(lines))), 0, cut)
+    return "\n\n".join(x.text for i, x in enumerate(lines) if i in kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
