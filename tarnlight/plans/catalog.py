@@ -6,7 +6,6 @@ is relevant to a query whose passage it contains.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from tarnlight.operators import answers, bm25, chunking, dense, metrics, needles
 from tarnlight.plans import runner
 from tarnlight.schemas import Benchmark, BenchmarkConfig
 from tarnlight.sources import readers, writers
+from tarnlight.sources.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,13 +53,6 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).join(q, F.contains("text", "passage")).select("query_id", "doc_id", F.lit(1).alias("relevance"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one."""
-    import tempfile
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/tarnlight/{uuid.uuid4().hex}"
-
-
 _WORD = r"'[\p{L}\p{N}_]+'"
 _SPACE = r"'[\s\x1c-\x1f\x{85}\p{Z}]+'"
 
@@ -388,14 +381,14 @@ def generate_udf(spark, sf_dir):
 
 @query(f"WITH {_CHUNKS} SELECT chunk_id, doc_id, md5(text) AS text_md5 FROM chunks")
 def index_roundtrip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_path(spark, "catalog")
     writers.index(dense.build_index(table(spark, sf_dir, "documents"), dense.Embedder("hash")), path)
     return readers.index(spark, path).select("chunk_id", "doc_id", F.md5("text").alias("text_md5"))
 
 
 @query(f"{_WIDE} SELECT * FROM wide")
 def csv_roundtrip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_path(spark, "catalog")
     writers.csv_folder(_compared(spark, sf_dir).coalesce(1), path)
     return readers.results(spark, path)
 
@@ -403,7 +396,7 @@ def csv_roundtrip(spark, sf_dir):
 @query("SELECT item_id::VARCHAR AS doc_id, text FROM benchmark")
 def text_dir_scan(spark, sf_dir):
     """Passages written as text files, a folder for each, read back with their names."""
-    path = scratch(spark)
+    path = new_path(spark, "catalog")
     table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("value")).repartition("name").write.partitionBy("name").text(path)
     back = spark.read.text(f"{path}/*", wholetext=True, pathGlobFilter="*.txt")
     return back.select(F.regexp_extract(F.col("_metadata.file_path"), r"name=([^/]+)/", 1).alias("doc_id"), F.regexp_replace("value", r"\n$", "").alias("text"))
