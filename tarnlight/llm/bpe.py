@@ -6,7 +6,9 @@ ranks of the two neighbours are refreshed, until no pair has a rank.  Words of
 one length are worked side by side as the rows of a numpy matrix.
 
 Texts: null counts as empty; an empty text has no ids.  Repeated rows are
-encoded each by itself; other columns of the input are not looked at.
+encoded each by itself; a very long text is worked whole, its pieces once each.
+Of equal ranks in a word the leftmost pair is merged first.  An empty table
+gives an empty one; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 
 from tarnlight.llm.common import slices
 from tarnlight.llm.pieces import PieceTable
+from tarnlight.llm.shingles import utf8
 
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of more bytes than this are merged with a heap instead of a row of a matrix.
 SHORT = 128
+#: Bytes of text that are worked at a time.
+SLICE_BYTES = 1_000_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -68,6 +73,9 @@ class ByteBPE:
                 raise ValueError("added tokens that take white space along are not supported")
             self.added[t["content"]] = t["id"]
             self.bytes_of[t["id"]] = t["content"].encode()
+        self.width = np.array([*map(len, self.bytes_of), 0], np.int64)
+        self.begin = np.cumsum(self.width) - self.width
+        self.pool = np.frombuffer(b"".join(self.bytes_of) + b"\0", np.uint8)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.word = regex.compile(WORD)
         # The pairs by open addressing, for lookups of many at a time.
@@ -165,8 +173,8 @@ class ByteBPE:
                     heapq.heappush(heap, (self.pairs[p][0], a, p))
         return [x for x, ok in zip(ids, alive) if ok]
 
-    def fill(self, texts: list[str]) -> list[bytes]:
-        """Ids, as little-endian unsigned 32-bit integers, of each text."""
+    def fill(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         words: dict[str, int] = {}
         spelled = [[words.setdefault(w, len(words)) for w in self.word.findall(t)] for t in texts]
         raw = [w.encode() for w in words]
@@ -184,33 +192,53 @@ class ByteBPE:
                 ids, left = self.merge_rows(part)
                 for i, row, n in zip(some, ids.astype("<u4"), left.tolist()):
                     done[i] = row[:n].tobytes()
-        return [b"".join([done[i] for i in s]) for s in spelled]
-
-    def encode(self, pieces: PieceTable, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; strings of added tokens in a text become those tokens."""
-        if not self.special:
-            return [np.frombuffer(x, "<u4") for x in pieces.encode(texts)]
-        between, ends, found = [], [], []
-        for t in texts:
+        return [np.frombuffer(b"".join([done[i] for i in s]), "<u4") for s in spelled]
+
+    def encode(self, pieces: PieceTable, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where those of each begin and the last end; strings of added tokens become those tokens."""
+        if not holding(texts, self.added):
+            return pieces.encode(texts)
+        between, found, upto = [], [], [0]
+        for t in texts.fill_null("").to_pylist():
             between += self.special.split(t)
-            found += [*self.special.findall(t), ""]
-            ends.append(len(between))
-        got, out, at = pieces.encode(between), [], 0
-        for end in ends:
-            own = b"".join(x + (self.added[f].to_bytes(4, "little") if f else b"") for x, f in zip(got[at:end], found[at:end]))
-            out.append(np.frombuffer(own, "<u4"))
-            at = end
-        return out
+            found += [*self.special.findall(t), None]
+            upto.append(len(between))
+        ids, ends = pieces.encode(pa.array(between, pa.string()))
+        there = [i for i, f in enumerate(found) if f]
+        ids = np.insert(ids, ends[1:][there], [self.added[found[i]] for i in there])
+        more = np.cumsum([0, *(f is not None for f in found)])
+        return ids, (ends + more)[upto]
+
+    def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids one after the other; unknown ids have none."""
+        ids = np.where(ids < self.size, ids, self.size)
+        many = self.width[ids]
+        before = np.cumsum(many) - many
+        return self.pool[np.repeat(self.begin[ids] - before, many) + np.arange(many.sum())]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD, unknown ids nothing."""
-        return b"".join([self.bytes_of[i] for i in ids if 0 <= i < self.size]).decode("utf-8", "replace")
+        known = np.array([i for i in ids if 0 <= i < self.size], np.int64)
+        return self.decode_bytes(known).tobytes().decode("utf-8", "replace")
+
+
+def holding(texts: pa.Array, strings: Iterable[str]) -> bool:
+    """Whether a text may hold one of the strings."""
+    raw, _ = utf8(texts)
+    data = raw.tobytes()
+    return any(x.encode() in data for x in strings)
+
+
+def decimal(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below ``size`` in decimal with a comma behind, each padded to 8 bytes, and their lengths."""
+    text = [f"{i}," for i in range(size)]
+    return np.array(text, "S8").view(np.uint64), np.array(list(map(len, text)))
 
 
 @lru_cache(maxsize=2)
-def _loaded(definition: str) -> tuple[ByteBPE, PieceTable]:
+def _loaded(definition: str) -> tuple[ByteBPE, PieceTable, tuple[np.ndarray, np.ndarray]]:
     bpe = ByteBPE(definition)
-    return bpe, PieceTable(bpe.fill)
+    return bpe, PieceTable(bpe.fill, bpe.width), decimal(bpe.size)
 
 
 def read_definition(path: str) -> str:
@@ -224,12 +252,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, pieces = _loaded(definition.value)
-        for b in slices(batches):
-            got = bpe.encode(pieces, [t or "" for t in b.column(1).to_pylist()])
-            ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-            values = np.concatenate([*got, np.zeros(0, "<u4")]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, values)], names=["id", "ids"])
+        bpe, pieces, _ = _loaded(definition.value)
+        for b in slices(batches, SLICE_BYTES):
+            ids, ends = bpe.encode(pieces, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))], names=["id", "ids"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(work, "id long, ids array<int>")
@@ -240,8 +266,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     definition = encoded.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, _ = _loaded(definition.value)
-        for b in slices(batches):
+        bpe, *_ = _loaded(definition.value)
+        for b in slices(batches, SLICE_BYTES):
             texts = [bpe.decode([i for i in ids or () if i is not None]) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
@@ -257,16 +283,20 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, pieces = _loaded(definition.value)
-        number, sha = [str(i) for i in range(bpe.size)], hashlib.sha256
-        for b in slices(batches):
-            n, of_ids, of_text = [], [], []
-            for ids in bpe.encode(pieces, [t or "" for t in b.column(1).to_pylist()]):
-                ids = ids.tolist()
-                n.append(len(ids))
-                of_ids.append(sha(",".join([number[i] for i in ids]).encode()).hexdigest())
-                of_text.append(sha(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe, pieces, (digits, length) = _loaded(definition.value)
+        sha, place = hashlib.sha256, np.arange(8)
+        for b in slices(batches, SLICE_BYTES):
+            ids, ends = bpe.encode(pieces, b.column(1))
+            many = length[ids]
+            spelled = memoryview(digits[ids].view(np.uint8).reshape(-1, 8)[place < many[:, None]])
+            text = memoryview(bpe.decode_bytes(ids))
+            of_ids, of_text = [], []
+            upto, done = (np.concatenate([[0], np.cumsum(x)])[ends].tolist() for x in (many, bpe.width[ids]))
+            for k in range(b.num_rows):
+                of_ids.append(sha(spelled[upto[k] : max(upto[k], upto[k + 1] - 1)]).hexdigest())
+                raw = bytes(text[done[k] : done[k + 1]])
+                of_text.append(sha(raw.decode("utf-8", "replace").encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnlight.sources.scratch import delete, new_path
 
 #: Arrow batches of texts hold at most so many bytes, in the JVM and in Python.
 BATCH_BYTES = 8_000_000
@@ -38,21 +37,6 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster.  Where that setting is
-    absent (tests, one machine) a temporary folder is made once per session.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tarnlight-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -61,9 +45,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     bound_batches(spark)
-    path = f"{shared_dir(spark)}/tarnlight/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more; those not discarded go when the application ends."""
+    delete(df.sparkSession, df.stored_at)
 
 
 #: Tasks that one key is dealt to, whatever its share of the rows.
@@ -134,7 +125,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        e = stored(small, "cc")
+        before, e = e, stored(small, "cc")
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if now == state and now[0] == now[2]:
             break

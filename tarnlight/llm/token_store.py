@@ -16,13 +16,16 @@ that come before), ``n_ids``, and ``payload``::
     | words u64 | escapes u64            (little-endian throughout)
 
 A null document id is written as -2**63.  Null and empty texts have only the
-end id.  Repeated rows are kept, each by itself; other columns are not read.
+end id.  Repeated rows are kept, each by itself; rows of one id stand in the
+order of their texts.  A very long text is a frame of its own.  An empty table
+gives an empty one; other columns are not read.  Texts are cut into pieces that
+are encoded once only if the tokenizer is a plain byte-level BPE, which starts a
+word at every cut; texts of any other go through the library whole.
 """
 
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,16 +36,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlight.llm.bpe import read_definition
-from tarnlight.llm.common import shared_dir, slices
-from tarnlight.llm.pieces import PieceTable, joinable
+from tarnlight.llm.bpe import ByteBPE, holding, read_definition
+from tarnlight.llm.common import slices
+from tarnlight.llm.pieces import PieceTable
+from tarnlight.sources.scratch import new_path
 
 BLOCK = 1024
-#: Pieces that the library encodes as one string.
-JOINED = 2048
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 14
+#: Bytes of text in a frame.
+SLICE_BYTES = 1_000_000
 NO_ID = -(2**63)
 _HEAD = struct.Struct("<4sQIIII")
 #: Longest runs first: how the maximum of a run is made of two shorter ones that overlap.
@@ -133,43 +137,33 @@ def from_frame(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return got[0], got[1].astype(np.int64), unpack(got[3], got[2], got[4], n)
 
 
+def whole_texts(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts by the library, and where those of each begin and the last end."""
+    got = [e.ids for e in tokenizer.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+    return np.array([i for ids in got for i in ids], "<u4"), np.cumsum([0, *map(len, got)])
+
+
 @lru_cache(maxsize=2)
 def _table(definition: str) -> tuple:
+    """The tokenizer, the strings of its added tokens, and a table of pieces, if it always starts words where pieces are cut."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(definition)
     t.no_truncation()
     t.no_padding()
-
     added = [a.content for a in t.get_added_tokens_decoder().values()]
+    try:
+        ByteBPE(definition)
+    except (KeyError, TypeError, ValueError):
+        return t, added, None
     size = np.zeros(t.get_vocab_size(), np.int64)  # bytes of each token: a letter of the vocabulary is a byte
     for token, i in t.get_vocab().items():
         size[i] = len(token)
 
-    def each(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def fill(texts: list[str]) -> list[bytes]:
-        """Pieces that begin a word each go through the library as one string, whose ids are parted by their bytes."""
-        out: list[bytes] = [b""] * len(texts)
-        together = [i for i, x in enumerate(texts) if joinable(x)]
-        alone = sorted({*range(len(texts))}.difference(together))
-        runs = [together[at : at + JOINED] for at in range(0, len(together), JOINED)]
-        for run, e in zip(runs, t.encode_batch_fast(["".join([texts[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends, tops = np.cumsum([len(texts[i].encode()) for i in run]), np.cumsum(size[ids])
-            last = np.searchsorted(tops, ends)
-            if tops[-1] != ends[-1] or (tops[last] != ends).any():  # not such a tokenizer
-                alone += run
-                continue
-            raw, cut = ids.tobytes(), (4 * (last + 1)).tolist()
-            for i, a, z in zip(run, [0, *cut], cut):
-                out[i] = raw[a:z]
-        for i, got in zip(alone, each([texts[i] for i in alone]), strict=True):
-            out[i] = got
-        return out
-
-    return t, added, PieceTable(fill)
+    def fill(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return t, added, PieceTable(fill, size)
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -182,15 +176,14 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer, added, pieces = _table(definition.value)
         part, before = TaskContext.get().partitionId(), 0
-        for b in slices(batches, 4_000_000):
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            got = pieces.encode([t if not any(a in t for a in added) else "" for t in texts])
-            for i, t in enumerate(texts):  # texts with an added token's string go through the library whole
-                if t and any(a in t for a in added):
-                    got[i] = np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            end = int(end_id).to_bytes(4, "little")
-            counts = np.array([len(g) // 4 + 1 for g in got], np.int64)
-            ids = np.frombuffer(b"".join([g + end for g in got]), "<u4")
+        for b in slices(batches, SLICE_BYTES):
+            # Texts with an added token's string go through the library whole, those of other tokenizers too.
+            if pieces is None or holding(b.column(1), added):
+                got, ends = whole_texts(tokenizer, b.column(1))
+            else:
+                got, ends = pieces.encode(b.column(1))
+            counts = np.diff(ends) + 1
+            ids = np.insert(got, ends[1:], end_id)
             doc_ids = np.array([NO_ID if i is None else i for i in b.column(0).to_pylist()], np.int64)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([to_frame(doc_ids, counts, ids)], pa.binary())})
             before += len(ids)
@@ -239,4 +232,4 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tarnlight/ids-{uuid.uuid4().hex}"
+    return new_path(spark, "ids")
