@@ -1,9 +1,10 @@
-"""Okapi BM25 over an inverted index made of DataFrames.
+"""Okapi BM25 over DataFrames.
 
-Postings are filtered to the terms of the queries before they are counted, and
-texts join the result after the top k, so neither vocabulary nor texts are
-shuffled with the scores.  All documents take part in a ranking: those without
-a query term score 0 and follow in corpus order.
+An index is the vocabulary with its document frequencies, made in one pass over
+the corpus and kept as a table; a search is a second pass that counts the words
+of the queries alone, by document.  Texts join the result after the top k, so
+neither postings nor texts are shuffled whole.  All documents take part in a
+ranking: those without a query term score 0 and follow in corpus order.
 """
 
 from __future__ import annotations
@@ -12,60 +13,71 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions.text import words
+from tarnlight.sources.scratch import new_path
 
 #: The defaults of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """``(doc_id, term)``, one row for each word."""
-    return corpus.select("doc_id", F.explode(words(F.col("text"))).alias("term"))
-
-
-def term_stats(corpus: DataFrame) -> DataFrame:
-    """``(term, df, idf)``; a negative idf becomes ``EPSILON`` times the mean idf."""
-    df = corpus.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = corpus.agg(F.count("*").alias("n"))
-    raw = df.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+class Index:
+    """A corpus ``(doc_id, text, ord)`` and ``terms(term, df, idf)``; a negative idf becomes ``EPSILON`` times the mean idf.
 
+    Building reads the corpus once.  The driver gets three numbers: documents
+    ``n``, their mean length, and the mean idf.
+    """
 
-def scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, ord, score)`` of the documents that share a term with a query."""
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    used = asked.select("term").distinct()
-    d = corpus.select("doc_id", "ord", words(F.col("text")).alias("w"))
-    mean = d.agg(F.avg(F.size("w")).alias("avgdl"))
-    tf = d.select("doc_id", "ord", F.size("w").alias("dl"), F.explode("w").alias("term")).join(used, "term", "left_semi").groupBy("doc_id", "ord", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = term_stats(corpus).join(used, "term", "left_semi")
-    hit = tf.join(stats, "term").join(asked, "term").join(F.broadcast(mean))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", "doc_id", "ord").agg(F.round(F.sum(part), 6).alias("score"))
+    def __init__(self, corpus: DataFrame):
+        self.corpus, spark = corpus, corpus.sparkSession
+        w = corpus.select(words(F.col("text")).alias("w"))
+        own = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("words")))
+        whole = F.struct(F.lit(None).cast("string").alias("term"), F.size("w").alias("words"))  # a document counts under the null term
+        rows = w.select(F.explode_outer(F.concat(own, F.array(whole))).alias("r")).select("r.*")
+        path = new_path(spark, "terms")
+        rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("words").alias("words")).write.parquet(path)
+        terms = spark.read.schema("term string, df long, words long").parquet(path)
+        every = terms.where("term IS NULL").first()
+        self.n, self.mean_length = (every["df"], every["words"] / every["df"]) if every else (0, 0.0)
+        raw = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        terms = terms.where("term IS NOT NULL").withColumn("raw", raw)
+        self.mean_idf = terms.agg(F.avg("raw")).first()[0] or 0.0
+        self.terms = terms.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * self.mean_idf)).otherwise(F.col("raw")).alias("idf"))
+
+    def _parts(self, queries: DataFrame) -> DataFrame:
+        """``(query_id, doc_id, ord, part)``: what each word adds to a score."""
+        asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        d = self.corpus.select("doc_id", "ord", words(F.col("text")).alias("w"))
+        # An outer explode, since an inner one makes every text be cut into words twice, to filter those without any.
+        own = d.select("doc_id", "ord", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+        tf = own.groupBy("doc_id", "ord", "dl", "term").agg(F.count("*").alias("tf"))
+        relative = F.col("dl") / F.lit(float(self.mean_length))
+        part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * relative))
+        return tf.join(asked.join(self.terms, "term"), "term").select("query_id", "doc_id", "ord", part.alias("part"))
+
+    def top_k(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """``(query_id, rank, doc_id, score)``; equal scores by corpus order (``ord``); queries without words have no rows.
+
+        Documents of score 0 are only needed behind fewer than ``k`` positive
+        scores, and the first ``2k`` documents then hold enough of them.  Only if
+        the mean idf is negative (tiny corpora) a match can score below 0, and
+        all documents take part.
+        """
+        if k < 1:
+            raise ValueError("k must be at least 1")
+        asked = queries.where(F.size(words(F.col("text"))) > 0).select("query_id")
+        some = self.corpus.select("doc_id", "ord")
+        if self.mean_idf >= 0:
+            some = some.orderBy("ord").limit(2 * k)
+        none = asked.crossJoin(some).withColumn("part", F.lit(0.0))  # adds nothing to the score of a match
+        every = self._parts(queries).union(none).groupBy("query_id", "doc_id", "ord").agg(F.round(F.sum("part"), 6).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))
+        return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``(query_id, rank, doc_id, score)``; equal scores by corpus order (``ord``); queries without words have no rows.
-
-    Documents of score 0 are only needed behind fewer than ``k`` positive
-    scores, and the first ``2k`` documents then hold enough of them.  Only if
-    the mean idf is negative (tiny corpora) a match can score below 0, and all
-    documents take part.
-    """
+    """``(query_id, rank, doc_id, score)`` from a new index; keep an ``Index`` to ask it again."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    hit = scores(corpus, queries)
-    asked = queries.where(F.size(words(F.col("text"))) > 0).select("query_id")
-    if corpus.isEmpty():
-        return hit.select("query_id", F.lit(0).alias("rank"), "doc_id", "score").limit(0)
-    lowest = term_stats(corpus).agg(F.min("idf").alias("low")).first()["low"]
-    some = corpus.select("doc_id", "ord")
-    if lowest is not None and lowest >= 0:
-        some = some.orderBy("ord").limit(2 * k)
-    rest = asked.crossJoin(some).join(hit.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    every = hit.select("query_id", "doc_id", "ord", "score").union(rest.select("query_id", "doc_id", "ord", "score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return Index(corpus).top_k(queries, k)
 
 
 def from_lists(spark, texts: list[str], doc_ids: list[str]) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Exact inner-product search, embedding and generation with pluggable models."""
+"""Exact inner-product search, and embedding with pluggable encoders."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
-from typing import Protocol, runtime_checkable
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,12 +14,7 @@ from pyspark.sql import functions as F
 from tarnlight.functions.vector import inner
 from tarnlight.operators.chunking import chunks as make_chunks
 
-
-@runtime_checkable
-class Retriever(Protocol):
-    """Anything that ranks documents for queries."""
-
-    def retrieve(self, queries: DataFrame) -> DataFrame: ...
+Encode = Callable[[list[str]], np.ndarray]
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", most_broadcast: int = 20_000) -> DataFrame:
@@ -45,40 +40,61 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chun
     return out
 
 
-def hash_encoder(size: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic toy encoder: signed counts of hashed words, unit length."""
+def _counted(texts: list[str], parts: Callable[[str], Iterable[str]], size: int) -> np.ndarray:
+    """Signed counts of hashed parts of each text, of unit length."""
+    out = np.zeros((len(texts), size), np.float32)
+    for i, t in enumerate(texts):
+        for x in parts(t.lower()):
+            h = int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")
+            out[i, h % size] += 1 if h >> 63 else -1
+    n = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(n == 0, 1, n)
+
+
+def word_encoder(model: str | None = None) -> Encode:
+    """A deterministic toy encoder of words; ``model`` is its number of dimensions, 64 by default."""
+    return lambda texts: _counted(texts, str.split, int(model or 64))
+
 
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), size), np.float32)
-        for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % size] += 1 if h >> 63 else -1
-        n = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(n == 0, 1, n)
+def trigram_encoder(model: str | None = None) -> Encode:
+    """The same of runs of three characters, so that words of one stem are alike."""
+    return lambda texts: _counted(texts, lambda t: (t[i : i + 3] for i in range(len(t) - 2)), int(model or 64))
 
-    return encode
 
+def sentence_encoder(model: str | None = None) -> Encode:
+    """A model of the sentence-transformers library, from a folder or a hub id; vectors of unit length."""
+    from sentence_transformers import SentenceTransformer
 
-#: Encoders by name; a factory runs once in each Python worker.
-ENCODERS: dict[str, Callable[[], Callable[[list[str]], np.ndarray]]] = {"hash": hash_encoder}
+    if not model:
+        raise ValueError("a model is needed")
+    net = SentenceTransformer(model)
+    return lambda texts: np.asarray(net.encode(texts, normalize_embeddings=True, show_progress_bar=False), np.float32)
+
+
+#: Encoders by name; each is called with a model, once in a Python worker.
+ENCODERS: dict[str, Callable[[str | None], Encode]] = {"hash": word_encoder, "trigram": trigram_encoder, "sentence-transformers": sentence_encoder}
+
+
+@lru_cache(maxsize=4)
+def _loaded(factory: Callable[[str | None], Encode], model: str | None) -> Encode:
+    return factory(model)
 
 
 class Embedder:
-    """Embeds texts with a registered encoder."""
+    """Embeds texts with a registered encoder and its model."""
 
-    def __init__(self, backend: str = "hash"):
+    def __init__(self, backend: str = "hash", model: str | None = None):
         if backend not in ENCODERS:
             raise ValueError(f"unknown embedding backend: {backend}")
-        self.backend = backend
+        self.backend, self.model = backend, model
 
     def embed(self, df: DataFrame, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
-        factory = ENCODERS[self.backend]
+        factory, model = ENCODERS[self.backend], self.model
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encode = factory()
+            encode = _loaded(factory, model)
             for s in batches:
-                yield pd.Series(list(encode(s.fillna("").tolist())))
+                yield pd.Series(list(encode(s.fillna("").tolist())), dtype=object)
 
         return df.withColumn(out_col, F.pandas_udf(run, "array<float>")(F.col(text_col)))
 
@@ -86,36 +102,3 @@ class Embedder:
 def build_index(docs: DataFrame, embedder: Embedder, size: int = 512, overlap: int = 50) -> DataFrame:
     """``(chunk_id, doc_id, chunk_no, text, embedding)``; no documents make an empty index."""
     return embedder.embed(make_chunks(docs, size, overlap))
-
-
-class DenseRetriever:
-    """Searches an index of chunks for the parents of the best chunks."""
-
-    def __init__(self, embedder: Embedder, index: DataFrame | None, k: int = 10):
-        if k < 1:
-            raise ValueError("k must be at least 1")
-        if index is None:
-            raise ValueError("an index is needed")
-        if not isinstance(index, DataFrame):
-            raise TypeError("the index must be a DataFrame")
-        self.embedder, self.index, self.k = embedder, index, k
-
-    def retrieve(self, queries: DataFrame) -> DataFrame:
-        hits = top_k(self.index, self.embedder.embed(queries), self.k)
-        return hits.join(self.index.select("chunk_id", "doc_id", "text"), "chunk_id")
-
-
-def generate(df: DataFrame, model: Callable[[], Callable[[list[str]], list[str]]], prompt_col: str = "prompt", out_col: str = "answer") -> DataFrame:
-    """Run a text generator over prompts; the factory loads it once in each Python worker."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        write = model()
-        for s in batches:
-            yield pd.Series([a.strip() for a in write(s.fillna("").tolist())])
-
-    return df.withColumn(out_col, F.pandas_udf(run, "string")(F.col(prompt_col)))
-
-
-def echo_model() -> Callable[[list[str]], list[str]]:
-    """A deterministic toy generator: the first passage of the context."""
-    return lambda prompts: [p.split("[1] ", 1)[-1].split("\n", 1)[0] if "[1] " in p else "I don't know." for p in prompts]

@@ -1,50 +1,92 @@
-"""Retrieve, prompt, generate and score answers; and the needle stress test."""
+"""Retrieve, prompt, generate and score answers; and the needle stress test.
+
+    python -m tarnlight.plans.answering answers --source <folder> --out <file>
+    python -m tarnlight.plans.answering needles --source <file> --needles <file> --out <file>
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.functions.text import answer_found
-from tarnlight.operators import answers, bm25, dense, needles
-from tarnlight.schemas import AnswerConfig, Benchmark, StressConfig
+from tarnlight.operators import answers, needles
+from tarnlight.operators.generation import Decoding, Generator
+from tarnlight.operators.metrics import ranked
+from tarnlight.operators.retrievers import Okapi, Retriever
+from tarnlight.plans import runner
+from tarnlight.plans.settings import Settings, parse
+from tarnlight.schemas import DEPTHS, LENGTHS, PASSAGES, Benchmark
 from tarnlight.sources import readers, writers
 
-Model = Callable[[], Callable[[list[str]], list[str]]]
+METRICS = ("answer_correctness", "context_precision", "faithfulness")
 
 
-def answer(corpus: DataFrame, queries: DataFrame, model: Model = dense.echo_model, k: int = 4, template: str = answers.PROMPT) -> DataFrame:
+def answer(corpus: DataFrame, queries: DataFrame, generator: Generator | None = None, k: int = PASSAGES, template: str = answers.PROMPT, retriever: Retriever | None = None) -> DataFrame:
     """``(query_id, answer, retrieved_chunks)`` of every question."""
-    found = answers.context(bm25.top_k(corpus, queries, k), corpus, k)
-    written = dense.generate(answers.prompts(found, queries, template), model)
+    run = ranked((retriever or Okapi(corpus)).retrieve(queries, k))
+    found = answers.context(run, corpus, k)
+    written = (generator or Generator()).generate(answers.prompts(found, queries, template))
     return written.join(found, "query_id", "left").select("query_id", "answer", F.col("chunks").alias("retrieved_chunks"))
 
 
-def evaluate(spark: SparkSession, data: Benchmark, config: AnswerConfig, model: Model = dense.echo_model) -> DataFrame:
+def evaluate(data: Benchmark, generator: Generator | None = None, k: int = PASSAGES, retriever: Retriever | None = None) -> DataFrame:
     """Means of the answer metrics; the collection must have answers."""
     if data.answers is None:
         raise ValueError("the collection has no answers")
-    got = answer(data.corpus, data.queries, model, config.top_k).join(data.answers.withColumnRenamed("answer", "reference"), "query_id")
+    got = answer(data.corpus, data.queries, generator, k, retriever=retriever).join(data.answers.withColumnRenamed("answer", "reference"), "query_id")
     rows = got.select(F.col("query_id").alias("question_id"), F.col("answer").alias("prediction"), "reference", F.transform("retrieved_chunks", lambda c: c["text"]).alias("contexts"))
-    table = answers.evaluate(rows).select(*config.metrics)
-    writers.csv_file(table, config.results_path)
-    return table
+    return answers.evaluate(rows).select(*METRICS)
+
+
+def contexts(haystack: DataFrame, needle: DataFrame, lengths: tuple[int, ...] = LENGTHS, depths: tuple[float, ...] = DEPTHS) -> DataFrame:
+    """``(context_length, depth_percent, question, answer, needle, context)``: a context for every cell, haystack and needle.
+
+    The grid is a list of literals, exploded in place; needles meet haystacks in
+    an all-pairs join by definition, in which no side is broadcast by force.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(int(x)).alias("context_length"), F.lit(float(d)).alias("depth_percent")) for x in lengths for d in depths])).alias("cell")
+    pairs = needle.withColumnRenamed("text", "needle").crossJoin(haystack.select(F.col("text").alias("haystack")))
+    each = pairs.select("*", cells).select("needle", "question", "answer", "haystack", "cell.*")
+    return each.select("context_length", "depth_percent", "question", "answer", "needle", needles.sample(F.col("haystack"), F.col("needle"), F.col("context_length"), F.col("depth_percent")).alias("context"))
 
 
-def sweep(spark: SparkSession, haystack: DataFrame, needle: DataFrame, config: StressConfig, model: Model = dense.echo_model) -> DataFrame:
+def sweep(haystack: DataFrame, needle: DataFrame, generator: Generator | None = None, lengths: tuple[int, ...] = LENGTHS, depths: tuple[float, ...] = DEPTHS) -> DataFrame:
     """``(context_length, depth_percent, answer, score)`` of every cell and needle."""
-    cells = needles.grid(spark, config.context_lengths, config.depth_percents).crossJoin(needle.withColumnRenamed("text", "needle")).crossJoin(haystack.withColumnRenamed("text", "haystack"))
-    made = cells.withColumn("context", needles.sample(F.col("haystack"), F.col("needle"), F.col("context_length"), F.col("depth_percent")))
-    made = made.withColumn("prompt", F.concat(F.lit("Context:\n[1] "), "context", F.lit("\n\nQuestion: "), "question", F.lit("\nAnswer:"))).drop("haystack")
+    prompt = F.concat(F.lit("Context:\n[1] "), "context", F.lit("\n\nQuestion: "), "question", F.lit("\nAnswer:"))
     # Contexts are made before the shuffle that spreads the cells, not inside the generator's input.
-    made = made.select("context_length", "depth_percent", "answer", "prompt").repartition("context_length", "depth_percent")
-    written = dense.generate(made, model, out_col="given")
+    made = contexts(haystack, needle, lengths, depths).select("context_length", "depth_percent", "answer", prompt.alias("prompt")).repartition("context_length", "depth_percent", "answer")
+    written = (generator or Generator()).generate(made, out_col="given")
     return written.select("context_length", "depth_percent", F.col("given").alias("answer"), answer_found(F.col("given"), F.col("answer")).alias("score"))
 
 
-def stress(spark: SparkSession, config: StressConfig, model: Model = dense.echo_model) -> DataFrame:
-    table = sweep(spark, readers.text_file(spark, config.haystack_path), readers.needles(spark, config.needles_path), config, model)
-    writers.csv_file(table, config.results_path)
+def run(spark: SparkSession, task: str, settings: Settings) -> DataFrame:
+    """The table of one of the two command lines, written to ``out`` if that is set."""
+    generator = Generator(settings.generator, settings.generator_model, Decoding(settings.max_new_tokens, settings.temperature, settings.top_p))
+    if task == "answers":
+        data = readers.collection(spark, settings.source, settings.split)
+        retriever = next(iter(runner.build(spark, data, settings).values()))
+        table = evaluate(data, generator, settings.passages, retriever)
+    elif task == "needles":
+        table = sweep(readers.text_file(spark, settings.source), readers.needles(spark, settings.needles), generator)
+    else:
+        raise ValueError(f"unknown task: {task}")
+    if settings.out:
+        writers.csv_file(table, settings.out)
     return table
+
+
+def parse_args(argv: list[str]) -> tuple[str, Settings]:
+    task, rest = (argv[0], argv[1:]) if argv else ("", [])
+    made = ["generator", "generator_model", "max_new_tokens", "temperature", "top_p", "out"]
+    if task == "answers":
+        return task, parse("Answer the questions of a collection and score the answers.", ["source", "split", "retrievers", "passages", "encoder", "encoder_model", *made], rest)
+    if task == "needles":
+        return task, parse("Hide facts in a text at every length and depth, and ask for them.", ["source", "needles", *made], rest)
+    raise SystemExit("answers or needles?")
+
+
+if __name__ == "__main__":
+    run(SparkSession.builder.getOrCreate(), *parse_args(sys.argv[1:])).show(truncate=False)

@@ -6,22 +6,26 @@ is relevant to a query whose passage it contains.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.functions import text as T
 from tarnlight.functions import vector as V
 from tarnlight.operators import answers, bm25, chunking, dense, metrics, needles, overlap, reshape, stats
-from tarnlight.plans import runner
-from tarnlight.schemas import Benchmark, BenchmarkConfig
+from tarnlight.operators.generation import Generator
+from tarnlight.operators.retrievers import Keywords, Okapi
+from tarnlight.plans import answering, runner
+from tarnlight.schemas import CUTOFFS, DEPTHS, LENGTHS, Benchmark
 from tarnlight.sources import readers, writers
 from tarnlight.sources.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-K = [1, 3, 5, 10]
+K = list(CUTOFFS)
 
 
 def query(sql: str | None = None):
@@ -47,10 +51,22 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain a passage; the passages are broadcast up to 10,000 rows."""
-    q = asked(spark, sf_dir).withColumnRenamed("text", "passage")
-    q = F.broadcast(q) if q.count() <= 10_000 else q
-    return corpus(spark, sf_dir).join(q, F.contains("text", "passage")).select("query_id", "doc_id", F.lit(1).alias("relevance"))
+    """Documents that contain a passage.
+
+    A passage's longest token inside, which a document that contains it must
+    have, makes the candidates by an equi-join; then the texts are compared.
+    Passages of less than three tokens have none inside and are compared with
+    every document.
+    """
+    own = T.tokens(F.col("text"))
+    inside = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    q = asked(spark, sf_dir).select("query_id", F.col("text").alias("passage"), own.alias("w"))
+    q = q.select("query_id", "passage", F.array_max(F.transform(inside, lambda x: F.struct(F.length(x).alias("n"), x.alias("t"))))["t"].alias("t"))
+    d = corpus(spark, sf_dir).select("doc_id", "text")
+    pairs = d.select("doc_id", F.explode(F.array_distinct(own)).alias("t")).join(q.where("t IS NOT NULL"), "t").select("doc_id", "query_id", "passage")
+    long = pairs.join(d, "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = d.join(q.where("t IS NULL"), F.contains("text", "passage")).select("query_id", "doc_id")
+    return long.union(short).withColumn("relevance", F.lit(1))
 
 
 _WORD = r"'[\p{L}\p{N}_]+'"
@@ -155,7 +171,7 @@ def chunk_documents(spark, sf_dir):
 
 @query(f"WITH {_bm25()} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_stats(spark, sf_dir):
-    return bm25.term_stats(corpus(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.Index(corpus(spark, sf_dir)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_bm25()} SELECT query_id, rank::INT AS rank, doc_id, score FROM bm25")
@@ -216,8 +232,9 @@ def evaluate_run(spark, sf_dir):
 
 
 def _compared(spark, sf_dir) -> DataFrame:
-    data = Benchmark(corpus(spark, sf_dir), asked(spark, sf_dir), judged(spark, sf_dir))
-    return runner.compare(spark, data, BenchmarkConfig(retrievers=["bm25", "overlap"]))
+    docs = corpus(spark, sf_dir)
+    data = Benchmark(docs, asked(spark, sf_dir), judged(spark, sf_dir))
+    return runner.compare({"bm25": Okapi(docs), "overlap": Keywords(docs)}, data)
 
 
 @query(f"{_WIDE} SELECT * FROM wide")
@@ -292,70 +309,88 @@ def label_truncate(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.label(F.col("text")).alias("label"))
 
 
-_GRID = "grid AS (SELECT l::INT AS context_length, d::DOUBLE AS depth_percent FROM (SELECT unnest([1000, 2000, 4000, 8000, 16000]) AS l), (SELECT unnest([0, 10, 25, 50, 75, 90, 100]) AS d))"
+_GRID = f"grid AS (SELECT l::INT AS context_length, d::DOUBLE AS depth_percent FROM (SELECT unnest({[*LENGTHS]}) AS l), (SELECT unnest({[*DEPTHS]}) AS d))"
 
 
 @query(f"WITH {_GRID} SELECT * FROM grid")
 def niah_grid(spark, sf_dir):
-    from tarnlight.schemas import StressConfig
+    return needles.grid(spark, list(LENGTHS), list(DEPTHS))
 
-    return needles.grid(spark, StressConfig().context_lengths, StressConfig().depth_percents)
 
+_MARKED = r"string_split(regexp_replace(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1), 'g'), chr(1))"
+_WORDED = r"string_split(regexp_replace(text, '(\S)(\s)', '\1' || chr(1) || '\2', 'g'), chr(1))"
 
-@query(r"""WITH b AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1), 'g'), chr(1)) AS p FROM documents),
-e AS (SELECT doc_id, text, list_transform(range(1, len(p) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x)))) AS e FROM b),
-c AS (SELECT doc_id, text, length(text) AS n, list_filter(e, lambda x: x > 0 AND x < length(text)) AS m FROM e)
-SELECT doc_id, len(m) > 0 AS has_marks FROM c""")
+
+def _placed(rows: str, key: str, goals: str, needle: str) -> str:
+    """Contexts of ``rows(key, text)`` for ``goals(key, share)``: the needle at the nearest boundary, the earliest of equally near ones."""
+    return f"""
+cut AS (SELECT {key}, length(text) AS n, list_filter({_MARKED}, lambda x: x <> '') AS marked, CASE WHEN len(marked) > 1 THEN marked ELSE list_filter({_WORDED}, lambda x: x <> '') END AS p FROM {rows}),
+sizes AS (SELECT {key}, n, unnest(list_transform(p, lambda x: length(x))) AS size, unnest(range(len(p))) AS i FROM cut),
+spots AS (SELECT {key}, n, e FROM (SELECT {key}, n, sum(size) OVER (PARTITION BY {key} ORDER BY i) AS e FROM sizes) WHERE e > 0 AND e < n
+          UNION ALL SELECT {key}, n, 0 FROM cut UNION ALL SELECT {key}, n, n FROM cut),
+best AS (SELECT {key}, share, arg_min(e, {{'d': abs(e - n * share), 'e': e}}) AS e FROM spots JOIN {goals} USING ({key}) GROUP BY {key}, share),
+placed AS (SELECT {key}, share, array_to_string(list_filter([trim(text[1:e]), {needle}, trim(text[e + 1:])], lambda x: x <> ''), ' ') AS context FROM {rows} JOIN best USING ({key}))
+"""
+
+
+@query(f"SELECT doc_id, len(list_filter({_MARKED}, lambda x: x <> '')) > 1 AS has_marks FROM documents")
 def needle_marks(spark, sf_dir):
     """Whether a document has a sentence or line boundary inside to hide a fact at."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").rlike(r"(?s)^.*?([.!?](?=\s)|\n)(?=.)"), F.lit(False)).alias("has_marks"))
+    return table(spark, sf_dir, "documents").select("doc_id", (F.size(needles.sentence_sizes(F.coalesce("text", F.lit("")))) > 1).alias("has_marks"))
 
 
-@query()
+_HIDDEN = "The hidden word is lantern."
+
+
+@query(f"WITH goals AS (SELECT doc_id, 0.5 AS share FROM documents), {_placed('documents', 'doc_id', 'goals', f"'{_HIDDEN}'")} SELECT doc_id, length(context)::INT AS n_chars, md5(context) AS context_md5 FROM placed")
 def needle_injection(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", needles.inject(F.col("text"), F.lit("The hidden word is lantern."), F.lit(50.0)).alias("context")).select("doc_id", F.length("context").alias("n_chars"), F.contains("context", F.lit("The hidden word is lantern.")).cast("int").alias("found"))
+    return d.select("doc_id", needles.inject(F.col("text"), F.lit(_HIDDEN), F.lit(50.0)).alias("context")).select("doc_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"))
 
 
-@query(f"WITH {_GRID} SELECT context_length, depth_percent, item_id, 1.0::DOUBLE AS score FROM grid, benchmark")
+@query(f"""WITH {_GRID}, hay AS (SELECT {_tokens('text')} AS w FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)),
+cells AS (SELECT context_length, depth_percent, depth_percent / 100 AS share, item_id, text AS needle, greatest(context_length - len({_tokens('text')}), 0) AS room FROM grid, benchmark),
+goals AS (SELECT DISTINCT room, share FROM cells),
+body AS (SELECT room, array_to_string(flatten(list_transform(range(ceil(room / len(w))::BIGINT), lambda x: w))[1:room], ' ') AS text FROM (SELECT DISTINCT room FROM goals), hay),
+{_placed('body', 'room', 'goals', 'chr(2)')},
+made AS (SELECT context_length, depth_percent, item_id, needle, replace(context, chr(2), needle) AS context FROM cells JOIN placed USING (room, share))
+SELECT context_length, depth_percent, item_id, md5(context) AS context_md5, CASE WHEN contains(lower(trim(context)), lower(trim(needle))) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM made""")
 def niah_scores(spark, sf_dir):
-    """Every cell of the grid with every passage as the fact, found again in its context."""
-    from tarnlight.schemas import StressConfig
-
-    c = StressConfig()
-    hay = "The lamp was lit before the boats came in. " * 20
-    cells = needles.grid(spark, c.context_lengths, c.depth_percents).crossJoin(F.broadcast(table(spark, sf_dir, "benchmark")))
-    made = cells.withColumn("context", needles.sample(F.lit(hay), F.col("text"), F.col("context_length"), F.col("depth_percent")))
-    return made.select("context_length", "depth_percent", "item_id", T.answer_found(F.col("context"), F.col("text")).alias("score"))
+    """Every cell of the grid with every passage as the fact hidden in the first document, and whether it is found again."""
+    d = table(spark, sf_dir, "documents")
+    hay = d.join(d.agg(F.min("doc_id").alias("doc_id")), "doc_id").select("text")
+    needle = table(spark, sf_dir, "benchmark").select("text", F.col("item_id").cast("string").alias("question"), F.col("text").alias("answer"))
+    made = answering.contexts(hay, needle)
+    return made.select("context_length", "depth_percent", F.col("question").cast("long").alias("item_id"), F.md5("context").alias("context_md5"), T.answer_found(F.col("context"), F.col("answer")).alias("score"))
 
 
-@query(f"{_CONTEXT} SELECT query_id, round(len(list_filter(texts, lambda t: contains(lower(trim(t)), lower(trim(b.text))))) / len(texts), 6) AS context_precision FROM ctx JOIN benchmark b ON b.item_id = query_id")
+@query(f"{_CONTEXT} SELECT query_id, round(coalesce(len(list_filter(texts[2:], lambda t: contains(lower(trim(t)), lower(trim(b.text))))) / nullif(len(texts[2:]), 0), 0), 6) AS context_precision FROM ctx JOIN benchmark b ON b.item_id = query_id")
 def context_precision(spark, sf_dir):
     return _answered(spark, sf_dir).select(F.col("question_id").alias("query_id"), F.round(answers.context_precision(F.col("contexts"), F.col("reference")), 6).alias("context_precision"))
 
 
 def _answered(spark, sf_dir) -> DataFrame:
-    """Passages as questions and references, the best document as prediction."""
+    """Passages as questions and references, the best document as prediction, those behind it as contexts."""
     found = answers.context(bm25_run(spark, sf_dir, 4), corpus(spark, sf_dir), 4)
-    texts = found.select("query_id", F.transform("chunks", lambda c: c["text"]).alias("contexts"))
-    return asked(spark, sf_dir).join(texts, "query_id").select(F.col("query_id").alias("question_id"), F.col("contexts")[0].alias("prediction"), F.col("text").alias("reference"), "contexts")
-
+    texts = found.select("query_id", F.transform("chunks", lambda c: c["text"]).alias("texts"))
+    return asked(spark, sf_dir).join(texts, "query_id").select(F.col("query_id").alias("question_id"), F.col("texts")[0].alias("prediction"), F.col("text").alias("reference"), F.slice("texts", 2, 3).alias("contexts"))
 
 
 def _share(a: str, b: str) -> str:
     a, b = (f"list_distinct(regexp_extract_all(lower({x}), {_WORD}))" for x in (a, b))
-    return f"len(list_intersect({a}, {b})) / len({a})"
+    return f"coalesce(len(list_intersect({a}, {b})) / nullif(len({a}), 0), 0)"
 
 
+_REST = "array_to_string(texts[2:], ' ')"
 
 
-@query(f"{_CONTEXT} SELECT query_id, round(coalesce({_share('b.text', 'context')}, 0), 6) AS faithfulness FROM ctx JOIN benchmark b ON b.item_id = query_id")
+@query(f"{_CONTEXT} SELECT query_id, round({_share('texts[1]', _REST)}, 6) AS faithfulness FROM ctx")
 def faithfulness(spark, sf_dir):
-    return _answered(spark, sf_dir).select(F.col("question_id").alias("query_id"), F.round(T.containment(F.col("reference"), F.array_join("contexts", " ")), 6).alias("faithfulness"))
+    return _answered(spark, sf_dir).select(F.col("question_id").alias("query_id"), F.round(T.containment(F.col("prediction"), F.array_join("contexts", " ")), 6).alias("faithfulness"))
 
 
 @query(f"""{_CONTEXT} SELECT round(avg(CASE WHEN contains(lower(trim(texts[1])), lower(trim(b.text))) THEN 1.0 ELSE 0.0 END), 6) AS answer_correctness,
-round(avg(len(list_filter(texts, lambda t: contains(lower(trim(t)), lower(trim(b.text))))) / len(texts)), 6) AS context_precision, round(avg(1.0), 6)::DOUBLE AS faithfulness FROM ctx JOIN benchmark b ON b.item_id = query_id""")
+round(avg(coalesce(len(list_filter(texts[2:], lambda t: contains(lower(trim(t)), lower(trim(b.text))))) / nullif(len(texts[2:]), 0), 0)), 6) AS context_precision, round(avg({_share('texts[1]', _REST)}), 6) AS faithfulness FROM ctx JOIN benchmark b ON b.item_id = query_id""")
 def evaluate_rag(spark, sf_dir):
     return answers.evaluate(_answered(spark, sf_dir))
 
@@ -368,21 +403,46 @@ def citations(spark, sf_dir):
     return answers.citations(asked(spark, sf_dir).withColumnRenamed("text", "answer"), run.select("query_id", F.col("doc_id").alias("chunk_id"), "text"))
 
 
-@query()
+def toy_encoder(model: str | None = None) -> dense.Encode:
+    """64 signed counts of words by their md5, of unit length; SQL can say the same."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), 64), np.float32)
+        for i, t in enumerate(texts):
+            for w in t.lower().split():
+                h = int(hashlib.md5(w.encode()).hexdigest()[:15], 16)
+                out[i, h % 64] += 1 if h >> 59 else -1
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
+
+    return encode
+
+
+dense.ENCODERS["md5"] = toy_encoder
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_tokens('lower(text)')}) AS w FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 15))::BIGINT AS h FROM w),
+v AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN h >> 59 = 1 THEN 1 ELSE -1 END) AS n FROM h GROUP BY ALL HAVING n <> 0),
+top AS (SELECT doc_id, count(*) AS used, arg_min(i, -abs(n) * 64 + i) AS top FROM v GROUP BY doc_id)
+SELECT doc_id, 64 AS size, coalesce(used, 0)::INT AS n_used, top::INT AS top_dimension, CASE WHEN used IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents LEFT JOIN top USING (doc_id)""")
 def embed_udf(spark, sf_dir):
-    e = dense.Embedder("hash").embed(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return e.select("doc_id", F.size("embedding").alias("size"), F.round(V.norm(F.col("embedding")), 3).alias("norm"))
+    """Embeddings by their used dimensions, the largest one, and their length."""
+    e = dense.Embedder("md5").embed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    largest = F.array_max(F.transform("embedding", lambda x, i: F.struct(F.abs(x).alias("x"), (-i).alias("i"))))
+    top = F.when(largest["x"] > 0, -largest["i"])
+    return e.select("doc_id", F.size("embedding").alias("size"), F.size(F.filter("embedding", lambda x: x != 0)).alias("n_used"), top.alias("top_dimension"), F.round(V.norm(F.col("embedding")), 3).alias("norm"))
 
 
-@query()
+@query(rf"""{_CONTEXT} SELECT item_id AS query_id, md5(CASE WHEN texts IS NULL THEN 'I don''t know.' ELSE regexp_replace(array_to_string(string_split(split_part(texts[1], chr(10), 1), ' ')[1:256], ' '), '^\s+|\s+$', '', 'g') END) AS answer_md5
+FROM benchmark LEFT JOIN ctx ON ctx.query_id = item_id""")
 def generate_udf(spark, sf_dir):
-    return dense.generate(_prompts(spark, sf_dir), dense.echo_model).select("query_id", F.md5("answer").alias("answer_md5"))
+    return Generator("echo").generate(_prompts(spark, sf_dir)).select("query_id", F.md5("answer").alias("answer_md5"))
 
 
 @query(f"WITH {_CHUNKS} SELECT chunk_id, doc_id, md5(text) AS text_md5 FROM chunks")
 def index_roundtrip(spark, sf_dir):
     path = new_path(spark, "catalog")
-    writers.index(dense.build_index(table(spark, sf_dir, "documents"), dense.Embedder("hash")), path)
+    writers.index(dense.build_index(table(spark, sf_dir, "documents"), dense.Embedder()), path)
     return readers.index(spark, path).select("chunk_id", "doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -393,10 +453,15 @@ def csv_roundtrip(spark, sf_dir):
     return readers.results(spark, path)
 
 
-@query("SELECT item_id::VARCHAR AS doc_id, text FROM benchmark")
+@query("SELECT item_id::VARCHAR AS doc_id, text, row_number() OVER (ORDER BY item_id::VARCHAR || '.txt') - 1 AS ord FROM benchmark")
 def text_dir_scan(spark, sf_dir):
-    """Passages written as text files, a folder for each, read back with their names."""
-    path = new_path(spark, "catalog")
-    table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("value")).repartition("name").write.partitionBy("name").text(path)
-    back = spark.read.text(f"{path}/*", wholetext=True, pathGlobFilter="*.txt")
-    return back.select(F.regexp_extract(F.col("_metadata.file_path"), r"name=([^/]+)/", 1).alias("doc_id"), F.regexp_replace("value", r"\n$", "").alias("text"))
+    """Passages written as text files of one folder, and read back as a corpus."""
+    path = new_path(spark, "texts")
+    table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("value")).repartition("name").write.partitionBy("name").option("lineSep", "\n").text(path)
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/name=*/part-*")
+    fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.globStatus(files):  # a rename for each passage of the benchmark
+        at = f.getPath()
+        fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{at.getParent().getName().removeprefix('name=')}.txt"))
+    back = readers.text_folder(spark, path)
+    return back.select("doc_id", F.regexp_replace("text", r"\n$", "").alias("text"), "ord")

@@ -1,75 +1,92 @@
 """The retrieval benchmark: retrievers over one collection, scored and compared.
 
-    python -m tarnlight.plans.runner --dataset <folder> --retrievers bm25 dense
+    python -m tarnlight.plans.runner --source <folder> --retrievers bm25 dense --out <file>
 """
 
 from __future__ import annotations
 
-import argparse
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.operators import bm25, dense, metrics, overlap
-from tarnlight.schemas import Benchmark, BenchmarkConfig
+from tarnlight.functions.text import preview
+from tarnlight.operators import dense, metrics
+from tarnlight.operators.retrievers import Dense, Keywords, Okapi, Retriever
+from tarnlight.plans.settings import Settings, parse
+from tarnlight.schemas import CUTOFFS, Benchmark
 from tarnlight.sources import readers, writers
 
-RETRIEVERS = ("bm25", "overlap", "dense", "baseline_dense")
+NAMES = ("bm25", "overlap", "dense")
 
 
-def cached_index(spark: SparkSession, docs: DataFrame, embedder: dense.Embedder, config: BenchmarkConfig, name: str) -> DataFrame:
-    """The index of a dense retriever, read back if one with the same parameters was written before."""
-    if not config.index_cache_dir:
+def cached_index(spark: SparkSession, docs: DataFrame, embedder: dense.Embedder, folder: str | None) -> DataFrame:
+    """The index of a corpus, read back if it was written before with the same texts, encoder and chunks."""
+    if not folder:
         return dense.build_index(docs, embedder)
-    key = hashlib.blake2b(f"{embedder.backend}/512/50".encode(), digest_size=4).hexdigest()
-    path = f"{config.index_cache_dir}/{config.dataset.strip('/').replace('/', '_')}__{name}__{key}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    rows = docs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64("text", "doc_id").cast("decimal(38,0)")).alias("g")).first()
+    key = hashlib.blake2b(repr((embedder.backend, embedder.model, 512, 50, *rows)).encode(), digest_size=8).hexdigest()
+    path = f"{folder.rstrip('/')}/{embedder.backend}-{key}"
+    if not readers.exists(spark, f"{path}/_SUCCESS"):
         writers.index(dense.build_index(docs, embedder), path)
     return readers.index(spark, path)
 
 
-def runs(spark: SparkSession, data: Benchmark, config: BenchmarkConfig) -> DataFrame:
-    """``(retriever, query_id, doc_id, score)``; dense chunks are pooled to their documents."""
-    k, out = max(config.k_values), None
-    for name in config.retrievers:
-        if name == "bm25":
-            run = bm25.top_k(data.corpus, data.queries, k)
-        elif name == "overlap":
-            run = overlap.top_k(data.corpus, data.queries, k)
-        elif name in RETRIEVERS:
-            embedder = dense.Embedder("hash")
-            run = dense.DenseRetriever(embedder, cached_index(spark, data.corpus, embedder, config, name), k).retrieve(data.queries)
+def build(spark: SparkSession, data: Benchmark, settings: Settings) -> dict[str, Retriever]:
+    """The retrievers that the settings name; ``dense`` and ``dense:<encoder>`` differ in their encoder."""
+    made: dict[str, Retriever] = {}
+    for name in settings.retrievers:
+        kind, _, encoder = name.partition(":")
+        if kind == "bm25":
+            made[name] = Okapi(data.corpus)
+        elif kind == "overlap":
+            made[name] = Keywords(data.corpus)
+        elif kind == "dense":
+            embedder = dense.Embedder(encoder or settings.encoder, None if encoder else settings.encoder_model)
+            made[name] = Dense(embedder, cached_index(spark, data.corpus, embedder, settings.index_folder))
         else:
-            raise ValueError(f"unknown retriever: {name}")
-        own = metrics.pooled(run).select(F.lit(name).alias("retriever"), "query_id", "doc_id", "score")
+            raise ValueError(f"unknown retriever {name!r}; there are {', '.join(NAMES)}")
+    return made
+
+
+def runs(retrievers: dict[str, Retriever], queries: DataFrame, k: int) -> DataFrame:
+    """``(retriever, query_id, doc_id, score)`` of all retrievers."""
+    out = None
+    for name, retriever in retrievers.items():
+        if not isinstance(retriever, Retriever):
+            raise TypeError(f"{name} cannot retrieve")
+        own = retriever.retrieve(queries, k).select(F.lit(name).alias("retriever"), "query_id", "doc_id", "score")
         out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no retriever")
     return out
 
 
-def compare(spark: SparkSession, data: Benchmark, config: BenchmarkConfig) -> DataFrame:
+def compare(retrievers: dict[str, Retriever], data: Benchmark, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
     """One row for each retriever, a column for each metric."""
-    long = metrics.evaluate(runs(spark, data, config), data.qrels, config.k_values, ("retriever",))
-    return writers.comparison(long, metrics.names(config.k_values))
+    long = metrics.evaluate(runs(retrievers, data.queries, max(cutoffs)), data.qrels, list(cutoffs), ("retriever",))
+    return writers.comparison(long, metrics.names(list(cutoffs)))
 
 
-def run(spark: SparkSession, config: BenchmarkConfig, data: Benchmark | None = None) -> DataFrame:
-    table = compare(spark, data or readers.collection(spark, config.dataset, config.split), config)
-    writers.csv_file(table, config.results_path)
+def run(spark: SparkSession, settings: Settings, retrievers: dict[str, Retriever] | None = None, data: Benchmark | None = None) -> DataFrame:
+    """The comparison, written to ``out`` if that is set; retrievers and data may be given instead of named."""
+    data = data or readers.collection(spark, settings.source, settings.split)
+    table = compare(retrievers or build(spark, data, settings), data, settings.cutoffs)
+    if settings.out:
+        writers.csv_file(table, settings.out)
     return table
 
 
-def parse_args(argv: list[str] | None = None) -> BenchmarkConfig:
-    d = BenchmarkConfig()
-    p = argparse.ArgumentParser(description="Compare retrievers on a judged collection and write a CSV file.")
-    p.add_argument("--dataset", default=d.dataset)
-    p.add_argument("--retrievers", nargs="+", default=d.retrievers)
-    p.add_argument("--k", type=int, nargs="+", default=d.k_values, dest="k_values")
-    p.add_argument("--out", default=d.results_path, dest="results_path")
-    p.add_argument("--cache-dir", default=d.index_cache_dir, dest="index_cache_dir")
-    return BenchmarkConfig(**vars(p.parse_args(argv)))
+def first_results(data: Benchmark, k: int = 5) -> DataFrame:
+    """``(query_id, query, rank, doc_id, score, preview)``: what BM25 finds for the first query, to look at a collection."""
+    query = data.queries.orderBy("query_id").limit(1)
+    found = Okapi(data.corpus).index.top_k(query, k).join(data.corpus.select("doc_id", preview(F.col("text")).alias("preview")), "doc_id")
+    return found.join(query.select("query_id", F.col("text").alias("query")), "query_id").select("query_id", "query", "rank", "doc_id", "score", "preview").orderBy("rank")
+
+
+def parse_args(argv: list[str] | None = None) -> Settings:
+    return parse("Compare retrievers on a judged collection and write a CSV file.", ["source", "split", "retrievers", "cutoffs", "encoder", "encoder_model", "index_folder", "out"], argv)
 
 
 if __name__ == "__main__":
-    run(SparkSession.builder.getOrCreate(), parse_args())
+    run(SparkSession.builder.getOrCreate(), parse_args()).show(truncate=False)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions.text import stem
-from tarnlight.schemas import NEEDLES, Benchmark
+from tarnlight.schemas import CORPUS, NEEDLES, Benchmark
 
 
 def text_file(spark: SparkSession, path: str) -> DataFrame:
@@ -24,28 +24,51 @@ def text_folder(spark: SparkSession, path: str) -> DataFrame:
     return named.select(stem(F.col("path")).alias("doc_id"), "text", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("ord"))
 
 
+def in_memory(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
+    """A corpus from texts by id, in their order."""
+    return spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(texts.items())], CORPUS)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def in_file_order(raw: DataFrame, name: str = "ord") -> DataFrame:
+    """``raw``, which a file source reads, with ``name``: ascending by file path and by line.
+
+    Splits of files are numbered (a row for each), and rows inside their split.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the count of rows in the task
+    place = [F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start")]
+    splits = raw.select(*place).distinct().withColumn("__split", F.row_number().over(Window.orderBy("__path", "__start")) - 1)
+    at = raw.select("*", *place, row.alias("__row")).join(splits, ["__path", "__start"])
+    return at.select(*[F.col(f"`{c}`") for c in raw.columns], (F.shiftleft(F.col("__split").cast("long"), 33) + F.col("__row")).alias(name))
+
+
 def collection(spark: SparkSession, folder: str, split: str = "test") -> Benchmark:
-    """A collection of corpus.jsonl, queries.jsonl and qrels/<split>.tsv; the last row of an id wins."""
+    """A collection of corpus.jsonl, queries.jsonl, qrels/<split>.tsv and, if it is there, answers.jsonl; the last row of an id wins."""
 
     def last(df: DataFrame, keys: list[str]) -> DataFrame:
         rest = [c for c in df.columns if c not in (*keys, "ord")]
         return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "ord").alias("r"), F.min("ord").alias("ord")).select(*keys, "r.*", "ord")
 
-    raw = lambda name: spark.read.schema("_id string, text string").json(f"{folder}/{name}.jsonl").withColumn("ord", F.monotonically_increasing_id())
-    corpus = last(raw("corpus").withColumnRenamed("_id", "doc_id"), ["doc_id"])
-    queries = last(raw("queries").withColumnRenamed("_id", "query_id"), ["query_id"]).drop("ord")
-    judged = spark.read.csv(f"{folder}/qrels/{split}.tsv", sep="\t", header=True).toDF("query_id", "doc_id", "relevance")
-    judged = judged.withColumn("relevance", F.col("relevance").cast("int")).withColumn("ord", F.monotonically_increasing_id())
-    return Benchmark(corpus, queries, last(judged, ["query_id", "doc_id"]).drop("ord"), None)
-
-
-def results(spark: SparkSession, path: str) -> DataFrame | None:
-    """A results table, or None where there is none."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return None
-    return spark.read.csv(path, header=True, inferSchema=True)
+    def lines(name: str, key: str, value: str = "text") -> DataFrame:
+        raw = in_file_order(spark.read.schema(f"_id string, {value} string").json(f"{folder}/{name}.jsonl"))
+        return last(raw.withColumnRenamed("_id", key), [key])
+
+    judged = in_file_order(spark.read.csv(f"{folder}/qrels/{split}.tsv", sep="\t", header=True)).toDF("query_id", "doc_id", "relevance", "ord")
+    judged = last(judged.withColumn("relevance", F.col("relevance").cast("int")), ["query_id", "doc_id"]).drop("ord")
+    answers = lines("answers", "query_id", "answer").drop("ord") if exists(spark, f"{folder}/answers.jsonl") else None
+    return Benchmark(lines("corpus", "doc_id"), lines("queries", "query_id").drop("ord"), judged, answers)
+
+
+def results(spark: SparkSession, *paths: str) -> DataFrame | None:
+    """The first of some places of a results table that exists, or None where there is none."""
+    for path in paths:
+        if exists(spark, path):
+            return spark.read.csv(path, header=True, inferSchema=True)
+    return None
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:

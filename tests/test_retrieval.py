@@ -3,8 +3,12 @@ import math
 import pytest
 
 from tarnlight.operators import answers, bm25, chunking, dense, metrics, needles, overlap, reshape
-from tarnlight.plans import answering, runner
-from tarnlight.schemas import Benchmark, BenchmarkConfig, StressConfig
+from tarnlight.operators import stats
+from tarnlight.operators.generation import Decoding, Generator, causal
+from tarnlight.operators.retrievers import Dense, Okapi, Retriever
+from tarnlight.plans import answering, runner, settings
+from tarnlight.plans.settings import Settings
+from tarnlight.schemas import DEPTHS, LENGTHS, Benchmark
 from tarnlight.sources import readers, writers
 from tarnlight.streaming import ingest
 from pyspark.sql import functions as F
@@ -50,9 +54,9 @@ def test_dense(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
     assert [r.chunk_id for r in dense.top_k(index, q, 2).orderBy("rank").collect()] == ["a::0", "b::0"]
     with pytest.raises(ValueError):
-        dense.DenseRetriever(dense.Embedder(), None)
+        Dense(dense.Embedder(), None)
     with pytest.raises(TypeError):
-        dense.DenseRetriever(dense.Embedder(), object())
+        Dense(dense.Embedder(), object())
     with pytest.raises(ValueError):
         dense.Embedder("no such")
 
@@ -71,16 +75,128 @@ def test_pooling_takes_the_best_chunk(spark):
     assert {r.doc_id: r.score for r in metrics.pooled(run).collect()} == {"d1": 0.9, "d2": 0.5}
 
 
+def small(spark):
+    qrels = spark.createDataFrame([("q0", "d0", 1)], "query_id string, doc_id string, relevance int")
+    return Benchmark(docs(spark, "red apple pie", "blue sky above", "green grass grows"), asked(spark, "apple pie"), qrels)
+
+
 def test_benchmark_run_and_csv(spark, tmp_path):
-    data = Benchmark(docs(spark, "red apple pie", "blue sky above", "green grass grows"), asked(spark, "apple pie"), spark.createDataFrame([("q0", "d0", 1)], "query_id string, doc_id string, relevance int"))
-    config = BenchmarkConfig(retrievers=["bm25", "overlap", "dense"], results_path=str(tmp_path / "r" / "out.csv"), index_cache_dir=str(tmp_path / "cache"))
-    table = {r.retriever: r for r in runner.run(spark, config, data).collect()}
-    assert table["bm25"]["mrr"] == 1.0 and set(table) == {"bm25", "overlap", "dense"}
-    back = readers.results(spark, config.results_path)
-    assert back.count() == 3 and back.columns[0] == "retriever" and readers.results(spark, str(tmp_path / "none.csv")) is None
-    assert runner.parse_args(["--retrievers", "bm25", "--k", "1", "2"]).k_values == [1, 2]
+    data = small(spark)
+    wanted = Settings(retrievers=("bm25", "overlap", "dense", "dense:trigram"), out=str(tmp_path / "r" / "out.csv"), index_folder=str(tmp_path / "cache"))
+    table = {r.retriever: r for r in runner.run(spark, wanted, data=data).collect()}
+    assert table["bm25"]["mrr"] == 1.0 and set(table) == set(wanted.retrievers)
+    back = readers.results(spark, str(tmp_path / "none.csv"), wanted.out)
+    assert back.count() == 4 and back.columns[0] == "retriever" and readers.results(spark, str(tmp_path / "none.csv")) is None
+    assert len(list((tmp_path / "cache").iterdir())) == 2
+    with pytest.raises(ValueError):
+        runner.build(spark, data, Settings(retrievers=("no such",)))
+    with pytest.raises(ValueError):
+        runner.runs({}, data.queries, 1)
+    with pytest.raises(TypeError):
+        runner.runs({"x": object()}, data.queries, 1)
+
+
+def test_retrievers_can_be_given(spark):
+    class Fixed:
+        def retrieve(self, queries, k):
+            return queries.select("query_id", F.lit("d0").alias("doc_id"), F.lit(1.0).alias("score"))
+
+    assert isinstance(Fixed(), Retriever) and not isinstance(object(), Retriever)
+    got = runner.run(spark, Settings(cutoffs=(1,)), {"fixed": Fixed(), "bm25": Okapi(small(spark).corpus)}, small(spark)).collect()
+    assert {r.retriever: r["precision@1"] for r in got} == {"fixed": 1.0, "bm25": 1.0}
+
+
+def test_an_index_belongs_to_its_corpus_and_encoder(spark, tmp_path):
+    texts = lambda c, e: {r.text for r in runner.cached_index(spark, c, e, str(tmp_path)).collect()}
+    a, b, words = docs(spark, "one"), docs(spark, "two"), dense.Embedder("hash")
+    assert texts(a, words) == {"one"} and texts(b, words) == {"two"} and texts(a, words) == {"one"}
+    assert texts(a, dense.Embedder("trigram")) == {"one"} and texts(a, dense.Embedder("hash", "16")) == {"one"}
+    assert len(list(tmp_path.iterdir())) == 4
+
+
+def test_settings_argument_then_environment_then_default(monkeypatch):
+    assert settings.resolve("encoder") == "hash"
+    monkeypatch.setenv("TARNLIGHT_ENCODER", "trigram")
+    assert settings.resolve("encoder") == "trigram" and settings.resolve("encoder", "md5") == "md5" and settings.resolve("encoder", "") == "trigram"
+    monkeypatch.setenv("TARNLIGHT_ENCODER", "")
+    got = runner.parse_args(["--source", "x", "--retrievers", "bm25", "--cutoffs", "1", "2"])
+    assert (got.encoder, got.retrievers, got.cutoffs, got.out) == ("hash", ("bm25",), (1, 2), None)
+    task, got = answering.parse_args(["answers", "--source", "x", "--temperature", "0.5"])
+    assert (task, got.temperature, got.passages, got.generator) == ("answers", 0.5, 4, "echo")
+    with pytest.raises(SystemExit):
+        answering.parse_args([])
+
+
+def test_command_lines_over_files(spark, tmp_path):
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "corpus.jsonl").write_text('{"_id":"1","text":"The key is brass."}\n{"_id":"2","text":"Fish swim."}\n')
+    (tmp_path / "queries.jsonl").write_text('{"_id":"q","text":"what is the key"}\n')
+    (tmp_path / "answers.jsonl").write_text('{"_id":"q","answer":"brass"}\n')
+    (tmp_path / "qrels" / "test.tsv").write_text("query-id\tcorpus-id\tscore\nq\t1\t1\n")
+    out = str(tmp_path / "out" / "a.csv")
+    got = answering.run(spark, *answering.parse_args(["answers", "--source", str(tmp_path), "--retrievers", "bm25", "--out", out])).first()
+    assert got.answer_correctness == 1.0 and readers.results(spark, out).count() == 1
+    (tmp_path / "hay.txt").write_text("Some words here. " * 30)
+    (tmp_path / "n.json").write_text('[{"text":"The key is brass.","question":"What is the key?","answer":"brass"}]')
+    (tmp_path / "n.csv").write_text("text,question,answer\nThe key is brass.,What is the key?,brass\n")
+    for needle in ("n.json", "n.csv"):
+        got = answering.run(spark, *answering.parse_args(["needles", "--source", str(tmp_path / "hay.txt"), "--needles", str(tmp_path / needle), "--max-new-tokens", "100000"])).collect()
+        assert len(got) == 35 and all(r.score == 1.0 for r in got)
+    found = runner.first_results(readers.collection(spark, str(tmp_path))).collect()
+    assert [(r.rank, r.doc_id) for r in found] == [(1, "1"), (2, "2")] and found[0].preview == "The key is brass."
     with pytest.raises(ValueError):
-        runner.runs(spark, data, BenchmarkConfig(retrievers=["no such"]))
+        answering.run(spark, "no such", Settings())
+
+
+def test_generators(spark):
+    prompts = spark.createDataFrame([("Context:\n[1] one two three\n\nQuestion",), (None,)], "prompt string")
+    write = lambda how: {r.answer for r in Generator("echo", how=how).generate(prompts).collect()}
+    assert write(None) == {"one two three", "I don't know."} and write(Decoding(max_new_tokens=2)) == {"one two", "I don't know."}
+    own = Generator(lambda model, how: lambda texts: [f" {model} {how.temperature} " for _ in texts], "m", Decoding(temperature=0.5))
+    assert {r.answer for r in own.generate(prompts).collect()} == {"m 0.5"}
+    for wrong in ({"max_new_tokens": 0}, {"temperature": -1.0}, {"top_p": 0.0}):
+        with pytest.raises(ValueError):
+            Decoding(**wrong)
+    with pytest.raises(ValueError):
+        Generator("no such")
+
+
+def test_causal_models_sample_only_with_a_temperature_and_use_chat_templates(monkeypatch):
+    import sys
+    import types
+    from contextlib import nullcontext
+
+    calls = []
+
+    class Ids(list):
+        shape = (1, 2)
+
+    class Tokenizer:
+        chat_template = "t"
+
+        def apply_chat_template(self, asked, **options):
+            calls.append(asked[0]["content"])
+            return Ids([[1, 2]])
+
+        def decode(self, ids, skip_special_tokens):
+            return f" {ids} "
+
+    class Net:
+        def eval(self):
+            pass
+
+        def generate(self, **options):
+            calls.append({k: v for k, v in options.items() if k != "input_ids"})
+            return [[1, 2, 7, 8]]
+
+    auto = lambda thing: types.SimpleNamespace(from_pretrained=lambda model: thing)
+    monkeypatch.setitem(sys.modules, "torch", types.SimpleNamespace(no_grad=nullcontext))
+    monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(AutoTokenizer=auto(Tokenizer()), AutoModelForCausalLM=auto(Net())))
+    assert causal("m", Decoding())(["p"]) == [" [7, 8] "] and calls == ["p", {"max_new_tokens": 256, "do_sample": False}]
+    causal("m", Decoding(5, 0.7, 0.9))(["p"])
+    assert calls[-1] == {"max_new_tokens": 5, "do_sample": True, "temperature": 0.7, "top_p": 0.9}
+    with pytest.raises(ValueError):
+        causal(None, Decoding())
 
 
 def test_text_folder_and_stream(spark, tmp_path):
@@ -108,12 +224,14 @@ def test_needles(spark):
     assert put("One a. Two b. Three c.", 50) == "One a. Two b. N. Three c."
     assert put("One a. Two b.", 0).startswith("N. ") and put("One a. Two b.", 100).endswith(" N.")
     assert "N." in put("w " * 100, 50) and put("", 50) == "N."
-    cells = needles.grid(spark, StressConfig().context_lengths, StressConfig().depth_percents)
-    assert cells.count() == 35
+    assert put("One a. Two b. Three c.", 10) == "N. One a. Two b. Three c." and put("aaa bbb ccc", 50) == "aaa bbb N. ccc"
+    assert needles.grid(spark, list(LENGTHS), list(DEPTHS)).count() == 35
     needle = spark.createDataFrame([("The key is brass.", "What is the key?", "brass")], "text string, question string, answer string")
-    config = StressConfig(context_lengths=[50], depth_percents=[0, 50])
-    got = answering.sweep(spark, spark.createDataFrame([("word " * 20,)], "text string"), needle, config).collect()
+    hay = spark.createDataFrame([("word " * 20,)], "text string")
+    got = answering.sweep(hay, needle, lengths=(50,), depths=(0, 50)).collect()
     assert len(got) == 2 and all(r.score == 1.0 for r in got)
+    made = answering.contexts(hay, needle, (50, 2), (0, 50, 100)).collect()
+    assert {len(r.context.split()) for r in made if r.context_length == 50} == {50} and {r.context for r in made if r.context_length == 2} == {"The key is brass."}
 
 
 def test_answers(spark):
@@ -127,10 +245,34 @@ def test_answers(spark):
     assert [r.doc_id for r in overlap.top_k(c, q, 4).collect()] == ["d0"]
 
 
+def test_in_memory_corpus_and_report(spark):
+    corpus = readers.in_memory(spark, {"b": "two words", "a": "one"})
+    assert [(r.doc_id, r.ord) for r in corpus.orderBy("ord").collect()] == [("b", 0), ("a", 1)]
+    qrels = spark.createDataFrame([("q", "a", 1)], "query_id string, doc_id string, relevance int")
+    assert stats.report(stats.corpus_stats(corpus, asked(spark, "x"), qrels)).splitlines()[:2] == ["n_docs: 2", "n_queries: 1"]
+
+
+def test_lines_keep_their_order_over_files_and_splits(spark, tmp_path):
+    for name, first in (("a", 0), ("b", 300)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"n":{i}}}\n' for i in range(first, first + 300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = readers.in_file_order(spark.read.schema("n int").json(str(tmp_path / "*.jsonl"))).orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert [r.n for r in rows] == list(range(600))
+
+
 def test_reshape(spark):
     t = spark.createDataFrame([("a", 0.5, 0.0), ("b", 0.6, 0.2)], "retriever string, mrr double, other double")
     long = reshape.melt(t)
     got = {r.metric: r for r in reshape.delta(long, "a", "b").collect()}
     assert got["mrr"].delta_abs == 0.1 and got["mrr"].delta_pct == "20.0%" and got["other"].delta_pct is None
     assert reshape.headline(t).count() == 2
+    assert reshape.present(t, "retriever", ["b", "x", "a"]) == ["b", "a"] and [r.retriever for r in reshape.head(t, 1, "mrr").collect()] == ["a"]
+    with pytest.raises(LookupError):
+        reshape.delta(long, "a", "x")
     assert writers.comparison(long.select("retriever", "metric", F.col("score").alias("value")), ["mrr", "other"]).count() == 2
