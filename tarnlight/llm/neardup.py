@@ -23,7 +23,7 @@ the size of a bucket, and no pair leaves its task.
 Texts of one to four words are one run; texts without words (null and empty
 ones too) are similar to nothing, not even one another.  Rows with a null id
 are classes of their own id, null.  Rows that repeat an id with other text link
-through that id.  Other columns are not looked at; ``keep_one`` returns those
+through that id, with all that is like either text.  Other columns are not looked at; ``keep_one`` returns those
 of its input.
 """
 
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import connected_components, free, slices, stored
+from tarnlight.llm.common import connected_components, free, over_salts, salt, slices, stored
 from tarnlight.llm.shingles import U, mix, shingles, utf8
 
 M, BANDS, ROWS = 128, 32, 4
@@ -187,10 +187,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     every = stored(classes(picked, "id", "text"), "signatures")
     known = every.where("id IS NOT NULL AND digest IS NOT NULL")
-    rep_of = known.groupBy("digest").agg(F.min("id").alias("rep"))
-    # One row for each class: the signature of the row that has the smallest id.
-    reps = known.join(rep_of, "digest").where("id = rep").groupBy("rep").agg(F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
-    reps = stored(reps, "representatives")
+    # A third of all rows may be copies of one text, so the smallest id of a digest is dealt to salts.
+    known = known.withColumn("salt", salt("id", "sig"))
+    rep_of = over_salts(known, ["digest"], rep=(F.min, F.min("id")))
+    classed = known.join(rep_of, ["digest", "salt"])
+    # One row for each class: the signature of the row that has the smallest id, which may stand for several texts.
+    reps = classed.where("id = rep").groupBy("rep", "digest").agg(F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
+    reps = stored(reps.select("rep", "sig", "bytes"), "representatives")
     bands = reps.select("rep", "sig").mapInArrow(lambda it: _bands(b.select(["rep", "sig"]) for b in it), "key long, rep long")
     many = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = stored(bands.join(many, "key"), "buckets")
@@ -200,7 +203,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     star = buckets.join(centre, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     star = stored(star, "pairs")
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    texts = stored(picked.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    texts = stored(picked.join(wanted, "id", "left_semi").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("id", "text"), "texts")
     links = stored(verified(star, texts), "links")
     found = connected_components(links)
 
@@ -215,10 +218,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rest = rest.select("key", "rep", "component", "sig", "text", "tile", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"))
     more = stored(rest.groupBy("key", "t", "u").applyInArrow(_joined, "src long, dst long"), "links")
-    wider = connected_components(more).select(F.col("id").alias("component"), F.col("component").alias("root"))
-    of = known.join(rep_of, "digest").select("id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    of = of.select("id", F.coalesce("component", "rep").alias("component")).join(wider, "component", "left")
-    of = of.groupBy("id").agg(F.min(F.coalesce("root", "component")).alias("component"))
+    of = classed.select("id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    of = stored(of.select("id", F.coalesce("component", "rep").alias("component")), "members")
+    # An id of several texts links their components.
+    several = of.groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    through = of.join(several.select("id", "lo"), "id").select(F.col("lo").alias("src"), F.col("component").alias("dst"))
+    wider = connected_components(more.union(through)).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    of = of.join(wider, "component", "left").groupBy("id").agg(F.min(F.coalesce("root", "component")).alias("component"))
     return every.select("id").join(of, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("component_id"))
 
 
