@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import slices, stored
+from tarnlight.llm.common import over_salts, salt, slices, stored
 from tarnlight.llm.shingles import U, _powers, mix, utf8
 
 LEAST = 400
@@ -49,7 +49,8 @@ HOT = 1500
 WIDTHS = (64, 8)
 SLICE_BYTES, SHARD_BYTES = 100_000, 400_000  # some 30 arrays of 8 bytes a byte are held
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_INDEX = U((1 << 28) - 1)
+#: Places in a batch of texts; no text of a table has more bytes.
+_INDEX = U((1 << 31) - 1)
 _STEPS = U(1) << np.arange(0, 64, 8, dtype=np.uint64)
 
 
@@ -315,8 +316,13 @@ def _merged(_: tuple, group: pa.Table) -> pa.Table:
 
 
 def _recurring(per: DataFrame) -> DataFrame:
-    """``(g, kinds)``: hashes that stand for two segments or more, and how many different ones, from ``per(g, h1, h2, count)``."""
-    return per.groupBy("g").agg(F.sum("count").alias("all"), F.count("*").alias("kinds")).where("`all` > 1").select("g", "kinds")
+    """``per(g, h1, h2, count)`` with ``kinds``, how many different segments a hash stands for, where they are two or stand twice.
+
+    Different segments of one hash, however many, are dealt to salts.
+    """
+    salted = per.withColumn("salt", salt("h1", "h2"))
+    each = over_salts(salted, ["g"], all=(F.sum, F.sum("count")), kinds=(F.sum, F.count("*")))
+    return salted.join(each.where("`all` > 1").select("g", "salt", "kinds"), ["g", "salt"]).drop("salt")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -324,7 +330,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     every = stored(anchors(picked, least), "anchors")
     per = every.groupBy("g", "h1", "h2").agg(F.count("*").alias("count"), F.min(F.struct("id", "th", "s", "n", "o")).alias("one"))
-    same = stored(per.join(_recurring(per), "g"), "segments")
+    same = stored(_recurring(per), "segments")
     spans = same.where("kinds = 1").select("g", "h1", "h2", F.lit(0).alias("a"), (F.col("one.n") - 1).alias("z"))
     wanted = same.where("kinds > 1").select("one.*", "g", "h1", "h2", F.least("count", F.lit(2)).cast("int").alias("count"), (F.col("kinds") > HOT).alias("hot"))
     by_doc = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("g", "h1", "h2", "count", "s", "n", "o", "hot")).alias("parts"))
@@ -343,7 +349,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     hot, links = cuts.where("hot").select(*key, "count", "bytes", "o", F.col("g").alias("rg"), F.col("h1").alias("rh1"), F.col("h2").alias("rh2"), F.lit(0).alias("shift")), None
     for width in WIDTHS:
         blocks = stored(hot.mapInArrow(_blocks(width, least), _BLOCK), "blocks")
-        kept = stored(blocks.join(_recurring(blocks.groupBy(key).agg(F.sum("count").alias("count"))), "g"), "blocks")
+        recurring = _recurring(blocks.groupBy(key).agg(F.sum("count").alias("count"))).select(*key, "kinds")
+        kept = stored(blocks.join(recurring, key), "blocks")
         parts = F.when(F.col("kinds") > HOT, F.ceil(F.col("kinds") / HOT)).otherwise(0).cast("int").alias("parts")
         done = kept if width == WIDTHS[-1] else kept.where(F.col("kinds") <= HOT)
         spans = spans.union(done.where("kinds = 1").select(*key, F.lit(0), F.octet_length("bytes") - least).distinct())
