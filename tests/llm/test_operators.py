@@ -180,20 +180,3 @@ def test_fingerprints_against_brute_force(spark):
 
     got = [(r.doc_id, r.edited, r.fp, r.edited_fp) for r in fingerprints.edits(docs).collect()]
     assert sorted(map(repr, got)) == sorted(repr((i, e, brute(t), brute(e))) for i, t, e in expected)
-
-
-def test_pipeline_is_its_stages_in_order(spark):
-    import corpus_pipeline
-    from tarnlight.llm.common import stored, table
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dups", "source_mix", "bpe"]
-    docs = table(spark, SF, "documents")
-    ids = lambda d: [r.doc_id for r in d.select("doc_id").collect()]
-    made = [docs]
-    for name, stage in corpus_pipeline.STAGES:
-        made.append(stored(stage(spark, made[-1], SF), name))
-    every, clean, lined, single, mixed, last = map(ids, made)
-    assert all(d.columns == docs.columns for d in made[:-1])
-    assert set(clean) < set(every) and sorted(lined) == sorted(clean) and set(single) < set(lined)
-    assert set(mixed) <= set(single) and max(map(mixed.count, mixed)) <= 3 and sorted(last) == sorted(mixed)
-    assert sorted(map(repr, corpus_pipeline.run(spark, SF).collect())) == sorted(map(repr, made[-1].collect()))
