@@ -42,7 +42,7 @@ STAGES = [
     ("bpe", encode_bpe),
 ]
 
-#: The toxicity model and the tokenizer have no SQL; tests hold the run against its stages, one after the other.
+#: The toxicity model and the tokenizer have no SQL; tests hold each stage against SQL, the library or a plain version.
 ORACLE_SQL = None
 
 
