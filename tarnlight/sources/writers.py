@@ -13,12 +13,15 @@ def comparison(metrics: DataFrame, order: list[str]) -> DataFrame:
     return metrics.groupBy("retriever").pivot("metric", order).agg(F.first("value")).select("retriever", *[F.col(f"`{c}`") for c in order])
 
 
-def csv_file(df: DataFrame, path: str) -> None:
-    """One CSV file with a header; for report tables, whose rows are few by nature."""
+def csv_file(df: DataFrame, path: str, most_rows: int = 100_000) -> None:
+    """One CSV file with a header; for report tables: one of more than ``most_rows`` rows is an error."""
     if not df.columns:
         raise ValueError("nothing to write")
+    rows = df.limit(most_rows + 1).toPandas()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows; write a folder instead")
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    df.toPandas().to_csv(path, index=False)
+    rows.to_csv(path, index=False)
 
 
 def csv_folder(df: DataFrame, path: str) -> None:

@@ -276,3 +276,19 @@ def test_reshape(spark):
     with pytest.raises(LookupError):
         reshape.delta(long, "a", "x")
     assert writers.comparison(long.select("retriever", "metric", F.col("score").alias("value")), ["mrr", "other"]).count() == 2
+
+
+def test_csv_files_are_for_few_rows(spark, tmp_path):
+    with pytest.raises(ValueError):
+        writers.csv_file(spark.range(5), str(tmp_path / "x.csv"), most_rows=4)
+    with pytest.raises(ValueError):
+        writers.csv_file(spark.range(1).select(), str(tmp_path / "x.csv"))
+
+
+def test_overlap_functions_agree_with_the_retriever(spark):
+    from tarnlight.functions.text import keyword_overlap, overlap_score
+
+    c, q = docs(spark, "Red apple red pie", "blue Sky", "red sky"), asked(spark, "red sky Red", "")
+    pairs = q.crossJoin(c.withColumnRenamed("text", "body")).select("query_id", "doc_id", keyword_overlap(F.col("text"), F.col("body")).alias("n"), overlap_score(F.col("text"), F.col("body")).alias("score"))
+    want = {(r.query_id, r.doc_id): r.score for r in pairs.where("n > 0").collect()}
+    assert {(r.query_id, r.doc_id): r.score for r in overlap.top_k(c, q, 9).collect()} == want == {("q0", "d0"): 0.333, ("q0", "d1"): 0.333, ("q0", "d2"): 0.667}
