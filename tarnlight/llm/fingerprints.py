@@ -15,8 +15,12 @@ Neighbours: rows are dealt by ranges of the document id with bounds from
 approximate percentiles; a row whose id is a bound goes to the next range as
 well, so every row finds its successor inside its own range with a window over
 some tens of rows.  Whole texts are shuffled once.  Rows of equal id follow one
-another by text; a null id is smaller than any other.  Other columns are not
+another by text; a null id is smaller than any other.  Rows that repeat have
+rows of their own; an empty table gives an empty one.  Other columns are not
 looked at.
+
+Every gram is hashed anew, not rolled on from the one before it: array functions
+have no running sums, and the forms that were measured cost more (README).
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ of the shuffled order and then windows inside a bucket, so that no task holds a
 source or the mix.  Only one row for each source and bucket meets in a window.
 
 Null and blank texts have 0 words and take none; a null source is a source of
-its own; a null id counts as the text "null"; equal rows share one fate.  Other
+its own; a null id counts as the text "null"; equal rows share one fate.  Long
+texts count by their words only; an empty table gives an empty mix.  Other
 columns are not looked at; ``mixed`` returns those of its input.
 """
 

@@ -24,7 +24,8 @@ Texts of one to four words are one run; texts without words (null and empty
 ones too) are similar to nothing, not even one another.  Rows with a null id
 are classes of their own id, null.  Rows that repeat an id with other text link
 through that id, with all that is like either text.  Other columns are not looked at; ``keep_one`` returns those
-of its input.
+of its input.  An empty table gives an empty one; a very long text is one
+multiset, worked by itself.
 """
 
 from __future__ import annotations

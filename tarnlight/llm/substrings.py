@@ -28,7 +28,8 @@ What makes it one pass over a large corpus is how text is dealt to shards:
 
 Texts: null and empty texts and those shorter than ``least`` lose nothing.
 Rows that repeat are documents of their own, so their strings repeat.  A null
-id is one id.  Other columns are not looked at.
+id is one id.  A very long text is a batch of its own; an empty table gives an
+empty one.  Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -5,8 +5,7 @@ pairs of the inner products of their factors), so that a pair such as an insult
 and the name of a group can weigh more than both alone.  Terms are the words
 of a text, each once, in lower case without the punctuation around them, and
 the first 4 and 5 letters of longer words, for stems that take many endings;
-a term is known by
-its bucket among 2**``BITS``, by a hash.
+a hash deals each term to one of 2**``BITS`` buckets.
 
 Nothing is chosen beforehand: every bucket of ``least_docs`` learnt rows or more
 takes part, and learning itself decides what stays.  Weights follow the

@@ -19,7 +19,8 @@ edges.
 Equal vectors become one with a count.  Vectors that are null, empty, zero, or
 hold null or non-finite components, and rows with a null label or null id link
 with nothing and are components of their own id.  Rows that repeat id, label
-and vector count once.  Other columns are not looked at.
+and vector count once.  Vectors of any length are compared with those of their
+length; an empty table gives an empty one.  Other columns are not looked at.
 
 The pivots are bounded by ``MOST_PIVOTS`` whatever the table's size (the cells
 grow instead), so they may be broadcast.
