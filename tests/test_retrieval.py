@@ -292,3 +292,23 @@ def test_overlap_functions_agree_with_the_retriever(spark):
     pairs = q.crossJoin(c.withColumnRenamed("text", "body")).select("query_id", "doc_id", keyword_overlap(F.col("text"), F.col("body")).alias("n"), overlap_score(F.col("text"), F.col("body")).alias("score"))
     want = {(r.query_id, r.doc_id): r.score for r in pairs.where("n > 0").collect()}
     assert {(r.query_id, r.doc_id): r.score for r in overlap.top_k(c, q, 9).collect()} == want == {("q0", "d0"): 0.333, ("q0", "d1"): 0.333, ("q0", "d2"): 0.667}
+
+
+def test_sentence_encoders_ask_for_unit_vectors(monkeypatch):
+    import sys
+    import types
+
+    asked_for = []
+
+    class Net:
+        def __init__(self, model):
+            asked_for.append(model)
+
+        def encode(self, texts, **options):
+            asked_for.append(options["normalize_embeddings"])
+            return [[1.0, 0.0] for _ in texts]
+
+    monkeypatch.setitem(sys.modules, "sentence_transformers", types.SimpleNamespace(SentenceTransformer=Net))
+    assert dense.sentence_encoder("m")(["a", "b"]).tolist() == [[1.0, 0.0], [1.0, 0.0]] and asked_for == ["m", True]
+    with pytest.raises(ValueError):
+        dense.sentence_encoder(None)
