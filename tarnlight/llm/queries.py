@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import bpe, fingerprints, html, lines, mixing, neardup, substrings, token_store, toxicity, vectors
+from tarnlight.llm import bpe, fingerprints, html, lines, mixing, neardup, passages, substrings, token_store, toxicity, vectors
 from tarnlight.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,8 +73,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op4_fingerprints, op5_source_mix, op6_vector_dups, op7_main_text, op8_repeated_bytes, op9_near_dups, op10_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op4_fingerprints, op5_source_mix, op6_vector_dups, op7_main_text, op8_repeated_bytes, op9_near_dups, op10_bpe, op12_passages, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL, "op6_vector_dups": vectors.SQL, "op9_near_dups": neardup.SQL}
+    return {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL, "op6_vector_dups": vectors.SQL, "op9_near_dups": neardup.SQL, "op12_passages": passages.SQL}

@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> U(31)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, U(base))
     out[0] = 1
