@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import bpe, fingerprints, html, lines, mixing, neardup, passages, substrings, token_store, toxicity, vectors
+from tarnlight.llm import bpe, fingerprints, html, importance, lines, mixing, neardup, passages, substrings, token_store, toxicity, vectors
 from tarnlight.llm.common import table
 
 
@@ -62,6 +62,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.draws(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(table(spark, sf_dir, "documents"))
 
@@ -73,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op4_fingerprints, op5_source_mix, op6_vector_dups, op7_main_text, op8_repeated_bytes, op9_near_dups, op10_bpe, op12_passages, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op4_fingerprints, op5_source_mix, op6_vector_dups, op7_main_text, op8_repeated_bytes, op9_near_dups, op10_bpe, op11_importance, op12_passages, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
