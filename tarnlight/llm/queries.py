@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import bpe, fingerprints, html, importance, lines, mixing, neardup, passages, substrings, token_store, toxicity, vectors
+from tarnlight.llm import bpe, fingerprints, html, importance, lines, mixing, neardup, passages, substrings, token_store, toxicity, vectors, whitening
 from tarnlight.llm.common import table
 
 
@@ -71,6 +71,10 @@ def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op4_fingerprints, op5_source_mix, op6_vector_dups, op7_main_text, op8_repeated_bytes, op9_near_dups, op10_bpe, op11_importance, op12_passages, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_toxicity, op4_fingerprints, op5_source_mix, op6_vector_dups, op7_main_text, op8_repeated_bytes, op9_near_dups, op10_bpe, op11_importance, op12_passages, op13_whitening, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
