@@ -131,7 +131,8 @@ def merged(row: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, n
 
 def _listed(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     """The row of each element of a column of lists, and the elements."""
-    return pc.list_parent_indices(column).to_numpy().astype(np.int64), column.flatten()
+    many = pc.list_value_length(column).fill_null(0).to_numpy()
+    return np.repeat(np.arange(len(many)), many), column.flatten()
 
 
 def _blocks(least: int, reference: bool):
@@ -194,23 +195,24 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     every = stored(anchors(picked, least, gram), "anchors")
     # In different texts: what only copies of one text share is known already.
     several = every.groupBy("g").agg(F.min("th").alias("a"), F.max("th").alias("z"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("a < z AND lo < hi")
-    near = every.join(several.select("g", "lo", "hi"), "g")
+    # What is joined back is written and read again, so that the join can split the rows of a frequent key.
+    near = every.join(stored(several.select("g", "lo", "hi"), "several"), "g")
     part = F.struct("s", "n", (F.col("lo") < F.col("id")).alias("probe"), (F.col("hi") > F.col("id")).alias("ref"))
     regions = near.groupBy("id", "th").agg(F.collect_set(part).alias("regions")).join(copies, ["id", "th"], "left_anti")
     cand = stored(picked.join(regions, ["id", "th"]).select("id", "th", "text", "regions"), "candidates")
 
     row = "h long, id long, th long, p int"
     blocks = stored(cand.mapInArrow(_blocks(least, True), row), "blocks")
-    index = blocks.groupBy("h").agg(F.min("id").alias("lo"))
+    index = stored(blocks.groupBy("h").agg(F.min("id").alias("lo")), "index")
     probes = cand.mapInArrow(_blocks(least, False), row)
     hits = stored(probes.join(index, "h").where("lo < id").select("h", "id", "th", "p"), "hits")
-    hit = blocks.join(hits.select("h").distinct(), "h", "left_semi")
+    hit = blocks.join(stored(hits.select("h").distinct(), "hit"), "h", "left_semi")
 
     def around(places: DataFrame) -> DataFrame:
         by_doc = places.groupBy("id", "th").agg(F.collect_set("p").alias("places"))
         return cand.select("id", "th", "text").join(by_doc, ["id", "th"]).mapInArrow(_windows(least), "w1 long, w2 long, id long, th long, s int")
 
-    earliest = around(hit).groupBy("w1", "w2").agg(F.min("id").alias("lo"))
+    earliest = stored(around(hit).groupBy("w1", "w2").agg(F.min("id").alias("lo")), "earliest")
     found = around(hits).join(earliest, ["w1", "w2"]).where("lo < id").groupBy("id", "th").agg(F.collect_set("s").alias("windows"))
     return copies, cand.select("id", "th", "text").join(found, ["id", "th"])
 
