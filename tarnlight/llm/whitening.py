@@ -43,7 +43,7 @@ def gridded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Usable rows of a column of lists, their lengths, and all their entries on the grid."""
     column = column.cast(pa.list_(pa.float64()))
     size = pc.list_value_length(column).fill_null(-1).to_numpy()
-    row = pc.list_parent_indices(column).to_numpy()
+    row = np.repeat(np.arange(len(size)), np.maximum(size, 0))
     entry = pc.fill_null(column.flatten(), float("nan")).to_numpy()
     x = np.floor(GRID * entry)
     good = size > 0
