@@ -96,14 +96,14 @@ def _signed(b: pa.RecordBatch, of: int) -> tuple:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, digest, sig, bytes)`` of every row: class of equal multisets (null without words), signature, and size of the text."""
+    """``(id, th, digest, sig, bytes)`` of every row: hash of the text, class of equal multisets (null without words), signature, and size of the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1_000_000):
-            sig, digest = _signed(b, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(np.diff(utf8(b.column(1))[1]))], names=["id", "digest", "sig", "bytes"])
+            sig, digest = _signed(b, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(np.diff(utf8(b.column(2))[1]))], names=["id", "th", "digest", "sig", "bytes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, digest binary, sig binary, bytes long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(work, "id long, th long, digest binary, sig binary, bytes long")
 
 
 def _keys(sig: np.ndarray) -> np.ndarray:
@@ -119,7 +119,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in slices([b]):
             key = _keys(np.frombuffer(b"".join(s.column(1).to_pylist()), np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(s.column(0).to_numpy(), BANDS))], names=["key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(s.column(0).to_numpy(), BANDS))], names=["key", "c"])
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -152,17 +152,17 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _joined(key: tuple, group: pa.Table) -> pa.Table:
     """Links between components, found in one bucket inside a tile or between two; a forest of them."""
-    reps, comps = group.column("rep").to_numpy(), group.column("component").to_numpy().copy()
+    own_class, comps = group.column("c").to_numpy(), group.column("component").to_numpy().copy()
     tile, t, u = group.column("tile").to_numpy(), key[1].as_py(), key[2].as_py()
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, M)
     band = int(np.flatnonzero(_keys(sig[:1])[0].view(np.int64) == key[0].as_py())[0])
     text, run, count = shingles(*utf8(group.column("text").combine_chunks()))
-    ends, total = np.searchsorted(text, np.arange(len(reps) + 1)), np.bincount(text, count, len(reps))
+    ends, total = np.searchsorted(text, np.arange(len(comps) + 1)), np.bincount(text, count, len(comps))
     distinct, run = np.unique(run, return_inverse=True)
     held = np.zeros(len(distinct), np.int64)  # the counts of one text
     left, right, src, dst = np.flatnonzero(tile == t), np.flatnonzero(tile == u), [], []
     for i in left.tolist():
-        j = right[(comps[right] != comps[i]) & ((reps[right] > reps[i]) if t == u else True)]
+        j = right[(comps[right] != comps[i]) & ((own_class[right] > own_class[i]) if t == u else True)]
         same = sig[j] == sig[i]
         # A pair that also meets in a band before this one is left to that one.
         first = same[:, : band * ROWS].reshape(len(j), band, ROWS).all(axis=2).any(axis=1) if band else np.zeros(len(j), bool)
@@ -184,48 +184,55 @@ def _joined(key: tuple, group: pa.Table) -> pa.Table:
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, component_id)`` of every row: the smallest id reachable by links of similarity 0.8 or more."""
+    """``(doc_id, component_id)`` of every row: the smallest id reachable by links of similarity 0.8 or more.
+
+    From signatures to links a class goes by its number ``c``, never by an id,
+    which may have several texts; ids come in again at the end.
+    """
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     every = stored(classes(picked, "id", "text"), "signatures")
-    known = every.where("id IS NOT NULL AND digest IS NOT NULL")
     # A third of all rows may be copies of one text, so the smallest id of a digest is dealt to salts.
-    known = known.withColumn("salt", salt("id", "sig"))
-    rep_of = over_salts(known, ["digest"], rep=(F.min, F.min("id")))
-    classed = known.join(rep_of, ["digest", "salt"])
-    # One row for each class: the signature of the row that has the smallest id, which may stand for several texts.
-    reps = classed.where("id = rep").groupBy("rep", "digest").agg(F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
-    reps = stored(reps.select("rep", "sig", "bytes"), "representatives")
-    bands = reps.select("rep", "sig").mapInArrow(lambda it: _bands(b.select(["rep", "sig"]) for b in it), "key long, rep long")
+    known = every.where("id IS NOT NULL AND digest IS NOT NULL").withColumn("salt", salt("id", "sig"))
+    salted = stored(over_salts(known, ["digest"], rep=(F.min, F.min("id"))), "salted")
+    numbers = stored(salted.select("digest", "rep").distinct().select("digest", F.monotonically_increasing_id().alias("c")), "numbers")
+    classed = stored(known.join(salted.join(numbers, "digest"), ["digest", "salt"]).select("id", "th", "c", "rep", "sig", "bytes"), "classes")
+    # One row for each class: a row of its smallest id.
+    reps = classed.where("id = rep").groupBy("c").agg(F.first(F.struct("rep", "th", "sig", "bytes")).alias("r"))
+    reps = stored(reps.select("c", "r.*"), "representatives")
+    bands = reps.select("c", "sig").mapInArrow(lambda it: _bands(b.select(["c", "sig"]) for b in it), "key long, c long")
     many = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = stored(bands.join(many, "key"), "buckets")
-    weight = buckets.groupBy("rep").agg(F.sum("n").alias("weight"))
-    weighed = buckets.join(weight, "rep").select("key", "rep", "weight")
-    centre = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("c")).select("key", (-F.col("c.r")).alias("centre"))
-    star = buckets.join(centre, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    weight = buckets.groupBy("c").agg(F.sum("n").alias("weight"))
+    weighed = buckets.join(weight, "c").select("key", "c", "weight")
+    centre = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("c")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("centre"))
+    star = buckets.join(centre, "key").where("c <> centre").select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct()
     star = stored(star, "pairs")
-    wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    texts = stored(picked.join(wanted, "id", "left_semi").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("id", "text"), "texts")
-    links = stored(verified(star, texts), "links")
+    wanted = reps.join(buckets.select("c").distinct(), "c", "left_semi").select("c", F.col("rep").alias("id"), "th")
+    texts = picked.withColumn("th", F.xxhash64("text")).join(wanted, ["id", "th"]).groupBy("c").agg(F.first("text").alias("text"))
+    texts = stored(texts, "texts")
+    links = stored(verified(star, texts.withColumnRenamed("c", "id")), "links")
     found = connected_components(links)
 
     # Buckets that hold several components, in tiles.
-    inside = buckets.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    inside = inside.join(reps.select("rep", "bytes"), "rep")
+    inside = buckets.where("n > 2").join(found.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    inside = inside.join(reps.select("c", "bytes"), "c")
     mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("bytes").alias("held")).where("lo <> hi")
     tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("held") / TILE_BYTES), F.lit(1)).cast("int")
-    rest = inside.select("key", "rep", "component").join(mixed.select("key", F.least(tiles, F.col("size").cast("int")).alias("tiles")), "key")
-    rest = rest.join(reps.select("rep", "sig"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
-    rest = rest.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    rest = inside.select("key", "c", "component").join(mixed.select("key", F.least(tiles, F.col("size").cast("int")).alias("tiles")), "key")
+    rest = rest.join(reps.select("c", "sig"), "c").join(texts, "c")
+    rest = rest.withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rest = rest.select("key", "rep", "component", "sig", "text", "tile", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"))
+    rest = rest.select("key", "c", "component", "sig", "text", "tile", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"))
     more = stored(rest.groupBy("key", "t", "u").applyInArrow(_joined, "src long, dst long"), "links")
-    of = classed.select("id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    of = stored(of.select("id", F.coalesce("component", "rep").alias("component")), "members")
+    of = classed.select("id", "c").join(found.withColumnRenamed("id", "c"), "c", "left")
+    of = stored(of.select("id", F.coalesce("component", "c").alias("component")).distinct(), "members")
     # An id of several texts links their components.
     several = of.groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     through = of.join(several.select("id", "lo"), "id").select(F.col("lo").alias("src"), F.col("component").alias("dst"))
     wider = connected_components(more.union(through)).select(F.col("id").alias("component"), F.col("component").alias("root"))
-    of = of.join(wider, "component", "left").groupBy("id").agg(F.min(F.coalesce("root", "component")).alias("component"))
+    of = of.join(wider, "component", "left").select("id", F.coalesce("root", "component").alias("root"))
+    least = stored(of.groupBy("root").agg(F.min("id").alias("component")), "roots")
+    of = of.join(least, "root").select("id", "component").distinct()
     return every.select("id").join(of, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("component_id"))
 
 

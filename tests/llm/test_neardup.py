@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pytest
 
 from tarnlight.llm import neardup, queries
 
@@ -62,6 +63,29 @@ def test_small_tiles_and_buckets_of_many_components(spark, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("tile", [5, 1024])
+def test_repeated_ids_in_mixed_buckets(spark, monkeypatch, tile):
+    """Many pairs lie near and below 0.8, and every other id has a second text, which has buckets of its own."""
+    monkeypatch.setattr(neardup, "TILE", tile)
+    rng = np.random.default_rng(11)
+    one, two = ([f"{s}{k}" for k in rng.integers(0, 400, 60)] for s in "ab")
+    rows = [(i, varied(rng, one, int(rng.integers(1, 3)))) for i in range(150)]
+    rows += [(i, varied(rng, two if i % 4 else one, int(rng.integers(1, 4)))) for i in range(0, 150, 2)]
+    rows += [(i, varied(rng, one + two, 9)) for i in range(200, 210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = neardup.components(docs).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows) and len(got) == len(rows)
+
+
+def test_a_second_text_does_not_link_what_only_its_id_does(spark):
+    rng = np.random.default_rng(12)
+    base = [[f"{s}{k}" for k in rng.integers(0, 900, 120)] for s in "abcd"]
+    rows = [(i, varied(rng, base[i % 3], int(rng.integers(1, 4)))) for i in range(60)]
+    rows += [(4, varied(rng, base[3], 1)), (100, varied(rng, base[3], 1)), (101, " ".join(base[3]))]
+    got = {r.doc_id: r.component_id for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and len(set(got.values())) >= 3
+
+
 def test_every_link_of_a_table_is_found(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
