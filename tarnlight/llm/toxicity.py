@@ -19,7 +19,9 @@ in all rows and means nothing.
 
 Learning uses at most ``most_rows`` labelled rows, those of smallest id hash, as
 many of them as hold ``most_entries`` terms together, and never a row whose
-crc32(id as text) mod 5 is 0.  Every whole text is scored.
+crc32(id as text) mod 5 is 0.  Both bounds are applied before anything reaches
+the driver, and hold too where one labelled id stands on any number of rows.
+Every whole text is scored.
 
 Null and empty texts have no terms and get the score of the bias.  Null labels
 are not learnt from; a document with several labels has the largest.  Rows that
@@ -186,14 +188,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             sets = [sorted(terms.rows(t or "")) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, sets), pa.int32()), pa.array(sets, pa.list_(pa.int32()))], names=["h", "y", "n", "terms"])
 
-    made = stored(rows.mapInArrow(work, "h long, y int, n int, terms array<int>"), "terms")
-    sizes = made.select("h", "y", "n").toArrow().to_pandas().sort_values(["h", "n"])
-    upto = sizes["h"][sizes["n"].cumsum() <= most_entries]
-    if not len(sizes) or sizes["y"].nunique() < 2:
+    made = rows.mapInArrow(work, "h long, y int, n int, terms array<int>").withColumn("x", F.xxhash64("terms"))
+    made = stored(made.withColumn("r", F.monotonically_increasing_id()), "terms")
+    order = ["h", "n", "x", "r"]
+    sizes = made.select(*order, "y").orderBy(*order).limit(most_rows).toArrow().to_pandas()  # an id may stand on any number of rows
+    sizes = sizes[sizes["n"].cumsum() <= most_entries]
+    if sizes["y"].nunique() < 2:
         n, toxic = len(sizes), int(sizes["y"].sum())
         return FM(math.log((toxic + 1) / (n - toxic + 1)))
-    got = made.where(F.col("h") <= int(upto.max() if len(upto) else sizes["h"].min())).select("h", "y", "terms").toArrow().combine_chunks()
-    got = got.take(pc.sort_indices(got.append_column("n", pc.list_value_length(got.column("terms"))), [("h", "ascending"), ("n", "ascending")]))
+    last = F.struct(*[F.lit(int(sizes[c].iloc[-1])).cast(kind).alias(c) for c, kind in zip(order, ("long", "int", "long", "long"))])
+    got = made.where(F.struct(*order) <= last).select(*order, "y", "terms").toArrow().combine_chunks()
+    got = got.take(pc.sort_indices(got, [(c, "ascending") for c in order]))
     lists = got.column("terms").combine_chunks()
     at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
     y = got.column("y").to_numpy().astype(np.float64)

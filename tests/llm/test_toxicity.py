@@ -68,6 +68,20 @@ def test_rare_terms_of_large_samples_count(spark):
     assert toxicity.bucket("zorkus") in model.known
 
 
+def test_the_bounds_hold_where_one_id_stands_on_many_rows(spark, monkeypatch):
+    learnt = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.range(20_000).selectExpr(f"{learnt[0]}L AS doc_id", "concat('idiot all word', id, ' more', id % 7) AS text")
+    docs = docs.union(spark.createDataFrame([(i, f"hello word{i}") for i in learnt[1:]], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, int(i == learnt[0])) for i in learnt], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "learn", lambda flat, at, y, least: seen.append((len(y), len(flat), at[-1])) or toxicity.FM(0.0))
+    sorted_first = toxicity.train(docs, labels, most_rows=40, most_entries=5000)
+    toxicity.train(docs, labels, most_rows=100_000, most_entries=5000)
+    assert isinstance(sorted_first, toxicity.FM)
+    assert all(rows <= most and entries == end <= 5000 for (rows, entries, end), most in zip(seen, (40, 100_000) if len(seen) == 2 else (100_000,)))
+    assert seen
+
+
 def test_empty_labels_classes_and_bounds(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None), (None, ""), (3, "c " * 30000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
