@@ -6,8 +6,9 @@ for each tag that opens in it; the ratios are smoothed by a Gaussian over the
 neighbouring lines, inside and outside of marked articles apart, and parted by
 a threshold between two clusters.  Lines of
 elements that are never main text (menus, headers, footers, sidebars, forms,
-scripts, styles, and blocks whose class, id or role calls them an advert, a
-notice, comments, ...) are left out before.  A class or id does not count on a
+scripts, styles, and block elements of any kind, from a paragraph to a table
+cell, whose class, id or role calls them an advert, a notice, comments, ...) are
+left out before.  A class or id does not count on a
 block that holds over half of the page's text and of its lines, unless an
 article or main outside it holds a quarter as much.
 
@@ -17,7 +18,9 @@ What is kept are whole regions, never single lines by their own ratio.  A
 container is kept whole if a line of its own reaches the threshold; otherwise
 its own lines and, one by one, its parts: those that reach the threshold, those
 between them, and those of the same tag and class.  Lines and parts below the
-threshold that are mostly links stay only between content. 
+threshold that are mostly links stay only between content.  A part below the
+threshold right behind content stays if all its lines are sentences without
+links: the end of an article that goes on in a container of another class.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are joined in page order by an empty line.  Null and empty pages, and
@@ -47,7 +50,18 @@ from tarnlight.llm.common import slices
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that are followed on the stack; an unclosed one ends with what holds it.
-HOLDERS = frozenset("article aside body button dialog div fieldset figure footer form head header iframe main menu nav noscript object ol script search section select style svg table template textarea title ul".split())
+HOLDERS = (BLOCKS - {"hr", "html"}) | frozenset("button head iframe noscript object script select style svg template textarea title".split())
+#: A start of the first ends an open one of the second, unless one of the third is nearer: the elements whose end may be left out.
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+ENDS = (
+    {t: (("li",), ("ul", "ol", "menu", "dir")) for t in ("li",)}
+    | {t: (("dt", "dd"), ("dl",)) for t in ("dt", "dd")}
+    | {t: (("td", "th"), ("tr", "table")) for t in ("td", "th")}
+    | {t: (("tr",), ("table",)) for t in ("tr", "thead", "tbody", "tfoot")}
+    | {t: (_HEADINGS, ("div", "section", "article")) for t in _HEADINGS}
+)
+#: So many open elements are looked through for one that ends.
+REACH = 8
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("aside button dialog fieldset footer form head iframe menu nav noscript object script search select style svg template textarea title".split())
 MARKED = frozenset(("article", "main"))
@@ -64,6 +78,8 @@ NAMED = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 
+#: A line of several words that ends like a sentence and has no sign of rights or trade in it.
+_SENTENCE = re.compile(r"^(?!.*[©®™|·»])(?:\S+\s+){3,}\S*[.!?…][\"'”’)\]]*$", re.S)
 _COMMENT_END = re.compile("--!?>")
 
 
@@ -133,9 +149,22 @@ class _Lines(HTMLParser):
             self.tags = 0
         self.text, self.linked = [], 0
 
+    def end_before(self, tag: str) -> None:
+        """End what a start of ``tag`` ends."""
+        if self.stack and self.stack[-1].tag == "p" and tag in BLOCKS:
+            self.stack.pop()
+        closed, kept = ENDS.get(tag, ((), ()))
+        for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 1 - REACH), -1):
+            if not closed or self.stack[i].tag in kept:
+                break
+            if self.stack[i].tag in closed:
+                del self.stack[i:]
+                break
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS or tag in HOLDERS:
             self.flush()
+            self.end_before(tag)
         elif tag == "br":
             self.text.append(" ")
         self.tags += 1
@@ -238,13 +267,17 @@ def _region(lines: list[_Line], scores: list[float], kinds: list[tuple[str, str]
     def links(at: list[int]) -> bool:
         return 2 * sum(lines[i].linked for i in at) > sum(len(lines[i].text) for i in at)
 
+    def closes(at: list[int]) -> bool:
+        """Prose without links right behind content: how an article ends that goes on in a container of its own."""
+        return at[0] == last + 1 and not any(lines[i].linked for i in at) and all(_SENTENCE.search(lines[i].text) for i in at)
+
     kept: set[int] = set()
     for p, at in parts.items():
         if not p:
             kept.update(i for i in at if first <= i <= last or scores[i] >= cut or not links([i]))
         elif p in high:
             kept |= set(at) if 0 in high else _region(lines, scores, kinds, at, depth + 1, cut)
-        elif first < at[0] < last or ((0 in high or kinds[p] in alike) and not links(at)):
+        elif first < at[0] < last or ((0 in high or kinds[p] in alike) and not links(at)) or closes(at):
             kept.update(at)
     return kept
 

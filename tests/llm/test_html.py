@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -91,3 +92,31 @@ def test_articles_of_the_tables_with_and_without_marks(spark):
     bare = pages.withColumn("html", F.regexp_replace("html", r"<(/?)(article|main)\b", "<$1div"))
     with_marks, without = ({r.page_id: r.text for r in html.extract(p).collect()} for p in (pages, bare))
     assert with_marks == without and all(with_marks.values())
+
+
+def test_names_count_on_every_block_element_and_end_with_it():
+    keep = f"<p>{LONG}</p>"
+    bad = ("<p class='advert'>Buy.", "<blockquote class='comment'><p>I liked it.</p></blockquote>", "<details class='comments'><summary>Two</summary>A reader.</details>", "<h3 class='ad'>Buy</h3>", "<dl id='related'><dt>a<dd>b</dl>", "<p role='search'>Find</p>", "<ul><li class='promo'>Buy</ul>", "<pre hidden>x</pre>")
+    for hold in ("article", "div"):
+        for b in bad:
+            assert html.main_text(f"<{hold}>{keep}{b}{keep}<p>The end.</p></{hold}>") == f"{LONG}\n\n{LONG}\n\nThe end."
+    assert html.main_text(f"{keep}<ul><li>one<li class=ad>buy<li>three</ul><p>x<p class=advert>ad<p>y") == f"{LONG}\n\none\n\nthree\n\nx\n\ny"
+    assert html.main_text(f"{keep}<blockquote class=comment>a<blockquote>b</blockquote>c</blockquote><p>d") == f"{LONG}\n\nd"
+
+
+def test_an_article_in_two_containers_of_other_classes():
+    story = f"<div class='a'>{f'<p>{LONG} {LONG}</p>' * 3}<p>Some more.</p><p>And so on.</p><p>Well.</p></div>"
+    assert html.main_text(story + "<div class='b'><p>A short closing paragraph ends it.</p></div>").endswith("Well.\n\nA short closing paragraph ends it.")
+    for other in ("© 2024 by some company.", "<a href='/x'>More stories you may like here.</a>", "Tags"):
+        assert html.main_text(story + f"<div class='b'><p>{other}</p></div>").endswith("Well.")
+
+
+def test_pages_without_any_helpful_tag_or_class(spark):
+    """Everything but text blocks is a bare div: all of the article must stay, and little else."""
+    kept = right = wanted = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        bare = re.sub(r"<(/?)(?:article|main|header|footer|nav|aside|section|form|figure)\b([^>]*)>", r"<\1div\2>", r.html)
+        bare = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", bare)
+        want, got = (Counter(html.main_text(x).split()) for x in (r.html, bare))
+        kept, right, wanted = kept + sum(got.values()), right + sum((want & got).values()), wanted + sum(want.values())
+    assert right == wanted and right / kept > 0.94
