@@ -6,24 +6,30 @@ from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
 
-from tarnlight.operators import bm25, dense, metrics, overlap
+from tarnlight.operators import dense, metrics, overlap, postings
+from tarnlight.sources.scratch import new_path
 
 
 @runtime_checkable
 class Retriever(Protocol):
-    """``retrieve`` returns ``(query_id, doc_id, score)``, at most ``k`` results a query before pooling."""
+    """``retrieve`` returns ``(query_id, doc_id, score)``, at most ``k`` results a query before pooling.
+
+    A column ``rank``, if there is one, is the order of results; else equal scores go by ``doc_id``.
+    """
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame: ...
 
 
 class Okapi:
-    """BM25; the index is built once, when the retriever is."""
+    """BM25 over an inverted index: one that is opened, or one of a corpus, built once when the retriever is."""
 
-    def __init__(self, corpus: DataFrame):
-        self.index = bm25.Index(corpus)
+    def __init__(self, corpus: DataFrame | None = None, index: postings.Postings | None = None, path: str | None = None):
+        if index is None and corpus is None:
+            raise ValueError("a corpus or an index is needed")
+        self.index = index or postings.build(corpus, path or new_path(corpus.sparkSession, "postings"))
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
-        return self.index.top_k(queries, k).select("query_id", "doc_id", "score")
+        return self.index.top_k(queries, k).select("query_id", "rank", "doc_id", "score")
 
 
 class Keywords:
@@ -33,7 +39,7 @@ class Keywords:
         self.corpus = corpus
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
-        return overlap.top_k(self.corpus, queries, k).select("query_id", "doc_id", "score")
+        return overlap.top_k(self.corpus, queries, k).select("query_id", "rank", "doc_id", "score")
 
 
 class Dense:

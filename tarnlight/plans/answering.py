@@ -25,8 +25,9 @@ METRICS = ("answer_correctness", "context_precision", "faithfulness")
 
 
 def answer(corpus: DataFrame, queries: DataFrame, generator: Generator | None = None, k: int = PASSAGES, template: str = answers.PROMPT, retriever: Retriever | None = None) -> DataFrame:
-    """``(query_id, answer, retrieved_chunks)`` of every question."""
-    run = ranked((retriever or Okapi(corpus)).retrieve(queries, k))
+    """``(query_id, answer, retrieved_chunks)`` of every question; passages in the retriever's order."""
+    run = (retriever or Okapi(corpus)).retrieve(queries, k)
+    run = run if "rank" in run.columns else ranked(run)
     found = answers.context(run, corpus, k)
     written = (generator or Generator()).generate(answers.prompts(found, queries, template))
     return written.join(found, "query_id", "left").select("query_id", "answer", F.col("chunks").alias("retrieved_chunks"))

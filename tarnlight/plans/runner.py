@@ -78,8 +78,8 @@ def run(spark: SparkSession, settings: Settings, retrievers: dict[str, Retriever
 
 
 def first_results(data: Benchmark, k: int = 5) -> DataFrame:
-    """``(query_id, query, rank, doc_id, score, preview)``: what BM25 finds for the first query, to look at a collection."""
-    query = data.queries.orderBy("query_id").limit(1)
+    """``(query_id, query, rank, doc_id, score, preview)``: what BM25 finds for the first query of a collection, to look at it."""
+    query = (data.queries.orderBy("ord") if "ord" in data.queries.columns else data.queries).limit(1).select("query_id", "text")
     found = Okapi(data.corpus).index.top_k(query, k).join(data.corpus.select("doc_id", preview(F.col("text")).alias("preview")), "doc_id")
     return found.join(query.select("query_id", F.col("text").alias("query")), "query_id").select("query_id", "query", "rank", "doc_id", "score", "preview").orderBy("rank")
 

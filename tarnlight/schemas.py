@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 CORPUS = "doc_id string, text string, ord long"
-QUERIES = "query_id string, text string"
+QUERIES = "query_id string, text string"  # and their place in the collection, ``ord``, where they are read from one
 QRELS = "query_id string, doc_id string, relevance int"
 RUN = "query_id string, doc_id string, score double"
 CHUNK = "chunk_id string, doc_id string, chunk_no int, text string"

@@ -60,7 +60,7 @@ def collection(spark: SparkSession, folder: str, split: str = "test") -> Benchma
     judged = in_file_order(spark.read.csv(f"{folder}/qrels/{split}.tsv", sep="\t", header=True)).toDF("query_id", "doc_id", "relevance", "ord")
     judged = last(judged.withColumn("relevance", F.col("relevance").cast("int")), ["query_id", "doc_id"]).drop("ord")
     answers = lines("answers", "query_id", "answer").drop("ord") if exists(spark, f"{folder}/answers.jsonl") else None
-    return Benchmark(lines("corpus", "doc_id"), lines("queries", "query_id").drop("ord"), judged, answers)
+    return Benchmark(lines("corpus", "doc_id"), lines("queries", "query_id"), judged, answers)
 
 
 def results(spark: SparkSession, *paths: str) -> DataFrame | None:

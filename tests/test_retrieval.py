@@ -154,47 +154,76 @@ def test_generators(spark):
     assert write(None) == {"one two three", "I don't know."} and write(Decoding(max_new_tokens=2)) == {"one two", "I don't know."}
     own = Generator(lambda model, how: lambda texts: [f" {model} {how.temperature} " for _ in texts], "m", Decoding(temperature=0.5))
     assert {r.answer for r in own.generate(prompts).collect()} == {"m 0.5"}
-    for wrong in ({"max_new_tokens": 0}, {"temperature": -1.0}, {"top_p": 0.0}):
+    assert write(Decoding(stops=(" th", "two"))) == {"one", "I don't know."}
+    for wrong in ({"max_new_tokens": 0}, {"temperature": -1.0}, {"top_p": 0.0}, {"stops": ("",)}, {"batch": 0}):
         with pytest.raises(ValueError):
             Decoding(**wrong)
     with pytest.raises(ValueError):
         Generator("no such")
 
 
-def test_causal_models_sample_only_with_a_temperature_and_use_chat_templates(monkeypatch):
+def fake_transformers(monkeypatch, template: str | None, gpu: bool):
+    """A library whose model answers each prompt with its number of real tokens; every character is a token."""
     import sys
     import types
     from contextlib import nullcontext
 
-    calls = []
+    import numpy as np
 
-    class Ids(list):
-        shape = (1, 2)
+    calls = types.SimpleNamespace(batches=[], options=[], device=[], special=[])
+
+    class Padded(dict):
+        def to(self, device):
+            calls.device.append(device)
+            return self
 
     class Tokenizer:
-        chat_template = "t"
+        chat_template, pad_token, eos_token, pad_token_id = template, None, "</s>", 0
+
+        def apply_chat_template(self, asked, tokenize, add_generation_prompt):
+            return template.format(asked[0]["content"])
 
-        def apply_chat_template(self, asked, **options):
-            calls.append(asked[0]["content"])
-            return Ids([[1, 2]])
+        def __call__(self, texts, return_tensors, padding, add_special_tokens):
+            calls.batches.append(texts)
+            calls.special.append(add_special_tokens)
+            width = max(map(len, texts))
+            mask = np.array([[0] * (width - len(t)) + [1] * len(t) for t in texts])
+            return Padded(input_ids=mask * 5, attention_mask=mask)
 
-        def decode(self, ids, skip_special_tokens):
-            return f" {ids} "
+        def batch_decode(self, ids, skip_special_tokens):
+            return [f" saw {int(row[0])}; and more" for row in ids]
 
     class Net:
+        def to(self, device):
+            calls.device.append(device)
+            return self
+
         def eval(self):
-            pass
+            return self
 
-        def generate(self, **options):
-            calls.append({k: v for k, v in options.items() if k != "input_ids"})
-            return [[1, 2, 7, 8]]
+        def generate(self, input_ids, attention_mask, **options):
+            calls.options.append(options)
+            return np.concatenate([input_ids, attention_mask.sum(axis=1)[:, None]], axis=1)
 
-    auto = lambda thing: types.SimpleNamespace(from_pretrained=lambda model: thing)
-    monkeypatch.setitem(sys.modules, "torch", types.SimpleNamespace(no_grad=nullcontext))
+    auto = lambda thing: types.SimpleNamespace(from_pretrained=lambda model, **options: thing)
+    monkeypatch.setitem(sys.modules, "torch", types.SimpleNamespace(inference_mode=nullcontext, cuda=types.SimpleNamespace(is_available=lambda: gpu)))
     monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(AutoTokenizer=auto(Tokenizer()), AutoModelForCausalLM=auto(Net())))
-    assert causal("m", Decoding())(["p"]) == [" [7, 8] "] and calls == ["p", {"max_new_tokens": 256, "do_sample": False}]
-    causal("m", Decoding(5, 0.7, 0.9))(["p"])
-    assert calls[-1] == {"max_new_tokens": 5, "do_sample": True, "temperature": 0.7, "top_p": 0.9}
+    return calls
+
+
+def test_causal_models_work_in_batches_padded_in_front(monkeypatch):
+    calls = fake_transformers(monkeypatch, None, gpu=True)
+    prompts = ["aaaaaaa", "b", "cccc", "dd", "eeeee"]
+    assert causal("m", Decoding(batch=2))(prompts) == [f" saw {len(p)}; and more" for p in prompts]
+    assert calls.batches == [["b", "dd"], ["cccc", "eeeee"], ["aaaaaaa"]] and set(calls.device) == {"cuda"} and all(calls.special)
+    assert calls.options[0] == {"max_new_tokens": 256, "do_sample": False, "pad_token_id": 0}
+
+
+def test_causal_models_sample_with_a_temperature_use_chat_templates_and_stop(monkeypatch):
+    calls = fake_transformers(monkeypatch, "<u>{}</u>", gpu=False)
+    assert causal("m", Decoding(5, 0.7, 0.9, (";", "more")))(["p"]) == [" saw 8"] and causal("m", Decoding())([]) == []
+    assert calls.batches == [["<u>p</u>"]] and not any(calls.special) and set(calls.device) == {"cpu"}
+    assert calls.options == [{"max_new_tokens": 5, "do_sample": True, "temperature": 0.7, "top_p": 0.9, "pad_token_id": 0}]
     with pytest.raises(ValueError):
         causal(None, Decoding())
 
@@ -245,6 +274,20 @@ def test_answers(spark):
     assert [r.doc_id for r in overlap.top_k(c, q, 4).collect()] == ["d0"]
 
 
+def test_passages_of_equal_score_come_in_corpus_order(spark):
+    corpus = readers.in_memory(spark, {d: "nothing here" if d != "z" else "a brass key" for d in ("z", "y", "a", "b")})
+    got = answering.answer(corpus, asked(spark, "brass")).first()
+    assert [c.doc_id for c in got.retrieved_chunks] == ["z", "y", "a", "b"]
+
+
+def test_the_first_query_is_the_first_of_the_collection(spark, tmp_path):
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "corpus.jsonl").write_text('{"_id":"1","text":"red"}\n')
+    (tmp_path / "queries.jsonl").write_text('{"_id":"z","text":"red"}\n{"_id":"10","text":"x"}\n{"_id":"9","text":"y"}\n')
+    (tmp_path / "qrels" / "test.tsv").write_text("query-id\tcorpus-id\tscore\nz\t1\t1\n")
+    assert {r.query_id for r in runner.first_results(readers.collection(spark, str(tmp_path))).collect()} == {"z"}
+
+
 def test_in_memory_corpus_and_report(spark):
     corpus = readers.in_memory(spark, {"b": "two words", "a": "one"})
     assert [(r.doc_id, r.ord) for r in corpus.orderBy("ord").collect()] == [("b", 0), ("a", 1)]
