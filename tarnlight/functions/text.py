@@ -1,4 +1,4 @@
-"""Text functions as Column expressions; nothing here leaves the JVM."""
+"""Text functions as Column expressions; nothing here leaves the JVM, but for ``answer_found`` with errors allowed."""
 
 from __future__ import annotations
 
@@ -55,8 +55,15 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.trim(s) != "")
 
 
-def answer_found(prediction: Column, truth: Column, fuzzy: bool = True) -> Column:
-    """1.0 if the prediction has the truth in it (fuzzy) or equals it; 0.0 otherwise and for an empty truth."""
+def answer_found(prediction: Column, truth: Column, fuzzy: bool = True, error_rate: float = 0.0) -> Column:
+    """1.0 if the prediction has the truth in it (fuzzy) or equals it; 0.0 otherwise and for an empty truth.
+
+    With an ``error_rate`` a fuzzy match may be off by so many edits for each character of the truth.
+    """
+    if fuzzy and error_rate:
+        from tarnlight.functions.fuzzy import found
+
+        return found(prediction, truth, error_rate)
     p, t = F.lower(F.trim(prediction)), F.lower(F.trim(truth))
     hit = F.contains(p, t) if fuzzy else prediction == truth
     return F.when(F.coalesce(hit & (t != ""), F.lit(False)), 1.0).otherwise(0.0)

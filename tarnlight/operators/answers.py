@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlight.functions.fuzzy import share_found
 from tarnlight.functions.text import answer_found, containment, sentences
 
 #: The default prompt.
@@ -56,11 +57,15 @@ def context_precision(chunks: Column, truth: Column) -> Column:
     return F.coalesce(F.try_divide(hits, F.size(chunks)), F.lit(0.0))
 
 
-def evaluate(rows: DataFrame) -> DataFrame:
-    """Means over ``(question_id, prediction, reference, contexts)``: correctness, context precision, faithfulness."""
+def evaluate(rows: DataFrame, error_rate: float = 0.0) -> DataFrame:
+    """Means over ``(question_id, prediction, reference, contexts)``: correctness, context precision, faithfulness.
+
+    With an ``error_rate`` the first two let a reference be off by so many edits for each of its characters.
+    """
+    shares = share_found(F.col("contexts"), F.col("reference"), error_rate) if error_rate else context_precision(F.col("contexts"), F.col("reference"))
     each = rows.select(
-        answer_found(F.col("prediction"), F.col("reference")).alias("answer_correctness"),
-        context_precision(F.col("contexts"), F.col("reference")).alias("context_precision"),
+        answer_found(F.col("prediction"), F.col("reference"), error_rate=error_rate).alias("answer_correctness"),
+        shares.alias("context_precision"),
         containment(F.col("prediction"), F.array_join("contexts", " ")).alias("faithfulness"),
     )
     return each.agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in each.columns])

@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tarnlight.functions.text import answer_found
 from tarnlight.operators import answers, needles
 from tarnlight.operators.generation import Decoding, Generator
+from tarnlight.operators.lengths import contexts as token_contexts
 from tarnlight.operators.metrics import ranked
 from tarnlight.operators.retrievers import Okapi, Retriever
 from tarnlight.plans import runner
@@ -33,34 +35,40 @@ def answer(corpus: DataFrame, queries: DataFrame, generator: Generator | None =
     return written.join(found, "query_id", "left").select("query_id", "answer", F.col("chunks").alias("retrieved_chunks"))
 
 
-def evaluate(data: Benchmark, generator: Generator | None = None, k: int = PASSAGES, retriever: Retriever | None = None) -> DataFrame:
-    """Means of the answer metrics; the collection must have answers."""
+def evaluate(data: Benchmark, generator: Generator | None = None, k: int = PASSAGES, retriever: Retriever | None = None, error_rate: float = 0.0) -> DataFrame:
+    """Means of the answer metrics; the collection must have answers, which may be off by ``error_rate`` edits a character."""
     if data.answers is None:
         raise ValueError("the collection has no answers")
     got = answer(data.corpus, data.queries, generator, k, retriever=retriever).join(data.answers.withColumnRenamed("answer", "reference"), "query_id")
     rows = got.select(F.col("query_id").alias("question_id"), F.col("answer").alias("prediction"), "reference", F.transform("retrieved_chunks", lambda c: c["text"]).alias("contexts"))
-    return answers.evaluate(rows).select(*METRICS)
+    return answers.evaluate(rows, error_rate).select(*METRICS)
 
 
-def contexts(haystack: DataFrame, needle: DataFrame, lengths: tuple[int, ...] = LENGTHS, depths: tuple[float, ...] = DEPTHS) -> DataFrame:
+def contexts(haystack: DataFrame, needle: DataFrame, lengths: tuple[int, ...] = LENGTHS, depths: tuple[float, ...] = DEPTHS, tokenizer: str | Callable | None = None, model: str | None = None) -> DataFrame:
     """``(context_length, depth_percent, question, answer, needle, context)``: a context for every cell, haystack and needle.
 
+    Lengths are in words between white space, or in the tokens of a tokenizer of
+    ``lengths.TOKENIZERS`` (then with ``n_tokens``, the length that was reached).
+
     The grid is a list of literals, exploded in place; needles meet haystacks in
     an all-pairs join by definition, in which no side is broadcast by force.
     """
     cells = F.explode(F.array(*[F.struct(F.lit(int(x)).alias("context_length"), F.lit(float(d)).alias("depth_percent")) for x in lengths for d in depths])).alias("cell")
     pairs = needle.withColumnRenamed("text", "needle").crossJoin(haystack.select(F.col("text").alias("haystack")))
     each = pairs.select("*", cells).select("needle", "question", "answer", "haystack", "cell.*")
+    if tokenizer is not None:
+        made = token_contexts(each, tokenizer, model)
+        return made.select("context_length", "depth_percent", "question", "answer", "needle", "context", "n_tokens")
     return each.select("context_length", "depth_percent", "question", "answer", "needle", needles.sample(F.col("haystack"), F.col("needle"), F.col("context_length"), F.col("depth_percent")).alias("context"))
 
 
-def sweep(haystack: DataFrame, needle: DataFrame, generator: Generator | None = None, lengths: tuple[int, ...] = LENGTHS, depths: tuple[float, ...] = DEPTHS) -> DataFrame:
+def sweep(haystack: DataFrame, needle: DataFrame, generator: Generator | None = None, lengths: tuple[int, ...] = LENGTHS, depths: tuple[float, ...] = DEPTHS, tokenizer: str | Callable | None = None, model: str | None = None, error_rate: float = 0.0) -> DataFrame:
     """``(context_length, depth_percent, answer, score)`` of every cell and needle."""
     prompt = F.concat(F.lit("Context:\n[1] "), "context", F.lit("\n\nQuestion: "), "question", F.lit("\nAnswer:"))
     # Contexts are made before the shuffle that spreads the cells, not inside the generator's input.
-    made = contexts(haystack, needle, lengths, depths).select("context_length", "depth_percent", "answer", prompt.alias("prompt")).repartition("context_length", "depth_percent", "answer")
+    made = contexts(haystack, needle, lengths, depths, tokenizer, model).select("context_length", "depth_percent", "answer", prompt.alias("prompt")).repartition("context_length", "depth_percent", "answer")
     written = (generator or Generator()).generate(made, out_col="given")
-    return written.select("context_length", "depth_percent", F.col("given").alias("answer"), answer_found(F.col("given"), F.col("answer")).alias("score"))
+    return written.select("context_length", "depth_percent", F.col("given").alias("answer"), answer_found(F.col("given"), F.col("answer"), error_rate=error_rate).alias("score"))
 
 
 def run(spark: SparkSession, task: str, settings: Settings) -> DataFrame:
