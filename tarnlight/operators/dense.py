@@ -8,36 +8,76 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tarnlight.functions.vector import inner
 from tarnlight.operators.chunking import chunks as make_chunks
 
 Encode = Callable[[list[str]], np.ndarray]
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", most_broadcast: int = 20_000) -> DataFrame:
+def vectors(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a column of lists that hold ``size`` finite numbers, and their matrix."""
+    column = column.cast(pa.list_(pa.float64()))
+    many = pc.list_value_length(column).fill_null(0).to_numpy()
+    entry = pc.fill_null(column.flatten(), float("nan")).to_numpy()
+    good = many == size
+    good[np.repeat(np.arange(len(many)), many)[~np.isfinite(entry)]] = False
+    return np.flatnonzero(good), entry[np.repeat(good, many)].reshape(-1, size)
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` best of each column, and of what may tie with them when rounded to six places."""
+    if len(scores) <= k:
+        return np.nonzero(np.ones(scores.shape, bool))
+    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    return np.nonzero(scores >= least - 2e-6)
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", most_queries: int = 20_000) -> DataFrame:
     """``(query_id, rank, <id_col>, score)`` by descending inner product, then id.
 
-    Queries are broadcast up to ``most_broadcast`` rows, whose size that proves;
-    more are worked through in blocks of that size.  Each task keeps its own
-    best ``k`` before the shuffle.
+    Queries are a matrix, sent to every task once for each block of at most
+    ``most_queries`` of them; a batch of the index is another, and their product
+    in double precision has all scores of the batch.  A batch passes on its best
+    ``k`` for each query and what ties with them, and one merge ranks those.
+    Vectors that are null, hold null or non-finite entries, or have another
+    length than a query, do not meet it.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    n = q.count()
-    blocks = -(-n // most_broadcast) or 1
-    out = None
-    for i in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        met = index.select(id_col, "embedding").crossJoin(F.broadcast(part))
-        scored = met.select("query_id", id_col, F.round(inner(F.col("q"), F.col("embedding")), 6).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
-        best = scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
-        out = best if out is None else out.unionByName(best)
-    return out
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"))
+    sized = q.groupBy(F.size("q").alias("size")).count().where("size > 0").collect()  # a row for each length
+    spark, kind = index.sparkSession, queries.schema["query_id"].dataType
+    schema = StructType([StructField("query_id", kind), index.select(id_col).schema[0], StructField("raw", DoubleType())])
+    found = None
+    for size, blocks, i in [(r["size"], -(-r["count"] // most_queries), i) for r in sized for i in range(-(-r["count"] // most_queries))]:
+        part = q.where((F.size("q") == size) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).toArrow().combine_chunks()
+        rows, matrix = vectors(part.column("q").combine_chunks(), size)
+        ids = part.column("query_id").combine_chunks().take(pa.array(rows))
+        shared = spark.sparkContext.broadcast((ids, np.ascontiguousarray(matrix.T)))
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            step = max(1, 8_000_000 // max(1, matrix.shape[1]))  # scores held at a time
+            for b in batches:
+                for at in range(0, b.num_rows, step):
+                    s = b.slice(at, step)
+                    own, x = vectors(s.column(1), size)
+                    scores = x @ matrix
+                    row, column = _best(scores, k)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(column)), s.column(0).take(pa.array(own[row])), pa.array(scores[row, column])], names=schema.names)
+
+        one = index.select(id_col, "embedding").mapInArrow(work, schema)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    scored = found.select("query_id", id_col, F.round("raw", 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
 
 
 def _counted(texts: list[str], parts: Callable[[str], Iterable[str]], size: int) -> np.ndarray:
