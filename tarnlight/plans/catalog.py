@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions import text as T
 from tarnlight.functions import vector as V
-from tarnlight.operators import answers, bm25, chunking, dense, metrics, needles, overlap, reshape, stats
+from tarnlight.functions import fuzzy
+from tarnlight.operators import answers, bm25, chunking, dense, metrics, needles, overlap, postings, reshape, stats
 from tarnlight.operators.generation import Generator
 from tarnlight.operators.retrievers import Keywords, Okapi
 from tarnlight.plans import answering, runner
@@ -138,8 +139,21 @@ chunks AS (SELECT doc_id, i AS chunk_no, doc_id || '::' || i AS chunk_id, array_
 """
 
 
+_OPENED: dict[tuple, postings.Postings] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    """The inverted index of ``documents``, built by the first query of an application that asks it; other files make another one."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, sf_dir, fs.getContentSummary(files).getLength(), fs.getFileStatus(files).getModificationTime())
+    if key not in _OPENED:
+        _OPENED[key] = postings.build(corpus(spark, sf_dir), new_path(spark, "postings"))
+    return _OPENED[key]
+
+
 def bm25_run(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return bm25.top_k(corpus(spark, sf_dir), asked(spark, sf_dir), k)
+    return index_of(spark, sf_dir).top_k(asked(spark, sf_dir), k)
 
 
 @query("SELECT doc_id, lang, source, length(text) AS n_chars FROM documents")
@@ -169,9 +183,13 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunks(table(spark, sf_dir, "documents")).select("chunk_id", "doc_id", "chunk_no", F.md5("text").alias("text_md5"))
 
 
-@query(f"WITH {_bm25()} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(f"""WITH w AS (SELECT list_distinct(regexp_extract_all(lower(text), {_WORD})) AS w FROM documents),
+terms AS (SELECT term, count(*) AS df FROM (SELECT unnest(w) AS term FROM w) GROUP BY term),
+raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM terms),
+mean AS (SELECT 0.25 * avg(raw) AS low FROM raw)
+SELECT term, df, round(CASE WHEN raw < 0 THEN low ELSE raw END, 6) AS idf FROM raw, mean""")
 def bm25_term_stats(spark, sf_dir):
-    return bm25.Index(corpus(spark, sf_dir)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return index_of(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_bm25()} SELECT query_id, rank::INT AS rank, doc_id, score FROM bm25")
@@ -234,7 +252,7 @@ def evaluate_run(spark, sf_dir):
 def _compared(spark, sf_dir) -> DataFrame:
     docs = corpus(spark, sf_dir)
     data = Benchmark(docs, asked(spark, sf_dir), judged(spark, sf_dir))
-    return runner.compare({"bm25": Okapi(docs), "overlap": Keywords(docs)}, data)
+    return runner.compare({"bm25": Okapi(index=index_of(spark, sf_dir)), "overlap": Keywords(docs)}, data)
 
 
 @query(f"{_WIDE} SELECT * FROM wide")
@@ -281,7 +299,7 @@ def _prompts(spark, sf_dir) -> DataFrame:
     return answers.prompts(found, asked(spark, sf_dir))
 
 
-_CONTEXT = f"""WITH {_bm25(k=4)}, ctx AS (SELECT query_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context, list(text ORDER BY rank) AS texts, arg_min(bm25.doc_id, rank) AS first_doc
+_CONTEXT = f"""WITH {_bm25(k=4)}, ctx AS (SELECT query_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context, list(text ORDER BY rank) AS texts, string_agg(bm25.doc_id::VARCHAR, ',' ORDER BY rank) AS passages, arg_min(bm25.doc_id, rank) AS first_doc
 FROM bm25 JOIN documents USING (doc_id) GROUP BY query_id)"""
 
 
@@ -291,10 +309,13 @@ def rag_prompt(spark, sf_dir):
     return _prompts(spark, sf_dir).select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
-_RULES = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{a}'" for a, ws in answers.RULES)
-
-
-@query(f"SELECT conv_id, turn, CASE WHEN conv_id IS NULL THEN 'not found' {_RULES} ELSE 'see ' || conv_id END AS answer FROM conversations")
+@query("""SELECT conv_id, turn, CASE WHEN conv_id IS NULL THEN 'not found'
+WHEN contains(t, 'secret') OR contains(t, 'code') OR contains(t, 'launch') OR contains(t, 'nightingale') THEN 'launch'
+WHEN contains(t, 'revenue') OR contains(t, 'financial') OR contains(t, 'q4') OR contains(t, 'margin') OR contains(t, 'profit') THEN 'finance'
+WHEN contains(t, 'security') OR contains(t, 'audit') OR contains(t, 'vulnerability') THEN 'security'
+WHEN contains(t, 'ml') OR contains(t, 'machine learning') OR contains(t, 'accuracy') OR contains(t, 'embedding') OR contains(t, 'model') THEN 'model'
+WHEN contains(t, 'satisfaction') OR contains(t, 'employee') OR contains(t, 'survey') OR contains(t, 'hr') THEN 'people'
+ELSE 'see ' || conv_id END AS answer FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations)""")
 def mock_answer_rules(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.rule_answer(F.col("text"), F.col("conv_id")).alias("answer"))
 
@@ -312,9 +333,15 @@ def label_truncate(spark, sf_dir):
 _GRID = f"grid AS (SELECT l::INT AS context_length, d::DOUBLE AS depth_percent FROM (SELECT unnest({[*LENGTHS]}) AS l), (SELECT unnest({[*DEPTHS]}) AS d))"
 
 
-@query(f"WITH {_GRID} SELECT * FROM grid")
+@query(f"""WITH {_GRID}, w AS (SELECT len({_tokens('text')}) AS n FROM documents)
+SELECT context_length, depth_percent, (SELECT count(*) FROM w WHERE n >= context_length) AS n_long_enough, (SELECT count(*) FROM w WHERE n > 0 AND n < context_length) AS n_repeated FROM grid""")
 def niah_grid(spark, sf_dir):
-    return needles.grid(spark, list(LENGTHS), list(DEPTHS))
+    """The cells of the stress test, with how many documents fill a context as they are and how many must be repeated."""
+    n = table(spark, sf_dir, "documents").select(F.size(T.tokens(F.col("text"))).alias("n"))
+    of = lambda test, name: [F.count(F.when(test(x), 1)).alias(f"{name}{x}") for x in LENGTHS]
+    counts = n.agg(*of(lambda x: F.col("n") >= x, "long"), *of(lambda x: (F.col("n") > 0) & (F.col("n") < x), "short"))
+    by_length = counts.select(F.explode(F.array(*[F.struct(F.lit(x).alias("context_length"), F.col(f"long{x}").alias("n_long_enough"), F.col(f"short{x}").alias("n_repeated")) for x in LENGTHS])).alias("c")).select("c.*")
+    return needles.grid(spark, list(LENGTHS), list(DEPTHS)).join(by_length, "context_length").select("context_length", "depth_percent", "n_long_enough", "n_repeated")
 
 
 _MARKED = r"string_split(regexp_replace(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1), 'g'), chr(1))"
@@ -348,20 +375,42 @@ def needle_injection(spark, sf_dir):
     return d.select("doc_id", needles.inject(F.col("text"), F.lit(_HIDDEN), F.lit(50.0)).alias("context")).select("doc_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"))
 
 
-@query(f"""WITH {_GRID}, hay AS (SELECT {_tokens('text')} AS w FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)),
+_MADE = f"""WITH {_GRID}, hay AS (SELECT {_tokens('text')} AS w FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)),
 cells AS (SELECT context_length, depth_percent, depth_percent / 100 AS share, item_id, text AS needle, greatest(context_length - len({_tokens('text')}), 0) AS room FROM grid, benchmark),
 goals AS (SELECT DISTINCT room, share FROM cells),
 body AS (SELECT room, array_to_string(flatten(list_transform(range(ceil(room / len(w))::BIGINT), lambda x: w))[1:room], ' ') AS text FROM (SELECT DISTINCT room FROM goals), hay),
 {_placed('body', 'room', 'goals', 'chr(2)')},
-made AS (SELECT context_length, depth_percent, item_id, needle, replace(context, chr(2), needle) AS context FROM cells JOIN placed USING (room, share))
+made AS (SELECT context_length, depth_percent, item_id, needle, replace(context, chr(2), needle) AS context FROM cells JOIN placed USING (room, share))"""
+
+
+@query(f"""{_MADE}
 SELECT context_length, depth_percent, item_id, md5(context) AS context_md5, CASE WHEN contains(lower(trim(context)), lower(trim(needle))) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM made""")
 def niah_scores(spark, sf_dir):
     """Every cell of the grid with every passage as the fact hidden in the first document, and whether it is found again."""
+    made = answering.contexts(*_haystack(spark, sf_dir))
+    return made.select("context_length", "depth_percent", F.col("question").cast("long").alias("item_id"), F.md5("context").alias("context_md5"), T.answer_found(F.col("context"), F.col("answer")).alias("score"))
+
+
+def _haystack(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The first document, and the passages as needles that ask for themselves."""
     d = table(spark, sf_dir, "documents")
     hay = d.join(d.agg(F.min("doc_id").alias("doc_id")), "doc_id").select("text")
-    needle = table(spark, sf_dir, "benchmark").select("text", F.col("item_id").cast("string").alias("question"), F.col("text").alias("answer"))
-    made = answering.contexts(hay, needle)
-    return made.select("context_length", "depth_percent", F.col("question").cast("long").alias("item_id"), F.md5("context").alias("context_md5"), T.answer_found(F.col("context"), F.col("answer")).alias("score"))
+    return hay, table(spark, sf_dir, "benchmark").select("text", F.col("item_id").cast("string").alias("question"), F.col("text").alias("answer"))
+
+
+@query(f"""{_MADE} SELECT context_length, depth_percent, item_id, md5(context) AS context_md5, greatest(context_length, len({_tokens('needle')}))::INT AS n_tokens FROM made""")
+def niah_token_lengths(spark, sf_dir):
+    """The same contexts from a tokenizer that is plugged in, here that of words, and their lengths in its tokens."""
+    hay, needle = _haystack(spark, sf_dir)
+    made = answering.contexts(hay.select(F.array_join(T.tokens(F.col("text")), " ").alias("text")), needle, tokenizer="space")
+    return made.select("context_length", "depth_percent", F.col("question").cast("long").alias("item_id"), F.md5("context").alias("context_md5"), "n_tokens")
+
+
+@query(rf"""{_MADE}, told AS (SELECT context_length, depth_percent, needle, regexp_replace(array_to_string(string_split(split_part(context, chr(10), 1), ' ')[1:256], ' '), '^\s+|\s+$', '', 'g') AS answer FROM made)
+SELECT context_length, depth_percent, md5(answer) AS answer_md5, CASE WHEN contains(lower(trim(answer)), lower(trim(needle))) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM told""")
+def niah_sweep(spark, sf_dir):
+    """The stress test with a generator that repeats the beginning of its context."""
+    return answering.sweep(*_haystack(spark, sf_dir)).select("context_length", "depth_percent", F.md5("answer").alias("answer_md5"), "score")
 
 
 @query(f"{_CONTEXT} SELECT query_id, round(coalesce(len(list_filter(texts[2:], lambda t: contains(lower(trim(t)), lower(trim(b.text))))) / nullif(len(texts[2:]), 0), 0), 6) AS context_precision FROM ctx JOIN benchmark b ON b.item_id = query_id")
@@ -433,12 +482,62 @@ def embed_udf(spark, sf_dir):
     return e.select("doc_id", F.size("embedding").alias("size"), F.size(F.filter("embedding", lambda x: x != 0)).alias("n_used"), top.alias("top_dimension"), F.round(V.norm(F.col("embedding")), 3).alias("norm"))
 
 
-@query(rf"""{_CONTEXT} SELECT item_id AS query_id, md5(CASE WHEN texts IS NULL THEN 'I don''t know.' ELSE regexp_replace(array_to_string(string_split(split_part(texts[1], chr(10), 1), ' ')[1:256], ' '), '^\s+|\s+$', '', 'g') END) AS answer_md5
+_ECHO = r"CASE WHEN texts IS NULL THEN 'I don''t know.' ELSE regexp_replace(array_to_string(string_split(split_part(texts[1], chr(10), 1), ' ')[1:256], ' '), '^\s+|\s+$', '', 'g') END"
+
+
+@query(rf"""{_CONTEXT} SELECT item_id AS query_id, md5({_ECHO}) AS answer_md5
 FROM benchmark LEFT JOIN ctx ON ctx.query_id = item_id""")
 def generate_udf(spark, sf_dir):
     return Generator("echo").generate(_prompts(spark, sf_dir)).select("query_id", F.md5("answer").alias("answer_md5"))
 
 
+@query(rf"""{_CONTEXT} SELECT item_id AS query_id, md5({_ECHO}) AS answer_md5, passages FROM benchmark LEFT JOIN ctx ON ctx.query_id = item_id""")
+def rag_answers(spark, sf_dir):
+    """Retrieve, prompt and generate for every passage: the answer, and the documents it was given in their order."""
+    got = answering.answer(corpus(spark, sf_dir), asked(spark, sf_dir), retriever=Okapi(index=index_of(spark, sf_dir)))
+    passages = F.array_join(F.transform("retrieved_chunks", lambda c: c["doc_id"].cast("string")), ",")
+    return got.select("query_id", F.md5("answer").alias("answer_md5"), passages.alias("passages"))
+
+
+_HELD = "contains(lower(trim({})), lower(trim(b.text)))"
+
+
+@query(rf"""{_CONTEXT}, told AS (SELECT b.text, coalesce(texts, []) AS texts, {_ECHO} AS a FROM benchmark b LEFT JOIN ctx ON ctx.query_id = item_id)
+SELECT round(avg(CASE WHEN {_HELD.format('a')} THEN 1.0 ELSE 0.0 END), 6) AS answer_correctness,
+round(avg(coalesce(len(list_filter(texts, lambda t: {_HELD.format('t')})) / nullif(len(texts), 0), 0)), 6) AS context_precision,
+round(avg({_share('a', "array_to_string(texts, ' ')")}), 6) AS faithfulness FROM told b""")
+def rag_evaluation(spark, sf_dir):
+    """Answers to every passage, scored against the passage itself."""
+    truth = asked(spark, sf_dir).withColumnRenamed("text", "answer")
+    data = Benchmark(corpus(spark, sf_dir), asked(spark, sf_dir), judged(spark, sf_dir), truth)
+    return answering.evaluate(data, retriever=Okapi(index=index_of(spark, sf_dir)))
+
+
+@query(f"""WITH {_bm25(k=5)} SELECT query_id, b.text AS query, rank::INT AS rank, doc_id, score, substr(translate(d.text, chr(10), ' '), 1, 160) AS preview
+FROM bm25 JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id WHERE query_id = (SELECT min(item_id) FROM benchmark)""")
+def first_query_results(spark, sf_dir):
+    """What BM25 finds for the first passage."""
+    data = Benchmark(corpus(spark, sf_dir), asked(spark, sf_dir).withColumn("ord", F.col("query_id")), judged(spark, sf_dir))
+    return runner.first_results(data, index=index_of(spark, sf_dir))
+
+
+_CUT_LETTERS = "regexp_replace(substr(text, 6, 24), '[eo]', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, lower(trim(text)) AS p, lower(trim({_CUT_LETTERS})) AS q, {_CUT_LETTERS} AS truth FROM conversations),
+ends AS (SELECT *, floor(length(trim(truth)) * 0.25 + 1e-9)::INT AS most FROM t WHERE q <> ''),
+parts AS (SELECT DISTINCT p, q, most, p[i:i + n - 1] AS part FROM (SELECT p, q, most, i, unnest(range(greatest(length(q) - most, 0), length(q) + most + 1)) AS n FROM (SELECT p, q, most, unnest(range(1, length(p) + 2)) AS i FROM ends))),
+best AS (SELECT p, q, min(levenshtein(part, q)) AS errors FROM parts GROUP BY p, q)
+SELECT conv_id, turn, CASE WHEN errors <= most THEN errors END::INT AS errors, CASE WHEN errors <= most THEN 1.0 ELSE 0.0 END::DOUBLE AS score
+FROM t LEFT JOIN best USING (p, q) LEFT JOIN (SELECT DISTINCT p, q, most FROM ends) USING (p, q)""")
+def fuzzy_answers(spark, sf_dir):
+    """Turns against 24 of their own characters without e and o: the fewest edits, if they are within a rate of 0.25, and whether that is an answer."""
+    truth = F.regexp_replace(F.substring("text", 6, 24), "[eo]", "")
+    errors = fuzzy.errors(F.col("text"), truth)
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", truth.alias("truth"), errors.alias("e"))
+    return c.select("conv_id", "turn", F.when(F.col("e") <= fuzzy.allowed(F.col("truth"), 0.25), F.col("e")).alias("errors"), T.answer_found(F.col("text"), F.col("truth"), error_rate=0.25).alias("score"))
+
+
 @query(f"WITH {_CHUNKS} SELECT chunk_id, doc_id, md5(text) AS text_md5 FROM chunks")
 def index_roundtrip(spark, sf_dir):
     path = new_path(spark, "catalog")

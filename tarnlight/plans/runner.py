@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions.text import preview
 from tarnlight.operators import dense, metrics
+from tarnlight.operators.postings import Postings
 from tarnlight.operators.retrievers import Dense, Keywords, Okapi, Retriever
 from tarnlight.plans.settings import Settings, parse
 from tarnlight.schemas import CUTOFFS, Benchmark
@@ -77,10 +78,10 @@ def run(spark: SparkSession, settings: Settings, retrievers: dict[str, Retriever
     return table
 
 
-def first_results(data: Benchmark, k: int = 5) -> DataFrame:
+def first_results(data: Benchmark, k: int = 5, index: Postings | None = None) -> DataFrame:
     """``(query_id, query, rank, doc_id, score, preview)``: what BM25 finds for the first query of a collection, to look at it."""
     query = (data.queries.orderBy("ord") if "ord" in data.queries.columns else data.queries).limit(1).select("query_id", "text")
-    found = Okapi(data.corpus).index.top_k(query, k).join(data.corpus.select("doc_id", preview(F.col("text")).alias("preview")), "doc_id")
+    found = Okapi(data.corpus, index).index.top_k(query, k).join(data.corpus.select("doc_id", preview(F.col("text")).alias("preview")), "doc_id")
     return found.join(query.select("query_id", F.col("text").alias("query")), "query_id").select("query_id", "query", "rank", "doc_id", "score", "preview").orderBy("rank")
 
 
