@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions.fuzzy import share_found
 from tarnlight.functions.text import answer_found, containment, sentences
+from tarnlight.functions.vector import inner
+from tarnlight.operators.dense import Embedder
 
 #: The default prompt.
 PROMPT = "Answer the question using only the context below. If the answer is not contained in the context, say you don't know.\n\nContext:\n{context}\n\nQuestion: {question}\nAnswer:"
@@ -80,3 +82,30 @@ def citations(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     met = spans.join(chunks, "query_id").withColumn("score", F.round(containment(F.col("answer_span"), F.col("text")), 6)).where("score > 0")
     best = F.row_number().over(Window.partitionBy("query_id", "span_no").orderBy(F.desc("score"), "chunk_id"))
     return met.withColumn("nth", best).where("nth = 1").select("query_id", "span_no", "answer_span", F.col("chunk_id").alias("source_chunk_id"), "score")
+
+
+def spans(answer: Column) -> Column:
+    """Sentences of an answer with the places of their first character and behind their last one, from 0."""
+    parts = F.split(F.regexp_replace(answer, r"([.!?])(\s+)", "$1\u0001$2\u0001"), "\u0001")
+
+    def placed(p: Column, i: Column) -> Column:
+        start = F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x))
+        return F.struct(start.alias("start"), (start + F.length(p)).alias("end"), p.alias("answer_span"), (i % 2 == 0).alias("own"))
+
+    return F.filter(F.transform(parts, placed), lambda p: p["own"] & (F.trim(p["answer_span"]) != ""))
+
+
+def citations_by_vectors(answers: DataFrame, chunks: DataFrame, embedder: Embedder, least: float = 0.1) -> DataFrame:
+    """``(query_id, span_no, start, end, answer_span, source_chunk_id, score)``: the chunk whose vector is nearest to each sentence's.
+
+    ``answers(query_id, answer)``, ``chunks(query_id, chunk_id, text)``; the score
+    is the inner product of unit vectors to four places, equal ones go to the
+    smaller chunk id, and sentences without a chunk of ``least`` are not cited.
+    """
+    own = answers.select("query_id", F.posexplode(spans(F.col("answer"))).alias("span_no", "s")).select("query_id", "span_no", "s.start", "s.end", "s.answer_span")
+    own = embedder.embed(own, "answer_span", "v")
+    texts = embedder.embed(chunks.select("chunk_id", "text").distinct(), "text", "w").select("chunk_id", "w")
+    met = own.join(chunks.select("query_id", "chunk_id").distinct(), "query_id").join(texts, "chunk_id")
+    met = met.withColumn("score", F.round(inner(F.col("v"), F.col("w")), 4)).where(F.col("score") >= least)
+    best = F.row_number().over(Window.partitionBy("query_id", "span_no").orderBy(F.desc("score"), "chunk_id"))
+    return met.withColumn("nth", best).where("nth = 1").select("query_id", "span_no", "start", "end", "answer_span", F.col("chunk_id").alias("source_chunk_id"), "score")

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions import text as T
 from tarnlight.functions import vector as V
-from tarnlight.functions import fuzzy
+from tarnlight.functions import fuzzy, sql
 from tarnlight.operators import answers, bm25, chunking, dense, metrics, needles, overlap, postings, reshape, stats
 from tarnlight.operators.generation import Generator
 from tarnlight.operators.retrievers import Keywords, Okapi
 from tarnlight.plans import answering, runner
 from tarnlight.schemas import CUTOFFS, DEPTHS, LENGTHS, Benchmark
 from tarnlight.sources import readers, writers
+from tarnlight.sources.index_store import Store
 from tarnlight.sources.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,6 +539,59 @@ def fuzzy_answers(spark, sf_dir):
     return c.select("conv_id", "turn", F.when(F.col("e") <= fuzzy.allowed(F.col("truth"), 0.25), F.col("e")).alias("errors"), T.answer_found(F.col("text"), F.col("truth"), error_rate=0.25).alias("score"))
 
 
+def _vectors(rows: str, key: str, text: str) -> str:
+    """Vectors of the encoder of md5 hashes, as ``({key}, i, x)``; SQL for 32-bit floats."""
+    return f"""(SELECT {key}, i, n::FLOAT / sqrt(sum(n * n) OVER (PARTITION BY {key}))::FLOAT AS x FROM (
+SELECT {key}, h % 64 AS i, sum(CASE WHEN h >> 59 = 1 THEN 1 ELSE -1 END) AS n FROM (SELECT {key}, ('0x' || substr(md5(w), 1, 15))::BIGINT AS h FROM (SELECT {key}, unnest({_tokens(f'lower({text})')}) AS w FROM {rows})) GROUP BY ALL))"""
+
+
+@query(rf"""WITH {_bm25(k=4)}, parts AS (SELECT item_id AS query_id, string_split(regexp_replace(text, '([.!?])(\s+)', '\1' || chr(1) || '\2' || chr(1), 'g'), chr(1)) AS p FROM benchmark),
+cut AS (SELECT query_id, p[i] AS answer_span, coalesce(list_sum(list_transform(p[:i - 1], lambda x: length(x))), 0)::INT AS start FROM (SELECT query_id, p, unnest(range(1, len(p) + 1, 2)) AS i FROM parts)),
+span AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY start) - 1)::INT AS span_no FROM cut WHERE trim(answer_span) <> ''),
+met AS (SELECT s.query_id, s.span_no, r.doc_id, round(sum(a.x::DOUBLE * b.x::DOUBLE), 4) AS score FROM span s JOIN bm25 r USING (query_id)
+JOIN {_vectors('span', 'query_id, span_no', 'answer_span')} a ON a.query_id = s.query_id AND a.span_no = s.span_no
+JOIN {_vectors('(SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM bm25))', 'doc_id', 'text')} b ON b.doc_id = r.doc_id AND b.i = a.i GROUP BY ALL)
+SELECT query_id, span_no, start, start + length(answer_span)::INT AS "end", answer_span, doc_id AS source_chunk_id, score FROM met JOIN span USING (query_id, span_no)
+WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, span_no ORDER BY score DESC, doc_id) = 1""")
+def citations_by_embedding(spark, sf_dir):
+    """The retrieved document nearest to each sentence of a passage, by the vectors of the md5 encoder."""
+    run = bm25_run(spark, sf_dir, 4).join(corpus(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    chunks = run.select("query_id", F.col("doc_id").alias("chunk_id"), "text")
+    return answers.citations_by_vectors(asked(spark, sf_dir).withColumnRenamed("text", "answer"), chunks, dense.Embedder("md5"))
+
+
+@query(f"WITH {_CHUNKS} SELECT chunk_id, doc_id, chunk_no::INT AS chunk_no, md5(text) AS text_md5 FROM chunks")
+def chunks_in_sql(spark, sf_dir):
+    """``chunk_documents`` as a query in SQL, with the chunker as a table function."""
+    sql.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("tarnlight_documents")
+    return spark.sql("""SELECT concat_ws('::', doc_id, chunk_no) AS chunk_id, doc_id, chunk_no, md5(c.text) AS text_md5
+FROM tarnlight_documents d, LATERAL chunk_document(d.text, 512, 50) c""")
+
+
+@query(f"""SELECT c.conv_id, c.turn, len(regexp_extract_all(lower(c.text), {_WORD}))::INT AS n_words, len({_tokens('c.text')})::INT AS n_tokens,
+len(list_intersect(list_distinct({_tokens('lower(b.text)')}), list_distinct({_tokens('lower(c.text)')})))::INT AS overlap,
+round(least(len(list_intersect(list_distinct({_tokens('lower(b.text)')}), list_distinct({_tokens('lower(c.text)')}))) / greatest(len({_tokens('b.text')}), 1), 1.0), 3) AS score,
+CASE WHEN contains(lower(trim(c.text)), lower(trim(b.text[1:12]))) AND trim(b.text[1:12]) <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS found
+FROM conversations c JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1""")
+def functions_in_sql(spark, sf_dir):
+    """Each turn against the one before it, by the functions that SQL knows by name."""
+    sql.register(spark)
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("tarnlight_conversations")
+    return spark.sql("""SELECT c.conv_id, c.turn, size(bm25_words(c.text)) AS n_words, size(space_tokens(c.text)) AS n_tokens, keyword_overlap(b.text, c.text) AS overlap,
+overlap_score(b.text, c.text) AS score, answer_found(c.text, substring(b.text, 1, 12)) AS found
+FROM tarnlight_conversations c JOIN tarnlight_conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1""")
+
+
+@query(f"WITH {_CHUNKS} SELECT chunk_id, doc_id, md5(text) AS text_md5 FROM chunks WHERE doc_id % 10 <> 3")
+def index_refresh(spark, sf_dir):
+    """An index of all documents, brought to a corpus without a tenth of them; nothing is embedded again."""
+    docs, store = table(spark, sf_dir, "documents"), Store(spark, new_path(spark, "store"))
+    store.refresh(docs, dense.Embedder())
+    store.refresh(docs.where("doc_id % 10 <> 3"), dense.Embedder())
+    return store.read().select("chunk_id", "doc_id", F.md5("text").alias("text_md5"))
+
+
 @query(f"WITH {_CHUNKS} SELECT chunk_id, doc_id, md5(text) AS text_md5 FROM chunks")
 def index_roundtrip(spark, sf_dir):
     path = new_path(spark, "catalog")

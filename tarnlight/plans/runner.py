@@ -17,20 +17,19 @@ from tarnlight.operators.retrievers import Dense, Keywords, Okapi, Retriever
 from tarnlight.plans.settings import Settings, parse
 from tarnlight.schemas import CUTOFFS, Benchmark
 from tarnlight.sources import readers, writers
+from tarnlight.sources.index_store import Store
 
 NAMES = ("bm25", "overlap", "dense")
 
 
-def cached_index(spark: SparkSession, docs: DataFrame, embedder: dense.Embedder, folder: str | None) -> DataFrame:
-    """The index of a corpus, read back if it was written before with the same texts, encoder and chunks."""
+def cached_index(spark: SparkSession, docs: DataFrame, embedder: dense.Embedder, folder: str | None, name: str = "") -> DataFrame:
+    """The index of a corpus, kept in ``folder`` for each name of a corpus and encoder: only texts that it does not have are embedded."""
     if not folder:
         return dense.build_index(docs, embedder)
-    rows = docs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64("text", "doc_id").cast("decimal(38,0)")).alias("g")).first()
-    key = hashlib.blake2b(repr((embedder.backend, embedder.model, 512, 50, *rows)).encode(), digest_size=8).hexdigest()
-    path = f"{folder.rstrip('/')}/{embedder.backend}-{key}"
-    if not readers.exists(spark, f"{path}/_SUCCESS"):
-        writers.index(dense.build_index(docs, embedder), path)
-    return readers.index(spark, path)
+    key = hashlib.blake2b(repr((name, embedder.backend, embedder.model, 512, 50)).encode(), digest_size=8).hexdigest()
+    store = Store(spark, f"{folder.rstrip('/')}/{embedder.backend}-{key}")
+    store.refresh(docs, embedder)
+    return store.read()
 
 
 def build(spark: SparkSession, data: Benchmark, settings: Settings) -> dict[str, Retriever]:
@@ -44,7 +43,7 @@ def build(spark: SparkSession, data: Benchmark, settings: Settings) -> dict[str,
             made[name] = Keywords(data.corpus)
         elif kind == "dense":
             embedder = dense.Embedder(encoder or settings.encoder, None if encoder else settings.encoder_model)
-            made[name] = Dense(embedder, cached_index(spark, data.corpus, embedder, settings.index_folder))
+            made[name] = Dense(embedder, cached_index(spark, data.corpus, embedder, settings.index_folder, settings.source))
         else:
             raise ValueError(f"unknown retriever {name!r}; there are {', '.join(NAMES)}")
     return made

@@ -111,6 +111,8 @@ def test_an_index_belongs_to_its_corpus_and_encoder(spark, tmp_path):
     a, b, words = docs(spark, "one"), docs(spark, "two"), dense.Embedder("hash")
     assert texts(a, words) == {"one"} and texts(b, words) == {"two"} and texts(a, words) == {"one"}
     assert texts(a, dense.Embedder("trigram")) == {"one"} and texts(a, dense.Embedder("hash", "16")) == {"one"}
+    assert len(list(tmp_path.iterdir())) == 3  # one for each encoder, which follows its corpus
+    runner.cached_index(spark, a, words, str(tmp_path), "other")
     assert len(list(tmp_path.iterdir())) == 4
 
 
