@@ -522,7 +522,7 @@ def first_query_results(spark, sf_dir):
     return runner.first_results(data, index=index_of(spark, sf_dir))
 
 
-_CUT_LETTERS = "regexp_replace(substr(text, 6, 24), '[eo]', '', 'g')"
+_CUT_LETTERS = "regexp_replace(substr(text, 6, 16), '[eo]', '', 'g')"
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, lower(trim(text)) AS p, lower(trim({_CUT_LETTERS})) AS q, {_CUT_LETTERS} AS truth FROM conversations),
@@ -532,8 +532,8 @@ best AS (SELECT p, q, min(levenshtein(part, q)) AS errors FROM parts GROUP BY p,
 SELECT conv_id, turn, CASE WHEN errors <= most THEN errors END::INT AS errors, CASE WHEN errors <= most THEN 1.0 ELSE 0.0 END::DOUBLE AS score
 FROM t LEFT JOIN best USING (p, q) LEFT JOIN (SELECT DISTINCT p, q, most FROM ends) USING (p, q)""")
 def fuzzy_answers(spark, sf_dir):
-    """Turns against 24 of their own characters without e and o: the fewest edits, if they are within a rate of 0.25, and whether that is an answer."""
-    truth = F.regexp_replace(F.substring("text", 6, 24), "[eo]", "")
+    """Turns against 16 of their own characters without e and o: the fewest edits, if they are within a rate of 0.25, and whether that is an answer."""
+    truth = F.regexp_replace(F.substring("text", 6, 16), "[eo]", "")
     errors = fuzzy.errors(F.col("text"), truth)
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", truth.alias("truth"), errors.alias("e"))
     return c.select("conv_id", "turn", F.when(F.col("e") <= fuzzy.allowed(F.col("truth"), 0.25), F.col("e")).alias("errors"), T.answer_found(F.col("text"), F.col("truth"), error_rate=0.25).alias("score"))
@@ -592,6 +592,48 @@ def index_refresh(spark, sf_dir):
     return store.read().select("chunk_id", "doc_id", F.md5("text").alias("text_md5"))
 
 
+def _collection(spark, sf_dir) -> str:
+    """The tables as the files of a judged collection."""
+    path = new_path(spark, "collection")
+    docs, asks = corpus(spark, sf_dir), asked(spark, sf_dir)
+    docs.select(F.col("doc_id").cast("string").alias("_id"), "text").write.json(f"{path}/corpus.jsonl")
+    asks.select(F.col("query_id").cast("string").alias("_id"), "text").write.json(f"{path}/queries.jsonl")
+    judged(spark, sf_dir).select("query_id", "doc_id", "relevance").write.csv(f"{path}/qrels/test.tsv", sep="\t", header=True)
+    return path
+
+
+def _flat(data: Benchmark) -> DataFrame:
+    kind = lambda df, name, a, b, text: df.select(F.lit(name).alias("kind"), F.col(a).alias("a"), b.alias("b"), text.alias("text_md5"))
+    none = F.lit(None).cast("string")
+    rows = kind(data.corpus, "document", "doc_id", none, F.md5("text")).union(kind(data.queries, "query", "query_id", none, F.md5("text")))
+    return rows.union(kind(data.qrels, "judgment", "query_id", F.col("doc_id"), F.col("relevance").cast("string")))
+
+
+_FLAT = f"""WITH {_QRELS} SELECT 'document' AS kind, doc_id::VARCHAR AS a, NULL::VARCHAR AS b, md5(text) AS text_md5 FROM documents
+UNION ALL SELECT 'query', item_id::VARCHAR, NULL, md5(text) FROM benchmark UNION ALL SELECT 'judgment', query_id::VARCHAR, doc_id::VARCHAR, relevance::VARCHAR FROM qrels"""
+
+
+@query(_FLAT)
+def collection_scan(spark, sf_dir):
+    """A judged collection written as files and read back."""
+    return _flat(readers.collection(spark, _collection(spark, sf_dir)))
+
+
+@query(_FLAT)
+def collection_lines_scan(spark, sf_dir):
+    """The same by the data source of lines."""
+    return _flat(readers.collection(spark, _collection(spark, sf_dir), python_source=True))
+
+
+@query("SELECT text, 'What of ' || item_id || '?' AS question, item_id::VARCHAR AS answer FROM benchmark")
+def needle_files(spark, sf_dir):
+    """Needles written as a CSV table and read back."""
+    path = new_path(spark, "needles") + ".csv"
+    rows = table(spark, sf_dir, "benchmark").select("text", F.format_string("What of %d?", "item_id").alias("question"), F.col("item_id").cast("string").alias("answer"))
+    rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.needles(spark, path)
+
+
 @query(f"WITH {_CHUNKS} SELECT chunk_id, doc_id, md5(text) AS text_md5 FROM chunks")
 def index_roundtrip(spark, sf_dir):
     path = new_path(spark, "catalog")

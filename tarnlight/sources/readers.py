@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions.text import stem
 from tarnlight.schemas import CORPUS, NEEDLES, Benchmark
+from tarnlight.sources.lines import read as read_lines
 
 
 def text_file(spark: SparkSession, path: str) -> DataFrame:
@@ -46,15 +47,20 @@ def in_file_order(raw: DataFrame, name: str = "ord") -> DataFrame:
     return at.select(*[F.col(f"`{c}`") for c in raw.columns], (F.shiftleft(F.col("__split").cast("long"), 33) + F.col("__row")).alias(name))
 
 
-def collection(spark: SparkSession, folder: str, split: str = "test") -> Benchmark:
-    """A collection of corpus.jsonl, queries.jsonl, qrels/<split>.tsv and, if it is there, answers.jsonl; the last row of an id wins."""
+def collection(spark: SparkSession, folder: str, split: str = "test", python_source: bool = False) -> Benchmark:
+    """A collection of corpus.jsonl, queries.jsonl, qrels/<split>.tsv and, if it is there, answers.jsonl; the last row of an id wins.
+
+    With ``python_source`` lines are read by the data source of ``lines``, which
+    knows their order from their places in the files.
+    """
 
     def last(df: DataFrame, keys: list[str]) -> DataFrame:
         rest = [c for c in df.columns if c not in (*keys, "ord")]
         return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "ord").alias("r"), F.min("ord").alias("ord")).select(*keys, "r.*", "ord")
 
     def lines(name: str, key: str, value: str = "text") -> DataFrame:
-        raw = in_file_order(spark.read.schema(f"_id string, {value} string").json(f"{folder}/{name}.jsonl"))
+        fields, path = f"_id string, {value} string", f"{folder}/{name}.jsonl"
+        raw = read_lines(spark, path, f"{fields}, ord long") if python_source else in_file_order(spark.read.schema(fields).json(path))
         return last(raw.withColumnRenamed("_id", key), [key])
 
     judged = in_file_order(spark.read.csv(f"{folder}/qrels/{split}.tsv", sep="\t", header=True)).toDF("query_id", "doc_id", "relevance", "ord")
@@ -77,4 +83,4 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 
 def needles(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.schema(NEEDLES)
-    return reader.csv(path, header=True) if path.endswith(".csv") else reader.json(path, multiLine=True)
+    return reader.csv(path, header=True, multiLine=True, escape='"') if path.endswith(".csv") else reader.json(path, multiLine=True)
