@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +81,18 @@ def over_salts(rows: DataFrame, keys: list[str], **totals: tuple) -> DataFrame:
     return part.select(*keys, "salt", *[put(name).over(whole).alias(name) for name, (put, _) in totals.items()])
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that returns freed memory to the system, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed; workers live as long as the executor and would keep their peak through all later stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterable, most_bytes: int = 2_000_000) -> Iterable:
     """Cut Arrow record batches into pieces of bounded size (one row at least)."""
     for batch in batches:
@@ -89,6 +104,16 @@ def slices(batches: Iterable, most_bytes: int = 2_000_000) -> Iterable:
             yield batch.slice(at, step)
 
 
+def trimmed(batches: Iterable, most_bytes: int = 2_000_000) -> Iterable:
+    """``slices`` that give back before the first batch, behind each of several slices, and behind the last."""
+    give_back()
+    for batch in batches:
+        yield from slices([batch], most_bytes)
+        if batch.nbytes > most_bytes:
+            give_back()
+    give_back()
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every vertex of ``edges(src, dst)``.
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import connected_components, free, over_salts, salt, slices, stored
+from tarnlight.llm.common import connected_components, free, give_back, over_salts, salt, stored, trimmed
 from tarnlight.llm.shingles import U, mix, shingles, utf8
 
 M, BANDS, ROWS = 128, 32, 4
@@ -99,7 +99,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``(id, th, digest, sig, bytes)`` of every row: hash of the text, class of equal multisets (null without words), signature, and size of the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1_000_000):
+        for b in trimmed(batches, 1_000_000):
             sig, digest = _signed(b, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(np.diff(utf8(b.column(2))[1]))], names=["id", "th", "digest", "sig", "bytes"])
 
@@ -116,10 +116,9 @@ def _keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for s in slices([b]):
-            key = _keys(np.frombuffer(b"".join(s.column(1).to_pylist()), np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(s.column(0).to_numpy(), BANDS))], names=["key", "c"])
+    for s in trimmed(batches):
+        key = _keys(np.frombuffer(b"".join(s.column(1).to_pylist()), np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(s.column(0).to_numpy(), BANDS))], names=["key", "c"])
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -131,16 +130,15 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows a, b, text of a, text of b: those similar enough."""
-    for b in batches:
-        for s in slices([b], 1_000_000):
-            sides = []
-            for k in (2, 3):
-                raw, at = utf8(s.column(k))
-                text, run, count = shingles(raw, at)
-                sides.append((run, count, np.searchsorted(text, np.arange(s.num_rows + 1))))
-            (ra, ca, ea), (rb, cb, eb) = sides
-            ok = [overlap((ra[ea[i] : ea[i + 1]], ca[ea[i] : ea[i + 1]]), (rb[eb[i] : eb[i + 1]], cb[eb[i] : eb[i + 1]])) >= SIMILAR for i in range(s.num_rows)]
-            yield pa.RecordBatch.from_arrays([s.column(0), s.column(1)], names=["src", "dst"]).filter(pa.array(ok))
+    for s in trimmed(batches, 1_000_000):
+        sides = []
+        for k in (2, 3):
+            raw, at = utf8(s.column(k))
+            text, run, count = shingles(raw, at)
+            sides.append((run, count, np.searchsorted(text, np.arange(s.num_rows + 1))))
+        (ra, ca, ea), (rb, cb, eb) = sides
+        ok = [overlap((ra[ea[i] : ea[i + 1]], ca[ea[i] : ea[i + 1]]), (rb[eb[i] : eb[i + 1]], cb[eb[i] : eb[i + 1]])) >= SIMILAR for i in range(s.num_rows)]
+        yield pa.RecordBatch.from_arrays([s.column(0), s.column(1)], names=["src", "dst"]).filter(pa.array(ok))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -152,6 +150,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _joined(key: tuple, group: pa.Table) -> pa.Table:
     """Links between components, found in one bucket inside a tile or between two; a forest of them."""
+    give_back()
     own_class, comps = group.column("c").to_numpy(), group.column("component").to_numpy().copy()
     tile, t, u = group.column("tile").to_numpy(), key[1].as_py(), key[2].as_py()
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, M)

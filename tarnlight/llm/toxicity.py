@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import slices, stored
+from tarnlight.llm.common import slices, stored, trimmed
 
 FACTORS = 8
 BITS = 20
@@ -236,7 +236,7 @@ def keep_clean(docs: DataFrame, model: FM, text_col: str = "text", threshold: fl
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for b in slices(batches):
+        for b in trimmed(batches):
             yield b.filter(pa.array(of(b.column(text_col).to_pylist()) < threshold))
 
     return docs.mapInArrow(work, schema)
