@@ -19,7 +19,13 @@ def headline(df: DataFrame) -> DataFrame:
 
 
 def pivot_mean(df: DataFrame, row: str, column: str, value: str, columns: list | None = None) -> DataFrame:
-    """Mean of ``value`` by row and column, rows in order; nulls are passed over."""
+    """Mean of ``value`` by row and column, rows in order; nulls and NaN are passed over, and rows and columns with nothing else are left out.
+
+    Columns of a given list that are left out are those that no value stands in.
+    """
+    df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    if columns is not None:
+        columns = present(df, column, columns)
     return df.groupBy(row).pivot(column, columns).agg(F.avg(value)).orderBy(row)
 
 

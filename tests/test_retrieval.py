@@ -318,6 +318,9 @@ def test_reshape(spark):
     assert got["mrr"].delta_abs == 0.1 and got["mrr"].delta_pct == "20.0%" and got["other"].delta_pct is None
     assert reshape.headline(t).count() == 2
     assert reshape.present(t, "retriever", ["b", "x", "a"]) == ["b", "a"] and [r.retriever for r in reshape.head(t, 1, "mrr").collect()] == ["a"]
+    cells = spark.createDataFrame([(0, 1000, 1.0), (0, 1000, 0.5), (0, 2000, None), (50, 1000, None), (100, 4000, float("nan")), (100, 1000, 0.25)], "depth int, size int, score double")
+    assert [r.asDict() for r in reshape.pivot_mean(cells, "depth", "size", "score").collect()] == [{"depth": 0, "1000": 0.75}, {"depth": 100, "1000": 0.25}]
+    assert reshape.pivot_mean(cells, "depth", "size", "score", [2000, 1000]).columns == ["depth", "1000"]
     with pytest.raises(LookupError):
         reshape.delta(long, "a", "x")
     assert writers.comparison(long.select("retriever", "metric", F.col("score").alias("value")), ["mrr", "other"]).count() == 2
