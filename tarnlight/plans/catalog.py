@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tarnlight.functions import text as T
 from tarnlight.functions import vector as V
 from tarnlight.functions import fuzzy, sql
-from tarnlight.operators import answers, bm25, chunking, dense, metrics, needles, overlap, postings, reshape, stats
+from tarnlight.operators import answers, bm25, cells, chunking, dense, metrics, needles, overlap, postings, reshape, stats
 from tarnlight.operators.generation import Generator
 from tarnlight.operators.retrievers import Keywords, Okapi
 from tarnlight.plans import answering, runner
@@ -198,14 +198,25 @@ def bm25_topk(spark, sf_dir):
     return bm25_run(spark, sf_dir)
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0)
+_NEAREST = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(q, embedding::DOUBLE[]), 6) DESC, vec_id)::INT AS rank, vec_id, round(list_inner_product(q, embedding::DOUBLE[]), 6) AS score
-FROM embeddings, q QUALIFY rank <= 10""")
+FROM embeddings, q QUALIFY rank <= 10"""
+
+
+@query(_NEAREST)
 def dense_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return dense.top_k(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, "vec_id")
 
 
+@query(_NEAREST)
+def cells_topk(spark, sf_dir):
+    """The same from an index of k-means cells, with as many cells probed as it has; fewer find less, see ``Cells.tuned``."""
+    e = table(spark, sf_dir, "embeddings")
+    index = cells.build(e, new_path(spark, "cells"), 16)
+    return index.top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, len(index.centres))
+
+
 @query("SELECT vec_id, round(sqrt(list_inner_product(e, e)), 6) AS norm, 1.0::DOUBLE AS unit_norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
 def l2_normalize(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
