@@ -132,7 +132,7 @@ def counts(texts: DataFrame, text_col: str = "text", buckets: int = BUCKETS, ord
 def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Thousandths of the log ratio of a bucket's smoothed shares, rounded down."""
     size, s, t = float(len(corpus)), corpus.astype(float), target.astype(float)
-    ratio = (t + 1) * (t.sum() + size) / ((s + 1) * (s.sum() + size))
+    ratio = (t + 1) * (s.sum() + size) / ((s + 1) * (t.sum() + size))
     return np.array([math.floor(1000 * math.log(r)) for r in ratio.tolist()], np.int64)
 
 
