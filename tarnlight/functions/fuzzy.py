@@ -37,6 +37,43 @@ def least_errors(text: str, pattern: str) -> int:
     return best
 
 
+def least_byte_errors(text: str, pattern: str, most: int) -> int | None:
+    """The same in edits of UTF-8 bytes, between ``pattern`` and runs of whole characters; None if there are more than ``most``.
+
+    Runs of bytes that begin or end inside a character need no more edits, so
+    their fewest are a bound, and only texts within it get a table, in which a
+    match begins and ends at a character.
+    """
+    if text.isascii() and pattern.isascii():
+        low = least_errors(text, pattern)
+        return low if low <= most else None
+    raw, goal = text.encode(), pattern.encode()
+    if least_errors(raw.decode("latin-1"), goal.decode("latin-1")) > most:
+        return None
+    row = list(range(len(goal) + 1))
+    best = row[-1]
+    for at, c in enumerate(raw, 1):
+        new = [row[0] + 1]
+        for i, p in enumerate(goal, 1):
+            new.append(min(row[i - 1] + (p != c), row[i] + 1, new[i - 1] + 1))
+        if at == len(raw) or raw[at] & 0xC0 != 0x80:  # a character ends, the next may begin a match
+            best = min(best, new[-1])
+            new = [min(x, i) for i, x in enumerate(new)]
+        row = new
+    return best if best <= most else None
+
+
+@F.pandas_udf(IntegerType())
+def _byte_errors(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, patterns, most in batches:
+        yield pd.Series([None if t is None or not p else least_byte_errors(t, p, int(n)) for t, p, n in zip(texts, patterns, most)], dtype="Int32")
+
+
+def byte_errors(prediction: Column, truth: Column, rate: float) -> Column:
+    """Fewest edits of bytes between the truth and a part of the prediction, if they are ``allowed``; null otherwise.  As SQL engines count that know bytes only."""
+    return _byte_errors(F.lower(F.trim(prediction)), F.lower(F.trim(truth)), F.coalesce(allowed(truth, rate), F.lit(0)))
+
+
 @F.pandas_udf(IntegerType())
 def _errors(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, patterns in batches:
