@@ -6,7 +6,7 @@ from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
 
-from tarnlight.operators import dense, metrics, overlap, postings
+from tarnlight.operators import bm25, dense, metrics, overlap, postings
 from tarnlight.sources.scratch import new_path
 
 
@@ -21,9 +21,9 @@ class Retriever(Protocol):
 
 
 class Okapi:
-    """BM25 over an inverted index: one that is opened, or one of a corpus, built once when the retriever is."""
+    """BM25 over an index: one that is opened (inverted, or that of ``bm25``), or an inverted one of a corpus, built once when the retriever is."""
 
-    def __init__(self, corpus: DataFrame | None = None, index: postings.Postings | None = None, path: str | None = None):
+    def __init__(self, corpus: DataFrame | None = None, index: postings.Postings | bm25.Index | None = None, path: str | None = None):
         if index is None and corpus is None:
             raise ValueError("a corpus or an index is needed")
         self.index = index or postings.build(corpus, path or new_path(corpus.sparkSession, "postings"))

@@ -22,6 +22,7 @@ from tarnlight.plans import runner
 from tarnlight.plans.settings import Settings, parse
 from tarnlight.schemas import DEPTHS, LENGTHS, PASSAGES, Benchmark
 from tarnlight.sources import readers, writers
+from tarnlight.sources.scratch import kept
 
 METRICS = ("answer_correctness", "context_precision", "faithfulness")
 
@@ -30,7 +31,7 @@ def answer(corpus: DataFrame, queries: DataFrame, generator: Generator | None =
     """``(query_id, answer, retrieved_chunks)`` of every question; passages in the retriever's order."""
     run = (retriever or Okapi(corpus)).retrieve(queries, k)
     run = run if "rank" in run.columns else ranked(run)
-    found = answers.context(run, corpus, k)
+    found = kept(answers.context(kept(run, "run"), corpus, k), "context")
     written = (generator or Generator()).generate(answers.prompts(found, queries, template))
     return written.join(found, "query_id", "left").select("query_id", "answer", F.col("chunks").alias("retrieved_chunks"))
 

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.functions.text import preview
-from tarnlight.operators import dense, metrics
+from tarnlight.operators import bm25, dense, metrics
 from tarnlight.operators.postings import Postings
 from tarnlight.operators.retrievers import Dense, Keywords, Okapi, Retriever
 from tarnlight.plans.settings import Settings, parse
 from tarnlight.schemas import CUTOFFS, Benchmark
 from tarnlight.sources import readers, writers
 from tarnlight.sources.index_store import Store
+from tarnlight.sources.scratch import kept
 
 NAMES = ("bm25", "overlap", "dense")
 
@@ -64,7 +65,8 @@ def runs(retrievers: dict[str, Retriever], queries: DataFrame, k: int) -> DataFr
 
 def compare(retrievers: dict[str, Retriever], data: Benchmark, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
     """One row for each retriever, a column for each metric."""
-    long = metrics.evaluate(runs(retrievers, data.queries, max(cutoffs)), data.qrels, list(cutoffs), ("retriever",))
+    found = kept(runs(retrievers, data.queries, max(cutoffs)), "runs")
+    long = metrics.evaluate(found, kept(data.qrels, "qrels"), list(cutoffs), ("retriever",))
     return writers.comparison(long, metrics.names(list(cutoffs)))
 
 
@@ -77,10 +79,11 @@ def run(spark: SparkSession, settings: Settings, retrievers: dict[str, Retriever
     return table
 
 
-def first_results(data: Benchmark, k: int = 5, index: Postings | None = None) -> DataFrame:
+def first_results(data: Benchmark, k: int = 5, index: Postings | bm25.Index | None = None) -> DataFrame:
     """``(query_id, query, rank, doc_id, score, preview)``: what BM25 finds for the first query of a collection, to look at it."""
     query = (data.queries.orderBy("ord") if "ord" in data.queries.columns else data.queries).limit(1).select("query_id", "text")
-    found = Okapi(data.corpus, index).index.top_k(query, k).join(data.corpus.select("doc_id", preview(F.col("text")).alias("preview")), "doc_id")
+    top = kept(Okapi(data.corpus, index).index.top_k(query, k), "top")
+    found = top.join(data.corpus.select("doc_id", preview(F.col("text")).alias("preview")), "doc_id")
     return found.join(query.select("query_id", F.col("text").alias("query")), "query_id").select("query_id", "query", "rank", "doc_id", "score", "preview").orderBy("rank")
 
 
