@@ -196,12 +196,13 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int =
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """The frames with ``start``, the number of ids before each in the whole table.
 
-    Only one row for each part (a written partition) meets in one task.
+    Only one row for each part (a written partition) meets in one task, and these
+    rows go to the frames: no frame is shuffled, however large the table.
     """
     frames = spark.read.schema("part int, before long, n_ids long, payload binary").parquet(path)
     parts = frames.groupBy("part").agg(F.sum("n_ids").alias("n"))
     starts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    return frames.join(starts, "part").select((F.col("part_start") + F.col("before")).alias("start"), "payload")
+    return frames.join(F.broadcast(starts), "part").select((F.col("part_start") + F.col("before")).alias("start"), "payload")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
