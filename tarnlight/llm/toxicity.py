@@ -43,11 +43,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import slices, stored, trimmed
+from tarnlight.llm.common import give_back, slices, stored, trimmed
 
 FACTORS = 8
 BITS = 20
 PENALTY = 0.35
+#: Entries that are counted at a time, so that the driver holds what is learnt from once.
+PART = 1_000_000
 #: Length of the sum of the random factors of a text of mean size.
 START = 0.25
 PREFIXES = (4, 5)
@@ -105,14 +107,17 @@ def _margins(w: np.ndarray, v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 def learn(rows: np.ndarray, at: np.ndarray, y: np.ndarray, least_docs: int = 3, epochs: int = 6, batch: int = 128, rate: float = 0.5, factor_rate: float = 0.3, pairs: bool = True) -> FM:
     """The machine of sets of buckets: those of text i are ``rows[at[i]:at[i + 1]]``; ``pairs=False`` leaves the factors out."""
     n, share = len(y), (y.sum() + 1) / (len(y) + 2)
-    frequent = np.bincount(rows, minlength=1 << BITS) >= least_docs
-    known, slot = np.flatnonzero(frequent), np.cumsum(frequent) - 1
-    here = frequent[rows]
-    rows = slot[rows[here]].astype(np.int32)
-    at = np.concatenate([[0], np.cumsum(here)])[at]
-    d, mean_terms = len(known), max(1.0, len(rows) / n)
+    many = np.zeros(1 << BITS, np.int64)
+    for k in range(0, len(rows), PART):
+        many += np.bincount(rows[k : k + PART], minlength=1 << BITS)
+    frequent = many >= least_docs
+    known, slot = np.flatnonzero(frequent), np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+    d, mean_terms = len(known), max(1.0, int(many[frequent].sum()) / n)
     chance = epochs + PENALTY * math.sqrt(n * share * (1 - share))
-    start = np.random.default_rng(7).normal(0, START / math.sqrt(FACTORS * mean_terms), (1 << BITS, FACTORS)).astype(np.float32)[known]
+    start, rng = np.empty((d, FACTORS), np.float32), np.random.default_rng(7)
+    for k in range(0, 1 << BITS, 1 << 16):  # the same numbers as at once
+        a, b = np.searchsorted(known, (k, k + (1 << 16)))
+        start[a:b] = rng.normal(0, START / math.sqrt(FACTORS * mean_terms), (1 << 16, FACTORS))[known[a:b] - k]
     least = chance * START  # the gradient of factors is that of weights times the sum of a text's other factors, here START long at most
     z, seen = np.zeros(d), np.zeros(d)  # sums of gradients and of their squares
     fz, fseen = np.zeros((d, FACTORS), np.float32), np.zeros(d)
@@ -133,7 +138,9 @@ def learn(rows: np.ndarray, at: np.ndarray, y: np.ndarray, least_docs: int = 3,
             some = order[k : k + batch]
             size = at[some + 1] - at[some]
             ends = np.concatenate([[0], np.cumsum(size)])
-            used, own = np.unique(rows[np.repeat(at[some] - ends[:-1], size) + np.arange(ends[-1])], return_inverse=True)
+            here = slot[rows[np.repeat(at[some] - ends[:-1], size) + np.arange(ends[-1])]]
+            ends = np.concatenate([[0], np.cumsum(here >= 0)])[ends]
+            used, own = np.unique(here[here >= 0], return_inverse=True)
             w, moved = weights(used), factors(used)
             v = moved + start[used] if pairs else np.zeros_like(moved)
             margin, text, total = _margins(w[own], v[own], ends)
@@ -191,19 +198,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     made = rows.mapInArrow(work, "h long, y int, n int, terms array<int>").withColumn("x", F.xxhash64("terms"))
     made = stored(made.withColumn("r", F.monotonically_increasing_id()), "terms")
     order = ["h", "n", "x", "r"]
-    sizes = made.select(*order, "y").orderBy(*order).limit(most_rows).toArrow().to_pandas()  # an id may stand on any number of rows
-    sizes = sizes[sizes["n"].cumsum() <= most_entries]
-    if sizes["y"].nunique() < 2:
-        n, toxic = len(sizes), int(sizes["y"].sum())
+    sizes = made.select(*order, "y").orderBy(*order).limit(most_rows).toArrow()  # an id may stand on any number of rows
+    sizes = sizes.filter(pc.less_equal(pc.cumulative_sum(pc.cast(sizes.column("n"), pa.int64())), most_entries))
+    n, toxic = sizes.num_rows, pc.sum(sizes.column("y")).as_py() or 0
+    if toxic in (0, n):
         return FM(math.log((toxic + 1) / (n - toxic + 1)))
-    last = F.struct(*[F.lit(int(sizes[c].iloc[-1])).cast(kind).alias(c) for c, kind in zip(order, ("long", "int", "long", "long"))])
-    got = made.where(F.struct(*order) <= last).select(*order, "y", "terms").toArrow().combine_chunks()
-    got = got.take(pc.sort_indices(got, [(c, "ascending") for c in order]))
-    lists = got.column("terms").combine_chunks()
-    at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-    y = got.column("y").to_numpy().astype(np.float64)
-    flat = lists.flatten().to_numpy()
-    return learn(flat, at, y, least_docs)
+    last = F.struct(*[F.lit(sizes.column(c)[-1].as_py()).cast(kind).alias(c) for c, kind in zip(order, ("long", "int", "long", "long"))])
+    model = learn(*_in_order(made.where(F.struct(*order) <= last).select(*order, "y", "terms").toArrow(), order), least_docs)
+    give_back()
+    return model
+
+
+def _in_order(got: pa.Table, order: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of all rows one after the other, where those of each begin, and the classes; rows go by ``order``, their terms are copied once."""
+    by = pc.sort_indices(got.select(order), [(c, "ascending") for c in order]).to_numpy()
+    n = got.column("n").to_numpy()
+    at = np.concatenate([[0], np.cumsum(n[by], dtype=np.int64)])
+    begin = np.empty(len(n), np.int64)
+    begin[by] = at[:-1]
+    flat, row = np.empty(at[-1], np.int32), 0
+    for chunk in got.column("terms").chunks:
+        terms, ends = chunk.flatten().to_numpy(), 0
+        for size in n[row : row + len(chunk)].tolist():
+            flat[begin[row] : begin[row] + size] = terms[ends : ends + size]
+            row, ends = row + 1, ends + size
+    return flat, at, got.column("y").to_numpy()[by].astype(np.float64)
 
 
 def _scorer(model: FM, docs: DataFrame):
