@@ -4,7 +4,9 @@ import random
 
 import duckdb
 
+from tarnlight.operators import bm25, postings
 from tarnlight.plans import catalog
+from tarnlight.sources.scratch import new_path
 
 
 def moved(spark) -> int:
@@ -30,3 +32,10 @@ def test_it_moves_few_rows_and_equals_its_sql(spark, tmp_path):
     for t in ("documents", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     assert got == set(db.execute(catalog.SQL["bm25_topk"]).fetchall())
+
+
+def test_a_query_without_id_is_ranked_as_by_the_inverted_index(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common x{i}", i) for i in range(30)], "doc_id long, text string, ord long")
+    queries = spark.createDataFrame([(1, "w3 w1"), (None, "w3"), (2, None)], "query_id long, text string")
+    got = bm25.top_k(docs, queries, 5).collect()
+    assert len(got) == 10 and set(got) == set(postings.build(docs, new_path(spark, "index")).top_k(queries, 5).collect())
